@@ -207,7 +207,7 @@ def _shifts(df, features, mode):
 
 
 def correlation_long(df: DataFrame, features: list[str], mode: str = "pairwise",
-                     method: str = "auto", builtin_limit: int = 24) -> DataFrame:
+                     method: str = "auto", builtin_limit: int = 4) -> DataFrame:
     """A2 / A3: correlation of every feature pair i < j (by the given order).
 
     mode ``pairwise``: Pearson r over rows where both values exist (NULL when

@@ -1,4 +1,74 @@
-"""Query bindings (filled in below)."""
+"""Bindings for incremental runs.
 
-QUERIES = {}
-ORACLE = {}
+titles = orders (key o_orderkey stands in for the title id);
+arrivals = orders placed from 1998-07-01 on;
+processed = orders with a line shipped before 1999-01-01.
+Both sets overlap, so anti and semi results are non-trivial.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tessera.operators import incremental
+from tessera.plans.common import table
+
+KEY = "o_orderkey"
+
+
+def _sets(spark, sf_dir):
+    titles = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_totalprice")
+    arrivals = titles.filter(F.col("o_orderdate") >= F.lit("1998-07-01").cast("timestamp_ntz"))
+    li = table(spark, sf_dir, "lineitem")
+    processed = (li.filter(F.col("l_shipdate") < F.lit("1999-01-01").cast("timestamp_ntz"))
+                   .select(F.col("l_orderkey").alias(KEY)).distinct())
+    return titles, arrivals, processed
+
+
+def arrivals_anti(spark, sf_dir):
+    t, a, p = _sets(spark, sf_dir)
+    return incremental.select_rows("INCREMENTAL", t, p, a, KEY)
+
+
+def reprocess_semi(spark, sf_dir):
+    t, a, p = _sets(spark, sf_dir)
+    return incremental.select_rows("EQUATION_UPDATE", t, p, a, KEY)
+
+
+def processed_union(spark, sf_dir):
+    t, a, p = _sets(spark, sf_dir)
+    return incremental.complete_run(p, a, KEY)
+
+
+def processed_state(spark, sf_dir):
+    t, a, p = _sets(spark, sf_dir)
+    merged = incremental.complete_run(p, a, KEY)
+    return incremental.state_summary(merged, KEY).select(
+        "processed_count", F.size("sample_keys").cast("long").alias("sample_size"),
+        F.element_at("sample_keys", 1).alias("first_key"))
+
+
+QUERIES = {
+    "arrivals_anti": arrivals_anti,
+    "reprocess_semi": reprocess_semi,
+    "processed_union": processed_union,
+    "processed_state": processed_state,
+}
+
+_SETS = """
+WITH titles AS (SELECT o_orderkey, o_orderdate, o_totalprice FROM orders),
+arrivals AS (SELECT * FROM titles WHERE o_orderdate >= TIMESTAMP '1998-07-01'),
+processed AS (SELECT DISTINCT l_orderkey AS o_orderkey FROM lineitem WHERE l_shipdate < TIMESTAMP '1999-01-01')
+"""
+
+ORACLE = {
+    "arrivals_anti": _SETS + """SELECT * FROM titles t WHERE o_orderkey IN (SELECT o_orderkey FROM arrivals)
+        AND NOT EXISTS (SELECT 1 FROM processed p WHERE p.o_orderkey = t.o_orderkey)""",
+    "reprocess_semi": _SETS + """SELECT * FROM titles t
+        WHERE EXISTS (SELECT 1 FROM processed p WHERE p.o_orderkey = t.o_orderkey)""",
+    "processed_union": _SETS + "SELECT o_orderkey FROM processed UNION SELECT o_orderkey FROM arrivals",
+    "processed_state": _SETS + """, u AS (SELECT o_orderkey FROM processed UNION SELECT o_orderkey FROM arrivals)
+        SELECT count(*) AS processed_count,
+               CAST(least(count(*), 1000) AS BIGINT) AS sample_size,
+               (SELECT min(CAST(o_orderkey AS VARCHAR)) FROM u) AS first_key FROM u""",
+}

@@ -11,7 +11,11 @@ from tessera.plans.common import sig, sql_sig, table
 # identifiers, not features.
 LINEITEM_EXCLUDE = profile.DEFAULT_EXCLUDE_PATTERNS + ["key", "linenumber"]
 CORR_FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax",
-                 "p_size", "p_retailprice", "o_totalprice"]
+                 "p_size", "p_retailprice", "o_totalprice", "l_netprice", "l_grossprice"]
+# Derived features (revenue after discount, and after tax) give the threshold
+# filter pairs on both sides of 0.8.
+NET = "l_extendedprice * (1 - l_discount)"
+GROSS = "l_extendedprice * (1 - l_discount) * (1 + l_tax)"
 
 
 def feature_variance_topk(spark, sf_dir):
@@ -28,6 +32,8 @@ def _corr_input(spark, sf_dir):
     od = table(spark, sf_dir, "orders")
     return (li.join(pa, li.l_partkey == pa.p_partkey)
               .join(od, li.l_orderkey == od.o_orderkey)
+              .withColumn("l_netprice", F.expr(NET))
+              .withColumn("l_grossprice", F.expr(GROSS))
               .select(*CORR_FEATURES))
 
 
@@ -72,8 +78,9 @@ def _variance_sql():
             f"ORDER BY variance DESC, feature LIMIT 200")
 
 
-_CORR_FROM = ("FROM lineitem JOIN part ON l_partkey = p_partkey "
-              "JOIN orders ON l_orderkey = o_orderkey")
+_CORR_FROM = (f"FROM (SELECT *, {NET} AS l_netprice, {GROSS} AS l_grossprice "
+              f"FROM lineitem JOIN part ON l_partkey = p_partkey "
+              f"JOIN orders ON l_orderkey = o_orderkey) j")
 
 
 def _pairs():
