@@ -35,20 +35,28 @@ def _micros(c) -> Column:
 
 
 def top_n_per_group(df: DataFrame, group_cols: list[str], order_cols: list[Column], n: int,
-                    salt_buckets: int = 32, salt_col: str | None = None) -> DataFrame:
+                    salt_buckets: int = 32, salt_col: str | None = None,
+                    method: str = "row_number", rank_col: str | None = None) -> DataFrame:
     """Top ``n`` rows per group by ``order_cols`` without a single-task hot group.
 
-    Stage 1 ranks inside (group, salt) sub-groups and keeps n each; stage 2
-    ranks the <= n x salt_buckets survivors per group. Salt is a hash of
-    ``salt_col`` (or of all columns), so it is deterministic.
+    Stage 1 ranks inside (group, salt) sub-groups and keeps rank <= n; stage 2
+    ranks the <= n x salt_buckets survivors per group. A row's rank inside its
+    sub-group never exceeds its rank in the group, and every row that beats a
+    survivor survives too, so stage 2 gives the exact group rank for
+    ``row_number``, ``rank`` and ``dense_rank``. Salt is a hash of ``salt_col``
+    (or of all columns), so it is deterministic.
     """
-    salt_src = F.col(salt_col) if salt_col else F.struct(*df.columns)
+    fn = {"row_number": F.row_number, "rank": F.rank, "dense_rank": F.dense_rank}[method]
+    salt_src = F.col(salt_col) if salt_col else F.xxhash64(*[F.col(c) for c in df.columns])
     salted = df.withColumn("_salt", F.pmod(F.xxhash64(salt_src), F.lit(salt_buckets)))
     w1 = Window.partitionBy(*group_cols, "_salt").orderBy(*order_cols)
-    stage1 = salted.withColumn("_rn", F.row_number().over(w1)).filter(F.col("_rn") <= n)
+    stage1 = salted.withColumn("_rn", fn().over(w1)).filter(F.col("_rn") <= n)
     w2 = Window.partitionBy(*group_cols).orderBy(*order_cols)
-    return (stage1.drop("_rn", "_salt").withColumn("_rn", F.row_number().over(w2))
-                  .filter(F.col("_rn") <= n).drop("_rn"))
+    out = (stage1.drop("_rn", "_salt").withColumn("_rn", fn().over(w2))
+                 .filter(F.col("_rn") <= n))
+    if rank_col:
+        return out.withColumn(rank_col, F.col("_rn").cast("long")).drop("_rn")
+    return out.drop("_rn")
 
 
 # ---------------------------------------------------------------- A7 / A8 / W4
