@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import key_category
+from tessera.operators import ordered
 
 # Tier slot counts, the promotion threshold, the history length
 # for interval statistics and the stale-block age.
@@ -90,12 +91,19 @@ def key_components(log: DataFrame, keys: DataFrame, key="key", component="compon
     return log.select(key, component).join(keys.select(key), key, "left_semi").distinct()
 
 
-def access_gaps(log: DataFrame, key="key", ts="ts", event_id="event_id") -> DataFrame:
-    """Gap in ms to the previous access of the same key (NULL for the first)."""
-    w = Window.partitionBy(key).orderBy(F.col(ts), F.col(event_id))
-    prev = F.lag(ts).over(w)
-    return log.select(key, event_id, ts,
-                      ((_micros(ts) - _micros(prev)).cast("double") / F.lit(1000.0)).alias("gap_ms"))
+def access_gaps(log: DataFrame, key="key", ts="ts", event_id="event_id",
+                bucket_seconds: int = 3600) -> DataFrame:
+    """Gap in ms to the previous access of the same key (NULL for the first).
+
+    The previous access comes from ``ordered.previous_values``: chunks of one
+    key per ``bucket_seconds`` are sorted apart, so a hot key is spread over
+    many tasks.
+    """
+    base = log.select(key, event_id, ts)
+    prev = ordered.previous_values(base, [key], [F.col(ts), F.col(event_id)], [ts],
+                                   ordered.time_bucket(ts, bucket_seconds))
+    gap = (_micros(ts) - _micros("prev_" + ts)).cast("double") / F.lit(1000.0)
+    return prev.select(key, event_id, ts, gap.alias("gap_ms"))
 
 
 def access_recent(log: DataFrame, as_of: Column | None = None, key="key", ts="ts") -> DataFrame:
@@ -198,22 +206,27 @@ def tier_table(counts: DataFrame, key="key", count="accesses",
 
 def removal_candidates(entries: DataFrame, required_bytes, policy: str = "LRU",
                        key="key", tier="tier", size="size_bytes", last_access="last_ts",
-                       count="accesses", pinned: str | None = None) -> DataFrame:
+                       count="accesses", pinned: str | None = None,
+                       bucket: Column | None = None) -> DataFrame:
     """Per tier, the entries to remove until ``required_bytes`` are freed.
 
     LRU orders by last access (oldest first), LFU by access count (least
     first); ties by key. Pinned entries are never candidates. An entry is a
     candidate while the bytes freed before it are still short of the target,
     so the last candidate is the one that reaches it.
+
+    The running byte sum is a chunked scan (``ordered.running_agg``): a tier
+    holding most keys is cut into chunks by hour of last access (LRU) or by
+    access count (LFU) instead of being sorted in one task.
     """
     df = entries if pinned is None else entries.filter(~F.col(pinned))
-    order = [F.col(last_access).asc(), F.col(key).asc()] if policy.upper() == "LRU" \
-        else [F.col(count).asc(), F.col(key).asc()]
-    w = Window.partitionBy(tier).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    lru = policy.upper() == "LRU"
+    order = [F.col(last_access).asc(), F.col(key).asc()] if lru else [F.col(count).asc(), F.col(key).asc()]
+    if bucket is None:
+        bucket = ordered.time_bucket(last_access, 3600) if lru else F.col(count).cast("long")
     req = required_bytes if isinstance(required_bytes, Column) else F.lit(required_bytes)
-    run = F.sum(size).over(w)
-    return (df.withColumn("freed_after", run)
-              .filter(F.col("freed_after") - F.col(size) < req))
+    run = ordered.running_agg(df, [tier], order, F.col(size), "freed_after", bucket, "sum")
+    return run.filter(F.col("freed_after") - F.col(size) < req)
 
 
 # ---------------------------------------------------------------- P11 / P13
