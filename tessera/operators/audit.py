@@ -4,8 +4,8 @@ Entry hash: sha256(previous_hash || '|' || payload); the first entry of a
 chain uses the seed ('GENESIS') as previous hash.
 
 * Building (H1) is sequential inside a chain by definition. Chains are
-  independent, so they run in parallel (``applyInPandas`` per chain, rows in
-  order, hashlib per row). For a chain too long for one task, ``block_col``
+  independent, so they run in parallel (hash-partitioned by chain, sorted
+  inside each partition, one ``mapInPandas`` pass with hashlib per row). For a chain too long for one task, ``block_col``
   cuts it into blocks (e.g. per day): each block is its own chain seeded with
   sha256(seed|chain|block), and ``block_digests`` chains the blocks' last
   hashes, so every entry is still covered by one final digest.
@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import hashlib
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,38 +37,50 @@ def entries(events: DataFrame, chain: Column, ts: str, tie: str, payload: Column
                          F.lit(True).alias("machine_generated"), F.lit(False).alias("operator_editable"))
 
 
-def _chain_fn(seed: str, sep: str, blocked: bool):
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts", "entry_id"], kind="mergesort")
-        if blocked:
-            first = pdf.iloc[0]
-            prev = hashlib.sha256(f"{seed}{sep}{first['chain']}{sep}{first['block']}".encode()).hexdigest()
-        else:
-            prev = seed
-        out = []
-        for p in pdf["payload"].tolist():
-            prev = hashlib.sha256(f"{prev}{sep}{p}".encode()).hexdigest()
-            out.append(prev)
-        res = pdf[["chain", "entry_id", "ts"] + (["block"] if blocked else [])].copy()
-        res["seq"] = range(1, len(pdf) + 1)
-        res["entry_hash"] = out
-        return res
-    return fold
+def _chain_fn(seed: str, sep: str, blocked: bool, out_cols: list[str]):
+    """Per partition: rows arrive sorted by (chain[, block], ts, entry_id);
+    the running hash is carried across Arrow batches and reset at every new
+    chain (block)."""
+    def run(batches):
+        cur, prev, seq = None, None, 0
+        for pdf in batches:
+            hashes, seqs = [], []
+            keys = pdf["chain"].tolist()
+            blocks = pdf["block"].tolist() if blocked else [None] * len(pdf)
+            for k, b, p in zip(keys, blocks, pdf["payload"].tolist()):
+                if (k, b) != cur:
+                    cur, seq = (k, b), 0
+                    prev = (hashlib.sha256(f"{seed}{sep}{k}{sep}{b}".encode()).hexdigest()
+                            if blocked else seed)
+                prev = hashlib.sha256(f"{prev}{sep}{p}".encode()).hexdigest()
+                seq += 1
+                hashes.append(prev)
+                seqs.append(seq)
+            res = pdf[[c for c in out_cols if c not in ("seq", "entry_hash")]].copy()
+            res["seq"] = seqs
+            res["entry_hash"] = hashes
+            yield res[out_cols]
+    return run
 
 
 def build_chain(entries_df: DataFrame, seed: str = SEED, sep: str = SEP,
                 block_col: Column | None = None) -> DataFrame:
-    """H1: ``(chain, entry_id, ts, seq, entry_hash)``; ``seq`` is 1-based in
-    (ts, entry_id) order inside the chain (inside the block when blocked)."""
-    cols = ["chain", "entry_id", "ts", "payload"]
-    df = entries_df.select(*cols)
+    """H1: ``(chain, entry_id, ts[, block], seq, entry_hash)``; ``seq`` is
+    1-based in (ts, entry_id) order inside the chain (inside the block when
+    blocked). Rows are hash-partitioned by chain (and block) and sorted inside
+    each partition, so one Python pass per partition hashes many chains."""
+    df = entries_df.select("chain", "entry_id", "ts", "payload")
     chain_type = dict(df.dtypes)["chain"]
-    if block_col is None:
-        schema = f"chain {chain_type}, entry_id long, ts timestamp_ntz, seq long, entry_hash string"
-        return df.groupBy("chain").applyInPandas(_chain_fn(seed, sep, False), schema)
-    df = df.withColumn("block", block_col.cast("string"))
-    schema = f"chain {chain_type}, entry_id long, ts timestamp_ntz, block string, seq long, entry_hash string"
-    return df.groupBy("chain", "block").applyInPandas(_chain_fn(seed, sep, True), schema)
+    blocked = block_col is not None
+    keys = ["chain", "block"] if blocked else ["chain"]
+    if blocked:
+        df = df.withColumn("block", block_col.cast("string"))
+    out_cols = ["chain", "entry_id", "ts"] + (["block"] if blocked else []) + ["seq", "entry_hash"]
+    schema = (f"chain {chain_type}, entry_id long, ts timestamp_ntz, "
+              + ("block string, " if blocked else "") + "seq long, entry_hash string")
+    parts = df.sparkSession.conf.get("spark.sql.shuffle.partitions")
+    ordered_rows = df.repartition(int(parts), *keys).sortWithinPartitions(*keys, "ts", "entry_id")
+    return ordered_rows.mapInPandas(_chain_fn(seed, sep, blocked, out_cols), schema)
 
 
 def block_digests(chain_df: DataFrame, seed: str = SEED, sep: str = SEP) -> DataFrame:
