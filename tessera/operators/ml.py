@@ -74,20 +74,23 @@ def hash_sample(df: DataFrame, key_cols: list[str], n: int = SAMPLE_ROWS, seed:
     """N rows without replacement, deterministic for a seed; all rows
     when there are at most n.
 
-    Rows are ranked by a seeded 64-bit hash of the key. A first count gives
-    the fraction; the filter keeps about 1.1 n candidates, and only those are
-    sorted. If the threshold keeps too few, it is widened and retried.
+    Rows are ranked by a seeded hash of the key (the first 15 hex digits of
+    md5('<seed>|k1|k2...'), as a fraction of 16^15; MD5 so any engine can
+    reproduce the sample). A first count gives the fraction; the filter keeps
+    about 1.1 n candidates, and only those are sorted. If the threshold keeps
+    too few, it is widened and retried.
     """
     total = df.count()
     if total <= n:
         return df
-    u = F.xxhash64(F.lit(seed), *[F.col(c) for c in key_cols]).cast("double") / F.lit(float(2 ** 64)) + F.lit(0.5)
-    h = df.withColumn("_u", u)
+    text = F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in key_cols])
+    rank = F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+    h = df.withColumn("_r", rank).withColumn("_u", F.col("_r") / F.lit(float(16 ** 15)))
     frac = min(1.0, n / total * 1.1 + 1e-4)
     while True:
         cand = h.filter(F.col("_u") < frac)
         if frac >= 1.0 or cand.count() >= n:
-            return cand.orderBy("_u", *key_cols).limit(n).drop("_u")
+            return cand.orderBy("_r", *key_cols).limit(n).drop("_u", "_r")
         frac = min(1.0, frac * 1.5)
 
 

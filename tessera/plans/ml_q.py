@@ -75,4 +75,8 @@ QUERIES = {
     "sample_hash": sample_hash, "causes_ranked": causes_ranked, "ensemble_train": ensemble_train,
     "rf_importance": rf_importance, "conformal": conformal, "granger": granger,
 }
-ORACLE: dict = {}
+ORACLE = {
+    "sample_hash": """SELECT * FROM lineitem ORDER BY
+        CAST('0x' || substr(md5('42|' || CAST(l_orderkey AS VARCHAR) || '|' || CAST(l_linenumber AS VARCHAR) || '|'
+          || CAST(l_partkey AS VARCHAR)), 1, 15) AS BIGINT), l_orderkey, l_linenumber, l_partkey LIMIT 5000""",
+}
