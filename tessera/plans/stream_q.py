@@ -1,4 +1,86 @@
-"""Query bindings (filled in below)."""
+"""Streaming bindings: each runs its stream to completion (availableNow) on
+the ``events`` file and returns the read-back result as a batch frame. The
+batch twins are the batch operators; the oracles below are their SQL.
+"""
 
-QUERIES = {}
-ORACLE = {}
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tessera.streaming import ops
+from tessera.plans.common import sig, sql_sig
+
+
+def _events(spark, sf_dir):
+    return ops.read_events_stream(spark, sf_dir, glob="events.parquet")
+
+
+def stream_arrivals(spark, sf_dir):
+    ev = _events(spark, sf_dir).withColumn("key", F.get_json_object("props", "$.k"))
+    path = ops.arrivals(spark, ev, "key")
+    return spark.read.parquet(path).select("key", F.col("first_ts").cast("timestamp_ntz").alias("first_ts"))
+
+
+def stream_window_counts(spark, sf_dir):
+    ev = _events(spark, sf_dir)
+    _, out = ops.run_to_parquet(ops.window_counts(ev, "event_type", size="1 hour", watermark="1 hour"),
+                                spark, "window-counts")
+    return spark.read.parquet(out).select(F.col("window_start").cast("timestamp_ntz").alias("window_start"),
+                                          "event_type", "n")
+
+
+def stream_snapshots(spark, sf_dir):
+    ev = _events(spark, sf_dir)
+    _, out = ops.run_to_parquet(ops.window_counts(ev, "event_type", size="5 seconds", watermark="1 minute",
+                                                  value="value"), spark, "snapshots")
+    return spark.read.parquet(out).select(F.col("window_start").cast("timestamp_ntz").alias("window_start"),
+                                          "event_type", "n", sig("total").alias("total"))
+
+
+def stream_ema(spark, sf_dir):
+    ev = _events(spark, sf_dir)
+    _, out = ops.run_to_parquet(ops.ema_stream(ev, "event_type", "value"), spark, "ema")
+    res = spark.read.parquet(out)
+    latest = res.groupBy("event_type").agg(F.max_by(F.struct("ema", "events"), "events").alias("s"))
+    return latest.select("event_type", F.col("s.events").alias("events"), sig("s.ema").alias("ema"))
+
+
+def stream_breaker(spark, sf_dir):
+    ev = _events(spark, sf_dir).withColumn("failed", F.col("event_type") == "error")
+    _, out = ops.run_to_parquet(ops.breaker_stream(ev, "user_id", "failed"), spark, "breaker")
+    return spark.read.parquet(out).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+def stream_signals(spark, sf_dir):
+    ev = _events(spark, sf_dir)
+    handlers = (spark.read.parquet(f"{sf_dir}/events.parquet")
+                .select(F.concat("event_type", F.lit("_handler")).alias("component"))
+                .filter(F.col("component") != "error_handler").distinct().withColumn("role", F.lit("AGENT")))
+    sigs = ev.select("event_id", F.when(F.col("event_type") == "error", F.lit("*"))
+                     .otherwise(F.concat("event_type", F.lit("_handler"))).alias("target"))
+    _, out = ops.run_to_parquet(ops.route_signals(sigs, handlers), spark, "signals")
+    return spark.read.parquet(out).select("event_id", "target", "component", "role")
+
+
+QUERIES = {
+    "stream_arrivals": stream_arrivals, "stream_window_counts": stream_window_counts,
+    "stream_snapshots": stream_snapshots, "stream_ema": stream_ema,
+    "stream_breaker": stream_breaker, "stream_signals": stream_signals,
+}
+
+
+def _closed(size_us, wm_us):
+    return f"window_start + INTERVAL {size_us} MICROSECONDS <= (SELECT max(ts) FROM events) - INTERVAL {wm_us} MICROSECONDS"
+
+
+ORACLE = {
+    "stream_arrivals": """SELECT json_extract_string(props, '$.k') AS key, min(ts) AS first_ts FROM events GROUP BY 1""",
+    "stream_window_counts": f"""SELECT * FROM (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type,
+        count(*) AS n FROM events GROUP BY ALL) WHERE {_closed(3600 * 10**6, 3600 * 10**6)}""",
+    "stream_snapshots": f"""SELECT window_start, event_type, n, {sql_sig('total')} AS total FROM (
+        SELECT time_bucket(INTERVAL 5 SECOND, ts) AS window_start, event_type, count(*) AS n, sum(value) AS total
+        FROM events GROUP BY ALL) WHERE {_closed(5 * 10**6, 60 * 10**6)}""",
+    "stream_ema": __import__("tessera.plans.state_q", fromlist=["ORACLE"]).ORACLE["latency_ema"],
+    "stream_breaker": __import__("tessera.plans.state_q", fromlist=["ORACLE"]).ORACLE["breaker_states"],
+    "stream_signals": __import__("tessera.plans.catalog_q", fromlist=["ORACLE"]).ORACLE["signal_fanout"],
+}
