@@ -13,12 +13,14 @@ from pyspark.sql import functions as F
 from tessera.operators import access
 from tessera.plans.common import sig, sql_sig, table
 
-K = F.get_json_object("props", "$.k")
+def K():
+    """The access key: props.k."""
+    return F.get_json_object("props", "$.k")
 
 
 def _log(spark, sf_dir):
     ev = table(spark, sf_dir, "events")
-    return ev.select(K.alias("key"), F.col("user_id").alias("component"), "ts", "event_id",
+    return ev.select(K().alias("key"), F.col("user_id").alias("component"), "ts", "event_id",
                      "event_type", "value")
 
 
@@ -45,7 +47,7 @@ def access_recent(spark, sf_dir):
 
 
 def _shares(spark, sf_dir):
-    ev = table(spark, sf_dir, "events").select(F.col("event_type").alias("source"), K.alias("target"))
+    ev = table(spark, sf_dir, "events").select(F.col("event_type").alias("source"), K().alias("target"))
     return access.transition_share(ev)
 
 
@@ -60,7 +62,7 @@ def next_targets(spark, sf_dir):
 
 def hit_rates(spark, sf_dir):
     ev = table(spark, sf_dir, "events").select(
-        F.to_date("ts").alias("day"),
+        F.date_trunc("day", "ts").cast("timestamp_ntz").alias("day"),
         F.when(F.col("event_type") == "view", 1).when(F.col("event_type") == "click", 2)
          .when(F.col("event_type") == "signup", 3).alias("level"))
     out = access.hit_rates(ev, group_cols=["day"])
@@ -79,7 +81,7 @@ def traffic_totals(spark, sf_dir):
 
 def _tier_counts(spark, sf_dir):
     ev = table(spark, sf_dir, "events")
-    return (ev.select(F.concat_ws(":", "event_type", K).alias("key"), "ts", "value")
+    return (ev.select(F.concat_ws(":", "event_type", K()).alias("key"), "ts", "value")
               .groupBy("key").agg(F.count(F.lit(1)).alias("accesses"), F.max("ts").alias("last_ts"),
                                   F.sum("value").alias("size_bytes")))
 
@@ -182,7 +184,7 @@ ORACLE = {
     "transition_share": _SHARES + f"SELECT source, target, n, {sql_sig('share')} AS share FROM s",
     "next_targets": _SHARES + f"""SELECT source, target, rank, {sql_sig('share')} AS share FROM (
         SELECT *, row_number() OVER (PARTITION BY source ORDER BY share DESC, target) AS rank FROM s) WHERE rank <= 5""",
-    "hit_rates": f"""WITH e AS (SELECT CAST(ts AS DATE) AS day, CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN 2
+    "hit_rates": f"""WITH e AS (SELECT date_trunc('day', ts) AS day, CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN 2
           WHEN 'signup' THEN 3 END AS level FROM events),
         c AS (SELECT day, count(*) AS requests, count(*) FILTER (WHERE level = 1) AS l1_hits,
           count(*) FILTER (WHERE level = 2) AS l2_hits, count(*) FILTER (WHERE level = 3) AS l3_hits FROM e GROUP BY day)

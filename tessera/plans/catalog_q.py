@@ -102,12 +102,14 @@ def folder_sizes(spark, sf_dir):
     return catalog.folder_sizes(catalog.hierarchy_edges(_pages_catalog(spark, sf_dir)))
 
 
-K = F.get_json_object("props", "$.k")
+def K():
+    """The access key: props.k."""
+    return F.get_json_object("props", "$.k")
 
 
 def route_requests(spark, sf_dir):
     ev = table(spark, sf_dir, "events")
-    req = ev.select("event_id", K.alias("data_id"), F.col("event_type").alias("preferred_source"))
+    req = ev.select("event_id", K().alias("data_id"), F.col("event_type").alias("preferred_source"))
     counts = req.groupBy("data_id").agg(F.count(F.lit(1)).alias("accesses"))
     tiers = access.tier_table(counts, key="data_id")
     cached = tiers.filter(F.col("tier") == "L1_HOT").select("data_id")

@@ -58,7 +58,7 @@ def run_summary(spark, sf_dir):
 
 def health_score(spark, sf_dir):
     ev = table(spark, sf_dir, "events").select(
-        F.to_date("ts").alias("day"), "user_id", F.get_json_object("props", "$.k").alias("key"), "event_type")
+        F.date_trunc("day", "ts").cast("timestamp_ntz").alias("day"), "user_id", F.get_json_object("props", "$.k").alias("key"), "event_type")
     out = monitor.health_score(ev, ["day"], F.col("event_type").isin("view", "click", "signup"), "user_id", "key")
     return out.select("day", "requests", "hits", "keys", sig("hit_rate").alias("hit_rate"),
                       sig("active_share").alias("active_share"), "score", "status")
@@ -130,7 +130,7 @@ ORACLE = {
         arg_min(event_type || '#' || CAST(event_id AS VARCHAR), (ts, event_type || '#' || CAST(event_id AS VARCHAR)))
           FILTER (WHERE event_type = 'error') AS failure_phase
         FROM events GROUP BY 1""",
-    "health_score": f"""WITH e AS (SELECT CAST(ts AS DATE) AS day, user_id, json_extract_string(props, '$.k') AS key,
+    "health_score": f"""WITH e AS (SELECT date_trunc('day', ts) AS day, user_id, json_extract_string(props, '$.k') AS key,
           event_type FROM events),
         reg AS (SELECT count(DISTINCT user_id) AS registered FROM e),
         g AS (SELECT day, count(*) AS requests, count(*) FILTER (WHERE event_type IN ('view', 'click', 'signup')) AS hits,
