@@ -98,7 +98,10 @@ def hash_sample(df: DataFrame, key_cols: list[str], n: int = SAMPLE_ROWS, seed:
 def build_model(name: str, trees: int, seed: int = SEED):
     p = dict(MODEL_PARAMS[name])
     kind = p.pop("kind")
-    common = {"featuresCol": "features", "labelCol": "label", "predictionCol": name, "seed": seed}
+    # more memory per pass lets each tree level split more nodes per data
+    # scan; node ids are cached so deep trees do not re-walk every row
+    common = {"featuresCol": "features", "labelCol": "label", "predictionCol": name, "seed": seed,
+              "maxMemoryInMB": 1024, "cacheNodeIds": True, "checkpointInterval": 10}
     if kind == "gbt":
         return GBTRegressor(maxIter=trees, **p, **common)
     return RandomForestRegressor(numTrees=trees, **p, **common)

@@ -50,12 +50,20 @@ def unpivot_views(wide: DataFrame, id_cols: list[str]) -> DataFrame:
 
 def pivot_views(long: DataFrame, id_col: str, periods: list[str], years: list[int],
                 regions: list[str]) -> DataFrame:
-    """Long -> wide ``views_{period}_{yy}_{region}`` with a fixed column list."""
+    """Long -> wide ``views_{period}_{yy}_{region}`` with a fixed column list.
+
+    One aggregate per title builds a map cell name -> summed views (bounded by
+    the fixed column list), then every output column is a map lookup. This
+    is the pivot without Spark's per-value pivot buffers; cells a title never
+    measured stay NULL.
+    """
     names = [view_column_name(p, y, r) for y in years for p in periods for r in regions]
     keyed = long.select(id_col, F.concat(F.lit("views_"), F.col("period"), F.lit("_"),
                                          F.lpad((F.col("year") % 100).cast("string"), 2, "0"),
                                          F.lit("_"), F.col("region")).alias("column"), "views")
-    return keyed.groupBy(id_col).pivot("column", names).agg(F.sum("views"))
+    cells = keyed.filter(F.col("column").isin(names)).groupBy(id_col, "column").agg(F.sum("views").alias("v"))
+    per = cells.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("column", "v"))).alias("_m"))
+    return per.select(id_col, *[F.col("_m").getItem(n).alias(n) for n in names])
 
 
 # ---------------------------------------------------------------- DQ1 / DQ3 / J17
