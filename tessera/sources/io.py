@@ -56,11 +56,11 @@ def read_any(spark: SparkSession, base: str, name: str, schema: StructType | Non
 
 
 def latest_file(spark: SparkSession, pattern: str) -> str:
-    """S3: the newest file matching a glob, by modification time (ties by
-    path). Only file metadata is listed."""
+    """S3: the newest dataset matching a glob (a single file or a dataset
+    folder), by modification time, ties by path. Only metadata is listed."""
     fs, p = _fs(spark, pattern)
     st = fs.globStatus(p)
-    files = [(s.getModificationTime(), s.getPath().toString()) for s in (st or []) if s.isFile()]
+    files = [(s.getModificationTime(), s.getPath().toString()) for s in (st or [])]
     if not files:
         raise FileNotFoundError(pattern)
     return max(files)[1]
