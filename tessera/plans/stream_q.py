@@ -62,7 +62,33 @@ def stream_signals(spark, sf_dir):
     return spark.read.parquet(out).select("event_id", "target", "component", "role")
 
 
+def stream_sliding_counts(spark, sf_dir):
+    ev = _events(spark, sf_dir)
+    _, out = ops.run_to_parquet(ops.window_counts(ev, "event_type", size="1 day", slide="1 hour",
+                                                  watermark="1 hour"), spark, "sliding")
+    return spark.read.parquet(out).select(F.col("window_start").cast("timestamp_ntz").alias("window_start"),
+                                          "event_type", "n")
+
+
+def stream_coherency(spark, sf_dir):
+    ev = _events(spark, sf_dir)
+    action = (F.when(F.col("event_type") == "signup", "register").when(F.col("event_type") == "view", "read")
+               .when(F.col("event_type") == "click", "write").when(F.col("event_type") == "purchase", "update")
+               .otherwise("sync"))
+    src = ev.select(F.get_json_object("props", "$.k").alias("block"),
+                    F.concat(F.lit("site_"), (F.col("user_id") % 3).cast("string")).alias("source"),
+                    "ts", "event_id", action.alias("action"))
+    _, out = ops.run_to_parquet(ops.coherency_stream(src), spark, "coherency")
+    res = spark.read.parquet(out)
+    # newest emitted row per copy = its current state
+    latest = res.groupBy("block", "source").agg(
+        F.max_by(F.struct("state", "version", "last_ts"), "batch_rows").alias("s"))
+    return latest.select("block", "source", "s.state", "s.version",
+                         F.col("s.last_ts").cast("timestamp_ntz").alias("last_ts"))
+
+
 QUERIES = {
+    "stream_sliding_counts": stream_sliding_counts, "stream_coherency": stream_coherency,
     "stream_arrivals": stream_arrivals, "stream_window_counts": stream_window_counts,
     "stream_snapshots": stream_snapshots, "stream_ema": stream_ema,
     "stream_breaker": stream_breaker, "stream_signals": stream_signals,
@@ -74,6 +100,12 @@ def _closed(size_us, wm_us):
 
 
 ORACLE = {
+    "stream_sliding_counts": """WITH h AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS hs, event_type FROM events),
+        w AS (SELECT hs - INTERVAL (k) HOUR AS window_start, event_type FROM h, range(0, 24) r(k))
+        SELECT window_start, event_type, count(*) AS n FROM w
+        WHERE window_start + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR
+        GROUP BY ALL""",
+    "stream_coherency": __import__("tessera.plans.state_q", fromlist=["ORACLE"]).ORACLE["coherency_fold"],
     "stream_arrivals": """SELECT json_extract_string(props, '$.k') AS key, min(ts) AS first_ts FROM events GROUP BY 1""",
     "stream_window_counts": f"""SELECT * FROM (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type,
         count(*) AS n FROM events GROUP BY ALL) WHERE {_closed(3600 * 10**6, 3600 * 10**6)}""",

@@ -168,3 +168,53 @@ def periodic(stream: DataFrame, fn, spark: SparkSession, name: str, every: str =
     w = stream.writeStream.foreachBatch(fn).option("checkpointLocation", ck)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=every)
     return w.start()
+
+
+# ---------------------------------------------------------------- ST6
+def coherency_stream(stream: DataFrame, block: str = "block", source: str = "source",
+                     action: str = "action", ts: str = "ts", tie: str = "event_id") -> DataFrame:
+    """ST6: replica state machine per logical block kept in state (one small
+    JSON record per block: source -> [state, version, last_ts]).
+
+    Same rules as the batch ``state.coherency_state``: register -> EXCLUSIVE
+    v1; read turns EXCLUSIVE into SHARED (misses change nothing); write ->
+    MODIFIED and other copies INVALID; update -> MODIFIED, version + 1, other
+    copies INVALID; sync -> SHARED. After each micro-batch the block's copies
+    are emitted; the newest row per copy is the current state.
+    """
+    import json
+
+    out_schema = (f"{block} string, {source} string, state string, version long, last_ts timestamp, "
+                  "invalidated long, batch_rows long")
+    state_schema = "copies string, seen long"
+
+    def fn(k, pdfs, st):
+        copies, seen = (json.loads(st.get[0]), st.get[1]) if st.exists else ({}, 0)
+        inval, n = 0, 0
+        for pdf in pdfs:
+            pdf = pdf.sort_values([ts, tie], kind="mergesort")
+            for src, act, t in zip(pdf[source].tolist(), pdf[action].tolist(), pdf[ts].tolist()):
+                n += 1
+                cur = copies.get(src)
+                iso = pd.Timestamp(t).isoformat()
+                if act == "read":
+                    if cur is not None and cur[0] == "EXCLUSIVE":
+                        cur[0] = "SHARED"
+                    continue
+                if act == "register":
+                    copies[src] = ["EXCLUSIVE", 1, iso]
+                elif act == "sync":
+                    copies[src] = ["SHARED", cur[1] if cur else 1, iso]
+                else:  # write / update
+                    ver = (cur[1] if cur else 1) + (1 if act == "update" else 0)
+                    copies[src] = ["MODIFIED", ver, iso]
+                    for other, c in copies.items():
+                        if other != src and c[0] != "INVALID":
+                            c[0] = "INVALID"
+                            inval += 1
+        st.update((json.dumps(copies), seen + n))
+        rows = [(k[0], s, c[0], int(c[1]), pd.Timestamp(c[2]), inval, n) for s, c in sorted(copies.items())]
+        yield pd.DataFrame(rows, columns=[block, source, "state", "version", "last_ts", "invalidated", "batch_rows"])
+
+    return (stream.select(block, source, action, ts, tie).groupBy(block)
+                  .applyInPandasWithState(fn, out_schema, state_schema, "append", GroupStateTimeout.NoTimeout))
