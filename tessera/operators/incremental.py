@@ -63,10 +63,10 @@ def state_summary(processed: DataFrame, key: str, sample: int = 1000) -> DataFra
 
     The sample is a bounded top-k (TakeOrdered), never the whole set.
     """
-    n = processed.agg(F.count(F.lit(1)).alias("processed_count"))
+    n = processed.agg(F.count(F.lit(1))).scalar()  # scalar subquery
     keys = (processed.select(F.col(key).cast("string").alias("k")).orderBy("k").limit(sample)
                      .agg(F.sort_array(F.collect_list("k")).alias("sample_keys")))
-    return n.crossJoin(keys)
+    return keys.select(n.alias("processed_count"), "sample_keys")
 
 
 def write_version(df: DataFrame, base: str, version: str) -> str:

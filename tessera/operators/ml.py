@@ -176,8 +176,8 @@ def conformal_intervals(calibration: DataFrame, scored: DataFrame, prediction: s
     resid = calibration.select(F.abs(F.col("label") - F.col(prediction)).alias("r"))
     n = resid.count()
     ql = min(1.0, math.ceil((n + 1) * level) / max(n, 1))
-    qv = resid.agg(F.percentile_approx("r", ql, accuracy).alias("q"))
-    return scored.crossJoin(F.broadcast(qv)).select(
+    q = resid.agg(F.percentile_approx("r", ql, accuracy)).scalar()  # scalar subquery
+    return scored.withColumn("q", q).select(
         "*", (F.col(prediction) - F.col("q")).alias("lower"), (F.col(prediction) + F.col("q")).alias("upper"))
 
 

@@ -31,11 +31,11 @@ def _ladder(x: Column, steps, floor_points) -> Column:
 
 def health_score(log: DataFrame, group_cols: list[str], hit: Column, component: str, key: str) -> DataFrame:
     """Per group: hit rate, active share, distinct keys, score and status."""
-    registered = log.agg(F.count_distinct(component).alias("registered"))  # one row
+    registered = log.agg(F.count_distinct(component)).scalar()  # scalar subquery
     g = log.groupBy(*group_cols).agg(
         F.count(F.lit(1)).alias("requests"), F.count_if(hit).alias("hits"),
         F.count_distinct(component).alias("active"), F.count_distinct(key).alias("keys"))
-    g = g.crossJoin(F.broadcast(registered))
+    g = g.withColumn("registered", registered)
     rate = F.col("hits") / F.greatest(F.col("requests"), F.lit(1))
     share = F.col("active") / F.greatest(F.col("registered"), F.lit(1))
     score = (_ladder(rate, HIT_RATE_STEPS, HIT_RATE_FLOOR) + F.floor(share * 30).cast("int")

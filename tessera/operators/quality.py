@@ -77,8 +77,8 @@ def gate_summary(checks: DataFrame, modes: list[str] = FAILURE_MODES) -> DataFra
         F.coalesce("checks", F.lit(0)).cast("long").alias("checks"),
         F.coalesce("failures", F.lit("")).alias("failures"))
     first = full.agg(F.min_by(F.when(~F.col("ok"), F.col("mode")),
-                              F.when(~F.col("ok"), F.col("mode_order"))).alias("first_failure"))
-    return full.crossJoin(first).drop("mode_order")
+                              F.when(~F.col("ok"), F.col("mode_order")))).scalar()
+    return full.withColumn("first_failure", first).drop("mode_order")
 
 
 def enforce(checks: DataFrame) -> None:

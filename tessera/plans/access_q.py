@@ -112,8 +112,8 @@ def key_parts(spark, sf_dir):
 
 def stale_blocks(spark, sf_dir):
     c = _tier_counts(spark, sf_dir)
-    as_of = table(spark, sf_dir, "events").agg(F.max("ts").alias("as_of"))
-    j = c.crossJoin(F.broadcast(as_of))
+    as_of = table(spark, sf_dir, "events").agg(F.max("ts")).scalar()  # scalar subquery
+    j = c.withColumn("as_of", as_of)
     return access.stale_entries(j, F.col("as_of"), ts="last_ts").select("key", "last_ts", "as_of")
 
 
