@@ -66,6 +66,10 @@ def training_frame(df: DataFrame, features: list[str], target: str, min_rows: in
         n = clean.count()
         if n < min_rows:
             raise TrainingInputError(f"only {n} training rows, need {min_rows}")
+    # tree learners make many passes over the rows: spread them over every
+    # core (AQE may have coalesced a small join result into a few partitions)
+    parts = clean.sparkSession.sparkContext.defaultParallelism
+    clean = clean.repartition(parts)
     return VectorAssembler(inputCols=features, outputCol="features").transform(clean)
 
 
@@ -98,10 +102,9 @@ def hash_sample(df: DataFrame, key_cols: list[str], n: int = SAMPLE_ROWS, seed:
 def build_model(name: str, trees: int, seed: int = SEED):
     p = dict(MODEL_PARAMS[name])
     kind = p.pop("kind")
-    # more memory per pass lets each tree level split more nodes per data
-    # scan; node ids are cached so deep trees do not re-walk every row
+    # more memory per pass lets a forest split more nodes per data scan
     common = {"featuresCol": "features", "labelCol": "label", "predictionCol": name, "seed": seed,
-              "maxMemoryInMB": 1024, "cacheNodeIds": True, "checkpointInterval": 10}
+              "maxMemoryInMB": 1024}
     if kind == "gbt":
         return GBTRegressor(maxIter=trees, **p, **common)
     return RandomForestRegressor(numTrees=trees, **p, **common)
