@@ -110,16 +110,26 @@ def build_model(name: str, trees: int, seed: int = SEED):
     return RandomForestRegressor(numTrees=trees, **p, **common)
 
 
-def train_ensemble(train: DataFrame, trees: int = 20, models=("m1", "m2", "m3"), seed: int = SEED) -> dict:
+def train_ensemble(train: DataFrame, trees: int = 20, models=("m1", "m2", "m3"), seed: int = SEED,
+                   parallelism: int = 3) -> dict:
     """Fit each model; a model that fails to train is left out (its
-    prediction column becomes NULL and the ensemble renormalises)."""
-    fitted = {}
-    for m in models:
+    prediction column becomes NULL and the ensemble renormalises).
+
+    The fits are submitted from ``parallelism`` driver threads (as Spark's
+    ``CrossValidator(parallelism=...)`` does): tree learners run many short
+    jobs, and concurrent jobs keep the executors busy between them.
+    """
+    from concurrent.futures import ThreadPoolExecutor
+
+    def fit(m):
         try:
-            fitted[m] = build_model(m, trees, seed).fit(train)
+            return m, build_model(m, trees, seed).fit(train)
         except Exception:  # noqa: BLE001 - the original also continues
-            fitted[m] = None
-    return fitted
+            return m, None
+
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+        fitted = dict(pool.map(fit, models))
+    return {m: fitted[m] for m in models}
 
 
 def score(fitted: dict, df: DataFrame) -> DataFrame:

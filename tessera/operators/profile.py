@@ -253,12 +253,14 @@ def high_correlation_pairs(corr: DataFrame, threshold: float = HIGH_CORR) -> Dat
 def correlation_matrix(corr: DataFrame, features: list[str]) -> DataFrame:
     """Square matrix from the long table (mirror + diagonal of 1).
 
-    ``pivot`` gets the value list up front, so Spark does not run a distinct
-    job to discover it.
+    Each pair is mirrored with one ``explode`` (the long table is computed
+    once); ``pivot`` gets the value list up front, so Spark does not run a
+    distinct job to discover it.
     """
     spark = corr.sparkSession
     diag = spark.createDataFrame([(f, f, 1.0) for f in features], "f1 string, f2 string, r double")
-    full = (corr.select("f1", "f2", "r")
-                .unionByName(corr.select(F.col("f2").alias("f1"), F.col("f1").alias("f2"), "r"))
-                .unionByName(diag))
+    both = F.explode(F.array(F.struct(F.col("f1").alias("a"), F.col("f2").alias("b"), "r"),
+                             F.struct(F.col("f2").alias("a"), F.col("f1").alias("b"), "r")))
+    mirrored = corr.select(both.alias("p")).select(F.col("p.a").alias("f1"), F.col("p.b").alias("f2"), "p.r")
+    full = mirrored.unionByName(diag)
     return full.groupBy("f1").pivot("f2", features).agg(F.first("r"))

@@ -117,7 +117,18 @@ def stale_blocks(spark, sf_dir):
     return access.stale_entries(j, F.col("as_of"), ts="last_ts").select("key", "last_ts", "as_of")
 
 
+def recent_snapshots(spark, sf_dir):
+    """W10 over ST8: 5-second snapshots per event type, the last 100 kept."""
+    ev = table(spark, sf_dir, "events")
+    snaps = (ev.groupBy(F.window("ts", "5 seconds").start.cast("timestamp_ntz").alias("window_start"), "event_type")
+               .agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")))
+    last = access.top_n_per_group(snaps, ["event_type"], [F.col("window_start").desc()], 100,
+                                  salt_col="window_start")
+    return last.select("event_type", "window_start", "n", sig("total").alias("total"))
+
+
 QUERIES = {
+    "recent_snapshots": recent_snapshots,
     "access_stats": access_stats,
     "hot_keys": hot_keys,
     "access_gap": access_gap,
@@ -168,6 +179,10 @@ _H = "(l1_hits + l2_hits + l3_hits)"
 _MISS = "((requests - l1_hits) + (requests - l1_hits - l2_hits) + (requests - l1_hits - l2_hits - l3_hits))"
 
 ORACLE = {
+    "recent_snapshots": f"""SELECT event_type, window_start, n, {sql_sig('total')} AS total FROM (
+        SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY window_start DESC) AS rn FROM (
+          SELECT time_bucket(INTERVAL 5 SECOND, ts) AS window_start, event_type, count(*) AS n, sum(value) AS total
+          FROM events GROUP BY ALL)) WHERE rn <= 100""",
     "access_stats": _STATS + f"""SELECT s.key, accesses, n_components, first_ts, last_ts,
         {sql_sig('avg_interval_ms')} AS avg_interval_ms FROM stats s JOIN gaps g ON s.key = g.key""",
     "hot_keys": _STATS + f"""SELECT s.key, accesses, n_components, {sql_sig('avg_interval_ms')} AS avg_interval_ms,

@@ -59,7 +59,15 @@ def correlation_zero_filled(spark, sf_dir):
     return corr.select("f1", "f2", "n", sig("r", 9).alias("r"))
 
 
+def correlation_matrix(spark, sf_dir):
+    feats = sorted(CORR_FEATURES)
+    corr = profile.correlation_long(_corr_input(spark, sf_dir), feats)
+    m = profile.correlation_matrix(corr.select("f1", "f2", sig("r").alias("r")), feats)
+    return m
+
+
 QUERIES = {
+    "correlation_matrix": correlation_matrix,
     "feature_variance_topk": feature_variance_topk,
     "correlation_long": correlation_long,
     "correlation_long_gram": correlation_long_gram,
@@ -113,7 +121,17 @@ def _corr_zero_sql():
     return f"SELECT f1, f2, n, {sql_sig('r', 9)} AS r FROM ({' UNION ALL '.join(arms)}) c"
 
 
+def _matrix_sql():
+    f = sorted(CORR_FEATURES)
+    long = _corr_sql()
+    full = (f"SELECT f1, f2, r FROM ({long}) a UNION ALL SELECT f2, f1, r FROM ({long}) b "
+            + " ".join(f"UNION ALL SELECT '{x}', '{x}', 1.0" for x in f))
+    cols = ", ".join(f"max(CASE WHEN f2 = '{x}' THEN r END) AS {x}" for x in f)
+    return f"SELECT f1, {cols} FROM ({full}) m GROUP BY f1"
+
+
 ORACLE = {
+    "correlation_matrix": _matrix_sql(),
     "feature_variance_topk": _variance_sql(),
     "correlation_long": _corr_sql(),
     "correlation_long_gram": _corr_sql(9),

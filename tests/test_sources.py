@@ -53,3 +53,16 @@ def test_versioned_key_table(spark):
     incremental.write_version(spark.createDataFrame([(1,)], "k long"), base, "0001")
     incremental.write_version(spark.createDataFrame([(1,), (2,)], "k long"), base, "0002")
     assert incremental.read_latest_version(spark, base).count() == 2
+
+
+def test_json_sink_partitioned_and_single(spark):
+    base = scratch_path(spark, "json")
+    df = spark.createDataFrame([("2024-01-01", "ok", 3), ("2024-01-02", "stop", 1)],
+                               "run_date string, status string, phases long")
+    io.write_json_rows(df, f"{base}/summary", partition_by=["run_date"])
+    io.write_json_rows(df, f"{base}/summary", partition_by=["run_date"])  # append
+    back = spark.read.json(f"{base}/summary")
+    assert back.count() == 4 and set(back.columns) == {"run_date", "status", "phases"}
+    io.write_json_rows(df.select(F.to_json(F.struct("status", "phases")).alias("j")), f"{base}/one", single_file=True)
+    files = [f for f in os.listdir(f"{base}/one") if f.endswith(".json")]
+    assert len(files) == 1
