@@ -10,9 +10,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.operators import access, audit, monitor, profile, quality, views
+from tessera.operators import access, monitor, profile, quality, views
 from tessera.plans.common import sig, sql_sig, table
-from tessera.plans import views_q, audit_q, access_q
+from tessera.plans import access_q, audit_q, views_q
 
 
 def _registry(spark, sf_dir):
@@ -79,12 +79,6 @@ QUERIES = {
 _TEMPORAL_N = """(SELECT count(*) FROM lineitem JOIN orders ON l_orderkey = o_orderkey
   WHERE year(l_shipdate) < year(o_orderdate))"""
 
-_CHECKS = f"""SELECT 'DATA_BREAKDOWN' AS mode, 'orders_complete' AS "check", count(*) > 0 AS ok,
-    'orders rows: ' || count(*) AS message FROM orders
-  UNION ALL SELECT 'DATA_BREAKDOWN', 'orders_complete', count(*) FILTER (WHERE {{c}} IS NULL) = 0,
-    'orders.{{c}} nulls: ' || count(*) FILTER (WHERE {{c}} IS NULL) FROM orders"""
-
-
 def _completeness(tbl, cols):
     parts = [f"SELECT 'DATA_BREAKDOWN' AS mode, '{tbl}_complete' AS \"check\", count(*) > 0 AS ok, "
              f"'{tbl} rows: ' || count(*) AS message FROM {tbl}"]
@@ -94,7 +88,7 @@ def _completeness(tbl, cols):
     return " UNION ALL ".join(parts)
 
 
-_AUDIT_BREAKS = "(SELECT sum(breaks) FROM (" + audit_q.ORACLE["audit_verify"].replace("WITH RECURSIVE", "WITH RECURSIVE", 1) + "))"
+_AUDIT_BREAKS = "(SELECT sum(breaks) FROM (" + audit_q.ORACLE["audit_verify"] + "))"
 
 _CHECK_SQL = (
     _completeness("orders", ["o_orderkey", "o_custkey", "o_orderdate"]) + " UNION ALL " +
@@ -143,7 +137,7 @@ ORACLE = {
         SELECT day, requests, hits, keys, {sql_sig('hit_rate')} AS hit_rate, {sql_sig('active_share')} AS active_share,
           score, CASE WHEN score > 70 THEN 'healthy' WHEN score > 40 THEN 'degraded' ELSE 'critical' END AS status
         FROM sc""",
-    "tier_usage": __import__("tessera.plans.access_q", fromlist=["_TIERS"])._TIERS + f""",
+    "tier_usage": access_q._TIERS + f""",
         cap AS (SELECT * FROM (VALUES ('L1_HOT', 5000.0), ('L2_WARM', 20000.0), ('L3_COLD', 80000.0),
           ('UNCACHED', NULL)) c(tier, capacity))
         SELECT t.tier, {sql_sig('sum(size_bytes)')} AS bytes, count(*) AS entries,

@@ -75,3 +75,26 @@ def test_matrix_symmetric_unit_diagonal(spark):
     assert m["a"]["b"] == pytest.approx(m["b"]["a"])
     top = profile.high_correlation_pairs(profile.correlation_long(df, feats), threshold=0.0).collect()
     assert [abs(t.r) for t in top] == sorted((abs(t.r) for t in top), reverse=True)
+
+
+def test_wide_table_in_column_groups(spark):
+    n_cols = 250
+    df = spark.range(40).select(*[((F.col("id") * (i + 1)) % 7).cast("double").alias(f"c{i}") for i in range(n_cols)])
+    var = {r.feature: r.variance for r in profile.feature_variance(df, group_size=100).collect()}
+    assert len(var) == n_cols
+    import statistics
+    for i in (0, 99, 100, 249):
+        vals = [float((k * (i + 1)) % 7) for k in range(40)]
+        assert var[f"c{i}"] == pytest.approx(statistics.pvariance(vals))
+
+
+def test_gram_many_features_matches_builtin(spark):
+    k = 30
+    df = spark.range(300).select(*[F.when((F.col("id") + i) % 11 == 0, None)
+                                   .otherwise(F.sin(F.col("id") * (i + 1))).alias(f"x{i}") for i in range(k)])
+    feats = [f"x{i}" for i in range(k)]
+    g = {(r.f1, r.f2): r.r for r in profile.correlation_long(df, feats, method="gram").collect()}
+    b = {(r.f1, r.f2): r.r for r in profile.correlation_long(df, feats[:6], method="builtin").collect()}
+    assert len(g) == k * (k - 1) // 2
+    for key, v in b.items():
+        assert g[key] == pytest.approx(v, abs=1e-10)
