@@ -4,10 +4,10 @@ Operators P1-P3, P6, P7, A1-A4, W1, W2, J6.
 
 Scale notes
 -----------
-* Variance is one wide aggregate per column group (``group_size`` columns).
-  Each group's scan reads only its own columns (Parquet column pruning), so
-  the table is read once in total, and the aggregate is map-side partial, so
-  the shuffle is one row per task per group regardless of row count.
+* Variance is one wide aggregate (up to ``group_size`` columns; wider tables
+  per column group, each group's scan reading only its own columns). The
+  aggregate is map-side partial, so the shuffle is one row per task per
+  group regardless of row count.
 * Correlation never materialises row pairs. Each pair needs six moment sums
   over the rows where both values exist. For few features they are built-in
   aggregates; for many features each task builds its partial moment matrices
@@ -76,13 +76,24 @@ def _unpivot_row(agg_df: DataFrame, names: list[str], value_name: str) -> DataFr
 
 # ---------------------------------------------------------------- A1
 def feature_variance(df: DataFrame, features: list[str] | None = None,
-                     nulls: str = "zero", group_size: int = 100) -> DataFrame:
+                     nulls: str = "zero", group_size: int = 500,
+                     materialize: bool = False) -> DataFrame:
     """A1: population variance per feature as ``(feature, variance)``.
 
     ``nulls='zero'`` fills NULL/NaN with 0 first (parity with the original);
     ``nulls='ignore'`` skips them (quirk Q2).
+
+    Up to ``group_size`` features are one aggregate (one pass). Wider tables
+    are cut into column groups; on a Parquet scan each group reads only its
+    own columns. A derived input would be recomputed per group, so
+    ``materialize=True`` checkpoints it to the shared checkpoint folder first.
     """
     features = features if features is not None else feature_columns(df)
+    if materialize and len(features) > group_size:
+        from tessera.session import checkpoint_dir
+
+        checkpoint_dir(df.sparkSession)
+        df = df.select(*features).checkpoint(eager=True)
     parts = []
     for grp in _groups(features, group_size):
         exprs = []

@@ -52,18 +52,16 @@ def pivot_views(long: DataFrame, id_col: str, periods: list[str], years: list[in
                 regions: list[str]) -> DataFrame:
     """Long -> wide ``views_{period}_{yy}_{region}`` with a fixed column list.
 
-    One aggregate per title builds a map cell name -> summed views (bounded by
-    the fixed column list), then every output column is a map lookup. This
-    is the pivot without Spark's per-value pivot buffers; cells a title never
+    Spark's pivot with the value list given up front: no distinct job, a
+    fixed output schema, and a hash lookup of the cell per row (partial
+    aggregation per (title, cell) before the shuffle). Cells a title never
     measured stay NULL.
     """
     names = [view_column_name(p, y, r) for y in years for p in periods for r in regions]
     keyed = long.select(id_col, F.concat(F.lit("views_"), F.col("period"), F.lit("_"),
                                          F.lpad((F.col("year") % 100).cast("string"), 2, "0"),
                                          F.lit("_"), F.col("region")).alias("column"), "views")
-    cells = keyed.filter(F.col("column").isin(names)).groupBy(id_col, "column").agg(F.sum("views").alias("v"))
-    per = cells.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("column", "v"))).alias("_m"))
-    return per.select(id_col, *[F.col("_m").getItem(n).alias(n) for n in names])
+    return keyed.groupBy(id_col).pivot("column", names).agg(F.sum("views"))
 
 
 # ---------------------------------------------------------------- DQ1 / DQ3 / J17
@@ -109,10 +107,23 @@ def top_titles(long: DataFrame, group_cols: list[str], title_col: str, n: int =
 
 
 # ---------------------------------------------------------------- J12 / J13 / A25
-def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast hint only after checking the side is at most ``max_rows``
-    (a dimension with a fixed domain). Larger sides are joined as planned by
-    Catalyst/AQE. The count is one small job on the dimension only."""
+def estimated_bytes(df: DataFrame) -> int | None:
+    """The optimizer's size estimate of a plan (file sizes for a scan); no
+    job runs. None when Spark has no estimate."""
+    try:
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # noqa: BLE001 - e.g. Spark Connect
+        return None
+
+
+def bounded_broadcast(df: DataFrame, max_rows: int, max_bytes: int = 64 << 20) -> DataFrame:
+    """Broadcast hint only after checking the side's size: the optimizer's
+    estimate (metadata, no job) must be at most ``max_bytes``; without an
+    estimate the rows are counted against ``max_rows``. Larger sides are
+    joined as planned by Catalyst / AQE."""
+    est = estimated_bytes(df)
+    if est is not None:
+        return F.broadcast(df) if est <= max_bytes else df
     return F.broadcast(df) if df.count() <= max_rows else df
 
 

@@ -23,7 +23,7 @@ def feature_variance_topk(spark, sf_dir):
     feats = profile.feature_columns(li, LINEITEM_EXCLUDE)
     var = profile.feature_variance(li, feats)
     top = profile.select_top_variance(var)
-    return top.select("feature", sig("variance").alias("variance"))
+    return top.select("feature", sig("variance", 12).alias("variance"))
 
 
 def _corr_input(spark, sf_dir):
@@ -81,7 +81,7 @@ def _variance_sql():
     arms = " UNION ALL ".join(
         f"SELECT '{c}' AS feature, var_pop(coalesce(CASE WHEN isnan({c}) THEN 0.0 ELSE {c} END, 0.0)) "
         f"AS variance FROM lineitem" for c in feats)
-    return (f"SELECT feature, {sql_sig('variance')} AS variance FROM ({arms}) v "
+    return (f"SELECT feature, {sql_sig('variance', 12)} AS variance FROM ({arms}) v "
             f"WHERE variance >= 0.01 AND NOT isnan(variance) "
             f"ORDER BY variance DESC, feature LIMIT 200")
 

@@ -138,7 +138,40 @@ def studio_roi(spark, sf_dir):
                       sig("roi").alias("roi"))
 
 
+def _wide_features(spark, sf_dir):
+    w = _wide(spark, sf_dir)
+    return w, [c for c in w.columns if c.startswith("views_")]
+
+
+def wide_variance_topk(spark, sf_dir):
+    """The flagship selection on a real wide table: every view column
+    (zero-filled, as the original), variance >= 0.01, top 200."""
+    from tessera.operators import profile
+
+    w, feats = _wide_features(spark, sf_dir)
+    top = profile.select_top_variance(profile.feature_variance(w, feats))
+    # 12 digits: whole-number inputs give exact short decimals that a
+    # 10-digit rounding could split at a tie
+    return top.select("feature", sig("variance", 12).alias("variance"))
+
+
+WIDE_CORR_YEAR = 1998
+
+
+def wide_correlation(spark, sf_dir):
+    """Pairwise correlation of the 20 view columns of one year (NULL = no
+    measurement, so pairs use the titles measured in both)."""
+    from tessera.operators import profile
+
+    w, _ = _wide_features(spark, sf_dir)
+    feats = sorted(views.view_column_name(q, WIDE_CORR_YEAR, r) for q in QUARTERS for r in REGIONS)
+    corr = profile.correlation_long(w, feats)
+    return corr.select("f1", "f2", "n", sig("r", 9).alias("r"))
+
+
 QUERIES = {
+    "wide_variance_topk": wide_variance_topk,
+    "wide_correlation": wide_correlation,
     "views_long": views_long, "views_wide": views_wide, "views_parse": views_parse,
     "views_rollup": views_rollup, "top10_daily": top10_daily,
     "temporal_violations": temporal_violations, "temporal_mask": temporal_mask,
@@ -173,7 +206,35 @@ _STAR = """WITH s AS (SELECT r_name, n_name, n_nationkey, n_regionkey, l_extende
   JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)
 """
 
+def _wide_cte():
+    names = [(views.view_column_name(q, y, r), q, y, r) for y in YEARS for q in QUARTERS for r in REGIONS]
+    cols = ", ".join(f"sum(CASE WHEN period = '{q}' AND year = {y} AND region = '{r}' THEN views END) AS {n}"
+                     for n, q, y, r in names)
+    return _LINES + f", wide AS (SELECT title, {cols} FROM long GROUP BY title) ", [n for n, *_ in names]
+
+
+def _wide_variance_sql():
+    cte, names = _wide_cte()
+    arms = " UNION ALL ".join(f"SELECT '{c}' AS feature, var_pop(coalesce({c}, 0.0)) AS variance FROM wide"
+                              for c in names)
+    return (cte + f"SELECT feature, {sql_sig('variance', 12)} AS variance FROM ({arms}) v "
+            f"WHERE variance >= 0.01 AND NOT isnan(variance) ORDER BY variance DESC, feature LIMIT 200")
+
+
+def _wide_corr_sql():
+    cte, _ = _wide_cte()
+    feats = sorted(views.view_column_name(q, WIDE_CORR_YEAR, r) for q in QUARTERS for r in REGIONS)
+    arms = " UNION ALL ".join(
+        f"SELECT '{a}' AS f1, '{b}' AS f2, count({a} + {b}) AS n, "
+        f"CASE WHEN var_pop(CASE WHEN {b} IS NOT NULL THEN {a} END) > 0 "
+        f"AND var_pop(CASE WHEN {a} IS NOT NULL THEN {b} END) > 0 THEN corr({a}, {b}) END AS r FROM wide"
+        for i, a in enumerate(feats) for b in feats[i + 1:])
+    return cte + f"SELECT f1, f2, n, {sql_sig('r', 9)} AS r FROM ({arms}) c"
+
+
 ORACLE = {
+    "wide_variance_topk": _wide_variance_sql(),
+    "wide_correlation": _wide_corr_sql(),
     "views_long": _LINES + "SELECT * FROM long",
     "views_wide": _wide_sql(),
     "views_parse": _LINES + "SELECT * FROM long",

@@ -190,3 +190,12 @@ def test_split_key(spark):
     df = spark.createDataFrame([("data:x",), ("a:b:c",), ("plain",)], "key string")
     c, n = access.split_key("key")
     assert [tuple(r) for r in df.select(c, n).collect()] == [("data", "x"), (None, None), (None, None)]
+
+
+def test_bounded_broadcast_checks_size(spark):
+    small = spark.read.parquet("/root/testdata/sf0.001/nation.parquet")
+    big = spark.read.parquet("/root/testdata/sf0.01/lineitem.parquet")
+    assert views.estimated_bytes(small) is not None
+    hinted = views.bounded_broadcast(small, 1000)
+    assert "broadcast" in hinted._jdf.queryExecution().analyzed().toString().lower()
+    assert views.bounded_broadcast(big, 1000, max_bytes=1024) is big
