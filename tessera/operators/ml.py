@@ -41,6 +41,8 @@ SEED = 42
 MIN_ROWS = 1000
 SAMPLE_ROWS = 100_000
 TOP_CAUSES = 20
+GRANGER_MAX_LAG = 4
+GRANGER_ALPHA = 0.05
 
 
 class TrainingInputError(ValueError):
@@ -195,15 +197,69 @@ def conformal_intervals(calibration: DataFrame, scored: DataFrame, prediction: s
 
 
 # ---------------------------------------------------------------- M7
-def granger(series: DataFrame, group_col: str, t_col: str, value_col: str, max_lag: int = 4) -> DataFrame:
+def _betacf(a: float, b: float, x: float) -> float:
+    """Continued fraction of the incomplete beta function (modified Lentz)."""
+    tiny, eps = 1e-300, 3e-16
+    qab, qap, qam = a + b, a + 1.0, a - 1.0
+    c, d = 1.0, 1.0 - qab * x / qap
+    d = 1.0 / (d if abs(d) > tiny else tiny)
+    h = d
+    for m in range(1, 400):
+        m2 = 2 * m
+        aa = m * (b - m) * x / ((qam + m2) * (a + m2))
+        d = 1.0 + aa * d
+        d = 1.0 / (d if abs(d) > tiny else tiny)
+        c = 1.0 + aa / c
+        c = c if abs(c) > tiny else tiny
+        h *= d * c
+        aa = -(a + m) * (qab + m) * x / ((a + m2) * (qap + m2))
+        d = 1.0 + aa * d
+        d = 1.0 / (d if abs(d) > tiny else tiny)
+        c = 1.0 + aa / c
+        c = c if abs(c) > tiny else tiny
+        delta = d * c
+        h *= delta
+        if abs(delta - 1.0) < eps:
+            break
+    return h
+
+
+def reg_inc_beta(a: float, b: float, x: float) -> float:
+    """Regularized incomplete beta I_x(a, b)."""
+    if x <= 0.0:
+        return 0.0
+    if x >= 1.0:
+        return 1.0
+    ln = math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)
+    front = math.exp(ln)
+    if x < (a + 1.0) / (a + b + 2.0):
+        return front * _betacf(a, b, x) / a
+    return 1.0 - front * _betacf(b, a, 1.0 - x) / b
+
+
+def f_sf(f: float, df1: int, df2: int) -> float:
+    """P(F > f) for an F(df1, df2) variable."""
+    if not (f > 0) or df1 <= 0 or df2 <= 0:
+        return float("nan") if not (f >= 0) else 1.0
+    return reg_inc_beta(df2 / 2.0, df1 / 2.0, df2 / (df2 + df1 * f))
+
+
+
+def granger(series: DataFrame, group_col: str, t_col: str, value_col: str, max_lag: int = 4,
+            max_series: int = 200, alpha: float = GRANGER_ALPHA) -> DataFrame:
     """M7: Granger F-test for every ordered pair (x -> y) of series.
 
     Restricted OLS: y on its own lags 1..L; full: plus x's lags 1..L.
-    F = ((RSS_r - RSS_f) / L) / (RSS_f / (n - 2L - 1)). Series are joined
+    F = ((RSS_r - RSS_f) / L) / (RSS_f / (n - 2L - 1)), p-value from the
+    F(L, n - 2L - 1) distribution, significant below ``alpha``. Series are joined
     into pairs on the time index (one row per pair and time step, bounded by
     the series length), and each pair is fitted in one pandas group.
     """
     s = series.select(F.col(group_col).alias("g"), F.col(t_col).alias("t"), F.col(value_col).cast("double").alias("v"))
+    # every ordered pair is tested, so the set of series must be small
+    n_series = s.select("g").distinct().limit(max_series + 1).count()
+    if n_series > max_series:
+        raise ValueError(f"{n_series} series: pairwise Granger tests are limited to {max_series}")
     x = s.select(F.col("g").alias("x"), "t", F.col("v").alias("xv"))
     y = s.select(F.col("g").alias("y"), "t", F.col("v").alias("yv"))
     pairs = x.join(y, "t").filter(F.col("x") != F.col("y"))
@@ -224,9 +280,12 @@ def granger(series: DataFrame, group_col: str, t_col: str, value_col: str, max_l
             rss_f = float(np.sum((Y - Xf @ np.linalg.lstsq(Xf, Y, rcond=None)[0]) ** 2))
             if rss_f > 0:
                 res["f_stat"] = ((rss_r - rss_f) / max_lag) / (rss_f / res["df2"])
+        res["p_value"] = f_sf(res["f_stat"], res["df1"], res["df2"]) if res["df2"] > 0 else float("nan")
+        res["significant"] = bool(res["p_value"] < alpha) if res["p_value"] == res["p_value"] else False
         return pd.DataFrame([res])
 
-    schema = "x string, y string, n long, f_stat double, df1 long, df2 long"
+    schema = ("x string, y string, n long, f_stat double, df1 long, df2 long, p_value double, "
+              "significant boolean")
     return pairs.groupBy("x", "y").applyInPandas(fit, schema)
 
 

@@ -199,3 +199,23 @@ def test_bounded_broadcast_checks_size(spark):
     hinted = views.bounded_broadcast(small, 1000)
     assert "broadcast" in hinted._jdf.queryExecution().analyzed().toString().lower()
     assert views.bounded_broadcast(big, 1000, max_bytes=1024) is big
+
+
+def test_f_distribution_tail():
+    from tessera.operators.ml import f_sf
+    # textbook 5% critical values
+    assert f_sf(2.866, 4, 20) == pytest.approx(0.05, abs=2e-4)
+    assert f_sf(4.965, 1, 10) == pytest.approx(0.05, abs=2e-4)
+    assert f_sf(1.0, 5, 5) == pytest.approx(0.5, abs=1e-9)
+
+
+def test_granger_detects_lagged_cause(spark):
+    import math
+    rows = []
+    xs = [math.sin(i * 0.7) + 0.3 * math.cos(i * 1.3) for i in range(60)]
+    for t in range(60):
+        rows.append(("x", t, xs[t]))
+        rows.append(("y", t, (xs[t - 1] if t else 0.0) * 2 + 0.01 * math.sin(t * 5.1)))
+    from tessera.operators import ml
+    out = {(r.x, r.y): r for r in ml.granger(spark.createDataFrame(rows, "g string, t long, v double"), "g", "t", "v").collect()}
+    assert out[("x", "y")].significant and out[("x", "y")].p_value < 1e-6
