@@ -49,28 +49,44 @@ def running_agg(df: DataFrame, group_cols: list[str], order_cols: list[Column],
     ``order_cols`` must make the order total (add a unique tie-break) and
     ``bucket`` must not decrease along it.
     """
+    return running_aggs(df, group_cols, order_cols, {out_col: value}, bucket, agg, inclusive)
+
+
+def running_aggs(df: DataFrame, group_cols: list[str], order_cols: list[Column], values: dict,
+                 bucket: Column, agg: str = "sum", inclusive: bool = True) -> DataFrame:
+    """Several running aggregates (same ``agg``, same order) in one pass:
+    one chunk window, one chunk-summary aggregate, one offset window and one
+    join, whatever the number of values."""
     fn = _AGG[agg]
     comb = F.sum if agg in ("sum", "count") else fn
-    b = df.withColumn("_b", bucket).withColumn("_v", value)
+    names = list(values)
+    tmp = {n: f"_v{i}" for i, n in enumerate(names)}
+    b = df.withColumn("_b", bucket)
+    for n in names:
+        b = b.withColumn(tmp[n], values[n])
     upper = 0 if inclusive else -1
     w_local = Window.partitionBy(*group_cols, "_b").orderBy(*order_cols).rowsBetween(
         Window.unboundedPreceding, upper)
-    local = b.withColumn("_loc", fn("_v").over(w_local))
-    chunks = b.groupBy(*group_cols, "_b").agg(fn("_v").alias("_bt"))
+    local = b.select("*", *[fn(tmp[n]).over(w_local).alias(tmp[n] + "_loc") for n in names])
+    chunks = b.groupBy(*group_cols, "_b").agg(*[fn(tmp[n]).alias(tmp[n] + "_bt") for n in names])
     w_off = Window.partitionBy(*group_cols).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offs = chunks.select(*group_cols, "_b", comb("_bt").over(w_off).alias("_off"))
+    offs = chunks.select(*group_cols, "_b", *[comb(tmp[n] + "_bt").over(w_off).alias(tmp[n] + "_off")
+                                              for n in names])
     j = local.join(offs, _join_keys(group_cols))
-    if agg in ("sum", "count"):
-        zero = F.lit(0)
-        res = F.when(F.col("_loc").isNull() & F.col("_off").isNull(), F.lit(None)).otherwise(
-            F.coalesce(F.col("_loc"), zero) + F.coalesce(F.col("_off"), zero))
+    for n in names:
+        loc, off = F.col(tmp[n] + "_loc"), F.col(tmp[n] + "_off")
         if agg == "count":
-            res = F.coalesce(F.col("_loc"), zero) + F.coalesce(F.col("_off"), zero)
-    elif agg == "max":
-        res = F.greatest(F.col("_loc"), F.col("_off"))
-    else:
-        res = F.least(F.col("_loc"), F.col("_off"))
-    return j.withColumn(out_col, res).drop("_b", "_v", "_loc", "_off")
+            res = F.coalesce(loc, F.lit(0)) + F.coalesce(off, F.lit(0))
+        elif agg == "sum":
+            res = F.when(loc.isNull() & off.isNull(), F.lit(None)).otherwise(
+                F.coalesce(loc, F.lit(0)) + F.coalesce(off, F.lit(0)))
+        elif agg == "max":
+            res = F.greatest(loc, off)
+        else:
+            res = F.least(loc, off)
+        j = j.withColumn(n, res)
+    drop = ["_b"] + [c for n in names for c in (tmp[n], tmp[n] + "_loc", tmp[n] + "_off")]
+    return j.drop(*drop)
 
 
 def previous_values(df: DataFrame, group_cols: list[str], order_cols: list[Column],

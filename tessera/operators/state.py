@@ -129,6 +129,42 @@ def coherency_state(events: DataFrame, block: str, source: str, ts: str, tie: st
                      F.col("last_own.t").alias("last_ts")))
 
 
+def write_invalidations(events: DataFrame, block: str, source: str, ts: str, tie: str,
+                        action: str = "action", bucket_seconds: int = 86400,
+                        max_sources: int = 16) -> DataFrame:
+    """For every write or update, the other sources whose copy of the
+    block it invalidates (copies that existed and were still valid).
+
+    For each source X of the (catalog-sized, checked) source list two running
+    values per block are kept with the chunked scan, strictly before each
+    event: X's last own non-read event, and the last write/update by any source
+    other than X. X's copy is valid just before the event when the first is
+    set and not older than the second.
+    """
+    rows = events.select(source).distinct().limit(max_sources + 1).collect()
+    if len(rows) > max_sources:
+        raise ValueError(f"more than {max_sources} sources")
+    sources = sorted(r[0] for r in rows)
+    order = [F.col(ts), F.col(tie)]
+    bucket = ordered.time_bucket(ts, bucket_seconds)
+    # a sortable sequence number of the event inside the block
+    seq = (F.unix_micros(F.col(ts).cast("timestamp")).cast("decimal(38,0)") * F.lit(10 ** 12)
+           + F.col(tie).cast("decimal(38,0)"))
+    a, src = F.col(action), F.col(source)
+    df = events.select(block, source, ts, tie, action).withColumn("_seq", seq)
+    vals = {}
+    for i, x in enumerate(sources):
+        vals[f"_own{i}"] = F.when((src == x) & (a != "read"), F.col("_seq"))
+        vals[f"_oth{i}"] = F.when((src != x) & a.isin("write", "update"), F.col("_seq"))
+    df = ordered.running_aggs(df, [block], order, vals, bucket, agg="max", inclusive=False)
+    hit = [F.when((src != x) & F.col(f"_own{i}").isNotNull()
+                  & (F.col(f"_oth{i}").isNull() | (F.col(f"_oth{i}") < F.col(f"_own{i}"))), F.lit(x))
+           for i, x in enumerate(sources)]
+    inval = F.filter(F.array(*hit), lambda v: v.isNotNull())
+    return (df.filter(a.isin("write", "update"))
+              .select(block, source, tie, ts, action, inval.alias("invalidated")))
+
+
 # ---------------------------------------------------------------- P15
 def assign_batches(df: DataFrame, order_col: str, batch_size: int, key_width: float) -> DataFrame:
     """Rows in ``order_col`` order cut into batches of ``batch_size``:

@@ -41,6 +41,12 @@ def coherency_fold(spark, sf_dir):
     return state.coherency_state(_coherency_events(spark, sf_dir), "block", "source", "ts", "event_id")
 
 
+def write_invalidations(spark, sf_dir):
+    out = state.write_invalidations(_coherency_events(spark, sf_dir), "block", "source", "ts", "event_id")
+    return out.select("block", "source", "event_id", "action",
+                      F.array_join("invalidated", ",").alias("invalidated"))
+
+
 def batch_assign(spark, sf_dir):
     od = table(spark, sf_dir, "orders").select("o_orderkey")
     return state.assign_batches(od, "o_orderkey", 1000, 10_000.0)
@@ -50,6 +56,7 @@ QUERIES = {
     "latency_ema": latency_ema,
     "breaker_states": breaker_states,
     "coherency_fold": coherency_fold,
+    "write_invalidations": write_invalidations,
     "batch_assign": batch_assign,
 }
 
@@ -77,7 +84,22 @@ SELECT c.block, c.source,
 FROM c JOIN o ON c.block = o.block AND c.source = o.source
 LEFT JOIN u ON c.block = u.block AND c.source = u.source WHERE c.last_own IS NOT NULL"""
 
+_INVAL = """WITH e AS (SELECT json_extract_string(props, '$.k') AS block, 'site_' || CAST(user_id % 3 AS VARCHAR) AS source,
+  ts, event_id, CASE event_type WHEN 'signup' THEN 'register' WHEN 'view' THEN 'read' WHEN 'click' THEN 'write'
+  WHEN 'purchase' THEN 'update' ELSE 'sync' END AS action FROM events),
+r AS (SELECT *,""" + ",".join(
+    f"""
+  max((ts, event_id)) FILTER (WHERE source = 'site_{i}' AND action <> 'read') OVER w AS own{i},
+  max((ts, event_id)) FILTER (WHERE source <> 'site_{i}' AND action IN ('write', 'update')) OVER w AS oth{i}"""
+    for i in range(3)) + """
+  FROM e WINDOW w AS (PARTITION BY block ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT block, source, event_id, action, array_to_string(list_filter([""" + ", ".join(
+    f"CASE WHEN source <> 'site_{i}' AND own{i} IS NOT NULL AND (oth{i} IS NULL OR oth{i} < own{i}) THEN 'site_{i}' END"
+    for i in range(3)) + """], lambda v: v IS NOT NULL), ',') AS invalidated
+FROM r WHERE action IN ('write', 'update')"""
+
 ORACLE = {
+    "write_invalidations": _INVAL,
     "latency_ema": f"""SELECT event_type, count(*) AS events,
         {sql_sig("list_reduce(list_prepend(0.0, list(value ORDER BY ts, event_id)), lambda acc, x: 0.1 * x + 0.9 * acc)")} AS ema
         FROM events GROUP BY event_type""",
