@@ -12,6 +12,11 @@ from tessera.plans.common import sig, sql_sig
 
 
 def _events(spark, sf_dir):
+    """The events table as a file stream: a single Parquet file is picked out
+    of the table folder by name; a Parquet dataset folder is streamed whole."""
+    path = f"{sf_dir.rstrip('/')}/events.parquet"
+    if ops.is_directory(spark, path):
+        return ops.read_events_stream(spark, path, glob="*.parquet")
     return ops.read_events_stream(spark, sf_dir, glob="events.parquet")
 
 

@@ -37,6 +37,12 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/stream-{name}-{uuid.uuid4().hex[:10]}"
 
 
+def is_directory(spark: SparkSession, path: str) -> bool:
+    jp = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = jp.getFileSystem(spark._jsc.hadoopConfiguration())
+    return bool(fs.exists(jp) and fs.getFileStatus(jp).isDirectory())
+
+
 def read_events_stream(spark: SparkSession, folder: str, glob: str = "events*.parquet",
                        schema: str = EVENTS_SCHEMA, max_files: int | None = None) -> DataFrame:
     """File stream of events; ``ts`` becomes TIMESTAMP (UTC session) because

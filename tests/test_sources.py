@@ -66,3 +66,13 @@ def test_json_sink_partitioned_and_single(spark):
     io.write_json_rows(df.select(F.to_json(F.struct("status", "phases")).alias("j")), f"{base}/one", single_file=True)
     files = [f for f in os.listdir(f"{base}/one") if f.endswith(".json")]
     assert len(files) == 1
+
+
+def test_event_stream_from_dataset_folder(spark):
+    from tessera.plans import stream_q
+    base = scratch_path(spark, "sfdir")
+    spark.read.parquet("/root/testdata/sf0.001/events.parquet").repartition(3).write.parquet(f"{base}/events.parquet")
+    got = stream_q.stream_arrivals(spark, base).count()
+    want = spark.read.parquet("/root/testdata/sf0.001/events.parquet").select(
+        F.get_json_object("props", "$.k")).distinct().count()
+    assert got == want
