@@ -4,10 +4,11 @@ Operators P1-P3, P6, P7, A1-A4, W1, W2, J6.
 
 Scale notes
 -----------
-* Variance is one wide aggregate (up to ``group_size`` columns; wider tables
-  per column group, each group's scan reading only its own columns). The
-  aggregate is map-side partial, so the shuffle is one row per task per
-  group regardless of row count.
+* Variance is a few narrow aggregates (column groups). On a Parquet scan each
+  group reads only its own columns, so the table is read once in total; a
+  derived input is checkpointed once first. The aggregates are map-side
+  partial, so the shuffle is one row per task per group whatever the row
+  count.
 * Correlation never materialises row pairs. Each pair needs six moment sums
   over the rows where both values exist. For few features they are built-in
   aggregates; for many features each task builds its partial moment matrices
@@ -75,25 +76,39 @@ def _unpivot_row(agg_df: DataFrame, names: list[str], value_name: str) -> DataFr
 
 
 # ---------------------------------------------------------------- A1
+def _is_plain_scan(df: DataFrame) -> bool:
+    """True when the optimized plan is only projections / filters over files
+    (column groups then read disjoint columns and nothing is recomputed)."""
+    heavy = ("Aggregate", "Join", "Window", "Generate", "Expand", "Union", "Sort", "Repartition",
+             "MapInPandas", "FlatMapGroupsInPandas", "LocalRelation", "LogicalRDD")
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return not any(h in plan for h in heavy)
+
+
 def feature_variance(df: DataFrame, features: list[str] | None = None,
-                     nulls: str = "zero", group_size: int = 500,
-                     materialize: bool = False) -> DataFrame:
+                     nulls: str = "zero", group_size: int = 64,
+                     materialize: bool | None = None) -> DataFrame:
     """A1: population variance per feature as ``(feature, variance)``.
 
     ``nulls='zero'`` fills NULL/NaN with 0 first (parity with the original);
     ``nulls='ignore'`` skips them (quirk Q2).
 
-    Up to ``group_size`` features are one aggregate (one pass). Wider tables
-    are cut into column groups; on a Parquet scan each group reads only its
-    own columns. A derived input would be recomputed per group, so
-    ``materialize=True`` checkpoints it to the shared checkpoint folder first.
+    Features are aggregated in column groups of ``group_size`` (one very wide
+    aggregate compiles to huge generated code and runs slower than several
+    narrow ones). On a Parquet scan each group reads only its own columns. A
+    derived input (joins, aggregates, ...) would be recomputed per group, so
+    by default (``materialize=None``) it is checkpointed to the shared
+    checkpoint folder first when there is more than one group.
     """
     features = features if features is not None else feature_columns(df)
-    if materialize and len(features) > group_size:
-        from tessera.session import checkpoint_dir
-
-        checkpoint_dir(df.sparkSession)
-        df = df.select(*features).checkpoint(eager=True)
+    if len(features) > group_size:
+        if materialize is None:
+            materialize = not _is_plain_scan(df)
+        if materialize:
+            from tessera.session import checkpoint_dir
+
+            checkpoint_dir(df.sparkSession)
+            df = df.select(*features).checkpoint(eager=True)
     parts = []
     for grp in _groups(features, group_size):
         exprs = []
