@@ -25,27 +25,30 @@ def view_column_name(period: str, year: int, region: str) -> str:
     return f"views_{period}_{year % 100:02d}_{region}"
 
 
-def _full_year(yy: Column) -> Column:
-    return F.when(yy < YY_PIVOT, yy + 2000).otherwise(yy + 1900).cast("long")
-
-
 # ---------------------------------------------------------------- D3 / P12
 def unpivot_views(wide: DataFrame, id_cols: list[str]) -> DataFrame:
     """Wide -> long. Only columns matching the view pattern are unpivoted; the
     name is parsed into (period, year, region); NULL cells are dropped (no
-    measurement), measured zeros are kept."""
+    measurement), measured zeros are kept.
+
+    Column names are schema metadata, so each is parsed once on the driver
+    with the pattern and travels as literals; no row runs a regex.
+    """
     import re
 
     pat = re.compile(VIEW_COLUMN)
-    cols = [c for c in wide.columns if pat.match(c)]
-    long = wide.unpivot(ids=id_cols, values=cols, variableColumnName="column", valueColumnName="views")
-    name = F.col("column")
-    return (long.filter(F.col("views").isNotNull())
-                .select(*id_cols,
-                        F.regexp_extract(name, VIEW_COLUMN, 1).alias("period"),
-                        _full_year(F.regexp_extract(name, VIEW_COLUMN, 2).cast("int")).alias("year"),
-                        F.regexp_extract(name, VIEW_COLUMN, 3).alias("region"),
-                        F.col("views")))
+    cells = []
+    for c in wide.columns:
+        m = pat.match(c)
+        if not m:
+            continue
+        period, yy, region = m.group(1), int(m.group(2)), m.group(3)
+        year = yy + 2000 if yy < YY_PIVOT else yy + 1900
+        cells.append(F.struct(F.lit(period).alias("period"), F.lit(year).cast("long").alias("year"),
+                              F.lit(region).alias("region"), F.col(c).cast("double").alias("views")))
+    long = wide.select(*id_cols, F.explode(F.array(*cells)).alias("_c"))
+    return (long.filter(F.col("_c.views").isNotNull())
+                .select(*id_cols, "_c.period", "_c.year", "_c.region", "_c.views"))
 
 
 def pivot_views(long: DataFrame, id_col: str, periods: list[str], years: list[int],
