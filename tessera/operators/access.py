@@ -99,13 +99,14 @@ def access_gaps(log: DataFrame, key="key", ts="ts", event_id="event_id",
                 bucket_seconds: int = 3600) -> DataFrame:
     """Gap in ms to the previous access of the same key (NULL for the first).
 
-    The previous access comes from ``ordered.previous_values``: chunks of one
-    key per ``bucket_seconds`` are sorted apart, so a hot key is spread over
-    many tasks.
+    The previous access time is the running max of the earlier times
+    (``ordered.running_agg``): chunks of one key per ``bucket_seconds`` are
+    sorted apart, so a hot key is spread over many tasks.
     """
     base = log.select(key, event_id, ts)
-    prev = ordered.previous_values(base, [key], [F.col(ts), F.col(event_id)], [ts],
-                                   ordered.time_bucket(ts, bucket_seconds))
+    # rows are in ts order, so the previous row's ts is the max of the earlier ts
+    prev = ordered.running_agg(base, [key], [F.col(ts), F.col(event_id)], F.col(ts), "prev_" + ts,
+                               ordered.time_bucket(ts, bucket_seconds), agg="max", inclusive=False)
     gap = (_micros(ts) - _micros("prev_" + ts)).cast("double") / F.lit(1000.0)
     return prev.select(key, event_id, ts, gap.alias("gap_ms"))
 

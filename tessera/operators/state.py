@@ -68,10 +68,12 @@ def breaker_states(df: DataFrame, key: str, ts: str, tie: str, failed: Column,
     bucket = ordered.time_bucket(ts, bucket_seconds)
     base = df.select(key, ts, tie, failed.alias("failed"))
     numbered = ordered.row_numbers(base, [key], order, bucket, "rn")
-    with_succ = ordered.running_agg(numbered, [key], order,
-                                    F.when(~F.col("failed"), F.col("rn")), "last_success_rn",
-                                    bucket, agg="max", inclusive=False)
-    with_prev = ordered.previous_values(with_succ, [key], order, [ts], bucket)
+    # one pass for both: the last success before the row, and the previous
+    # row's time (rows are in ts order, so it is the max of the earlier ts)
+    with_prev = ordered.running_aggs(numbered, [key], order,
+                                     {"last_success_rn": F.when(~F.col("failed"), F.col("rn")),
+                                      "prev_" + ts: F.col(ts)},
+                                     bucket, agg="max", inclusive=False)
     run_before = F.col("rn") - 1 - F.coalesce(F.col("last_success_rn"), F.lit(0))
     secs = (_micros(ts) - _micros("prev_" + ts)) / F.lit(1_000_000)
     out = with_prev.withColumn("failures_before", run_before.cast("long"))
