@@ -42,14 +42,19 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and intermediate tables.
 
-    Uses ``spark.checkpoint.dir`` when the cluster sets it. Only when unset
-    (local tests) a fresh scratch folder is created and registered.
+    Uses ``spark.checkpoint.dir`` when the cluster sets it. Only in local mode
+    (tests) and only when unset is a fresh scratch folder created; on a
+    cluster an unset value is an error, never a machine-local folder.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         d = spark.sparkContext.getCheckpointDir()
     if not d:
-        d = tempfile.mkdtemp(prefix="tessera-ckpt-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: point it at a shared folder "
+                               "(HDFS / object store) so checkpoints and stream state survive "
+                               "a lost executor")
+        d = tempfile.mkdtemp(prefix="tessera-ckpt-")  # local mode (tests) only
         spark.conf.set("spark.checkpoint.dir", d)
     try:
         current = spark.sparkContext.getCheckpointDir()
