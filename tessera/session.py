@@ -71,3 +71,29 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
     base = checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def scale_conf(input_bytes: int, total_cores: int, target_partition_bytes: int = 256 << 20) -> dict:
+    """Settings sized to the data, for a job reading ``input_bytes`` on
+    ``total_cores`` cores. Nothing is applied; pass the dict to
+    ``build_session(extra=...)`` or ``spark.conf.set``.
+
+    * ``spark.sql.files.maxPartitionBytes``: scan splits of ~256 MB, so a task
+      holds one split comfortably in executor memory;
+    * ``spark.sql.shuffle.partitions``: enough partitions that each holds
+      ~256 MB of the input's size, and at least 2 per core (AQE coalesces the
+      small ones and splits skewed ones at run time);
+    * AQE advisory size equal to the target, skew join on.
+
+    At 100 TB on 1000 executors x 8 cores this gives ~400,000 shuffle
+    partitions (AQE coalesces them per stage).
+    """
+    parts = max(2 * total_cores, -(-input_bytes // target_partition_bytes))
+    return {
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+    }
