@@ -121,3 +121,16 @@ def read_feature_list(spark: SparkSession, path: str) -> DataFrame:
 def write_feature_list(features: DataFrame, path: str) -> None:
     """S8 for D6: one JSON document ``{"features": [...], "count": n}``."""
     features.coalesce(1).write.mode("overwrite").json(path)
+
+
+def write_keyed_table(df: DataFrame, table: str, key: str, buckets: int, sort: bool = True) -> None:
+    """Store a large keyed table (the master) bucketed by ``key``.
+
+    Joins on ``key`` against it (reconcile, merge, priority winner) then read
+    it already hash-partitioned: Spark shuffles only the other side into the
+    same ``buckets`` partitions, and the master is not shuffled on every sync.
+    """
+    w = df.write.mode("overwrite").format("parquet").bucketBy(buckets, key)
+    if sort:
+        w = w.sortBy(key)
+    w.saveAsTable(table)

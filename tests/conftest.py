@@ -11,9 +11,12 @@ SF_CHECK = "/root/testdata/sf0.01"
 
 @pytest.fixture(scope="session")
 def spark():
+    import tempfile
+
     from pyspark.sql import SparkSession
 
     s = (SparkSession.builder.master("local[*]")
+         .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="tessera-wh-"))
          .config("spark.sql.shuffle.partitions", "8")
          .config("spark.sql.session.timeZone", "UTC")
          .config("spark.ui.enabled", "false")

@@ -76,3 +76,25 @@ def test_event_stream_from_dataset_folder(spark):
     want = spark.read.parquet("/root/testdata/sf0.001/events.parquet").select(
         F.get_json_object("props", "$.k")).distinct().count()
     assert got == want
+
+
+def test_bucketed_master_is_not_shuffled(spark):
+    from tessera.operators import catalog
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # force a shuffle join to inspect
+    try:
+        master = spark.read.parquet("/root/testdata/sf0.01/part.parquet").select("p_partkey", "p_retailprice")
+        io.write_keyed_table(master, "master_part_bucketed", "p_partkey", 8)
+        m = spark.table("master_part_bucketed")
+        contrib = master.filter("p_partkey % 2 = 0").withColumn("source", F.lit("r1"))
+        j = m.join(contrib.select("p_partkey", "source"), "p_partkey")
+        plan = j._jdf.queryExecution().executedPlan().toString()
+        assert "Bucketed: true" in plan
+        # exactly one exchange: the contributor side
+        j.write.format("noop").mode("overwrite").save()
+        final = j._jdf.queryExecution().executedPlan().toString()
+        assert final.count("Exchange hashpartitioning") <= 1
+        assert catalog.reconcile(m, contrib, "p_partkey", ["p_retailprice"]).count() == 2000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("DROP TABLE IF EXISTS master_part_bucketed")
