@@ -92,7 +92,34 @@ def stream_coherency(spark, sf_dir):
                          F.col("s.last_ts").cast("timestamp_ntz").alias("last_ts"))
 
 
+PART_SCHEMA = "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double"
+
+
+def stream_reconcile(spark, sf_dir):
+    """ST7 on the catalog stand-in: contributor rows stream in (derived from
+    part exactly as the batch binding derives them) and are reconciled with
+    the master per micro-batch."""
+    path = f"{sf_dir.rstrip('/')}/part.parquet"
+    r = spark.readStream.schema(PART_SCHEMA)
+    p = (r.option("pathGlobFilter", "*.parquet").parquet(path) if ops.is_directory(spark, path)
+         else r.option("pathGlobFilter", "part.parquet").parquet(sf_dir))
+    r1 = (p.filter(F.col("p_size") <= 40)
+           .withColumn("p_retailprice", F.when(F.col("p_brand") == "Brand#3", F.col("p_retailprice") + 1.0)
+                       .otherwise(F.col("p_retailprice"))).withColumn("source", F.lit("repo_1")))
+    r2 = p.filter(F.col("p_type") != "ECONOMY").withColumn("source", F.lit("repo_2"))
+    r2x = (p.filter(F.col("p_size") > 45).withColumn("p_partkey", F.col("p_partkey") + 1_000_000)
+            .withColumn("source", F.lit("repo_2")))
+    r3 = (p.withColumn("p_name", F.when(F.col("p_size") < 5, F.upper("p_name")).otherwise(F.col("p_name")))
+           .withColumn("source", F.lit("repo_3")))
+    changes = r1.unionByName(r2).unionByName(r2x).unionByName(r3)
+    master = spark.read.parquet(path)
+    cmp_cols = ["p_name", "p_brand", "p_type", "p_size", "p_retailprice"]
+    out = ops.reconcile_feed(spark, changes, master, "p_partkey", cmp_cols)
+    return spark.read.parquet(out).select("source", "p_partkey", "status")
+
+
 QUERIES = {
+    "stream_reconcile": stream_reconcile,
     "stream_sliding_counts": stream_sliding_counts, "stream_coherency": stream_coherency,
     "stream_arrivals": stream_arrivals, "stream_window_counts": stream_window_counts,
     "stream_snapshots": stream_snapshots, "stream_ema": stream_ema,
@@ -105,6 +132,8 @@ def _closed(size_us, wm_us):
 
 
 ORACLE = {
+    "stream_reconcile": __import__("tessera.plans.catalog_q", fromlist=["_RECON"])._RECON
+        + "SELECT * FROM r WHERE status <> 'MISSING'",
     "stream_sliding_counts": """WITH h AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS hs, event_type FROM events),
         w AS (SELECT hs - INTERVAL (k) HOUR AS window_start, event_type FROM h, range(0, 24) r(k))
         SELECT window_start, event_type, count(*) AS n FROM w

@@ -224,3 +224,36 @@ def coherency_stream(stream: DataFrame, block: str = "block", source: str = "sou
 
     return (stream.select(block, source, action, ts, tie).groupBy(block)
                   .applyInPandasWithState(fn, out_schema, state_schema, "append", GroupStateTimeout.NoTimeout))
+
+
+# ---------------------------------------------------------------- ST7 (reconcile)
+def reconcile_feed(spark: SparkSession, changes: DataFrame, master: DataFrame, key: str,
+                   compare_cols: list[str], every: str | None = None) -> str:
+    """ST7: reconcile each micro-batch of contributor changes with the master.
+
+    ``changes`` is a stream of contributor rows (with ``source``); each batch
+    is joined with the static master and its statuses (IN_SYNC / STALE /
+    EXTRA; a change feed cannot see MISSING keys) are written to the batch's
+    own ``batch_id=`` folder with overwrite, so a replayed batch rewrites the
+    same result. ``every`` = processing-time trigger ('60 seconds' in the
+    original); None runs what is available and stops (tests).
+    Returns the output folder.
+    """
+    from tessera.operators.catalog import row_hash
+
+    out, ck = scratch(spark, "reconcile-feed"), scratch(spark, "reconcile-feed-ck")
+    m = master.select(key, row_hash(master, compare_cols).alias("m_hash"))
+
+    def process(batch: DataFrame, batch_id: int):
+        c = batch.select("source", key, row_hash(batch, compare_cols).alias("c_hash"))
+        status = (F.when(F.col("m_hash").isNull(), F.lit("EXTRA"))
+                   .when(F.col("m_hash") == F.col("c_hash"), F.lit("IN_SYNC")).otherwise(F.lit("STALE")))
+        res = c.join(m, key, "left").select("source", key, status.alias("status"))
+        res.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+
+    w = changes.writeStream.foreachBatch(process).option("checkpointLocation", ck)
+    w = w.trigger(availableNow=True) if every is None else w.trigger(processingTime=every)
+    q = w.start()
+    if every is None:
+        q.awaitTermination()
+    return out
