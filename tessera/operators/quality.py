@@ -90,6 +90,24 @@ def enforce(checks: DataFrame) -> None:
         raise GateFailed(first, reason)
 
 
+def termination_record(summary: DataFrame, run_id: str, as_of) -> DataFrame:
+    """S8 + DQ11: one row per run describing how the gate ended it: status
+    COMPLETED or TERMINATED, the first failing mode, its description and
+    reason, and the trust flags every machine-written record carries. Write
+    it with ``sources.io.write_json_rows`` (append)."""
+    spark = summary.sparkSession
+    desc = spark.createDataFrame(list(MODE_DESCRIPTIONS.items()), "mode string, description string")
+    first = summary.agg(F.first("first_failure", ignorenulls=True).alias("failure_mode"))
+    reasons = summary.filter(~F.col("ok")).select(F.col("mode").alias("failure_mode"), F.col("failures").alias("reason"))
+    rec = (first.join(reasons, "failure_mode", "left")
+                .join(F.broadcast(desc.withColumnRenamed("mode", "failure_mode")), "failure_mode", "left"))
+    return rec.select(
+        F.lit(run_id).alias("run_id"), F.lit(as_of).cast("timestamp").alias("timestamp"),
+        F.when(F.col("failure_mode").isNull(), F.lit("COMPLETED")).otherwise(F.lit("TERMINATED")).alias("status"),
+        "failure_mode", "description", "reason",
+        F.lit(True).alias("machine_generated"), F.lit(False).alias("operator_editable"))
+
+
 # ---------------------------------------------------------------- building blocks
 def violation_check(violations: DataFrame, count_col: str = "violations",
                     label: str = "Temporal violations") -> DataFrame:

@@ -219,3 +219,16 @@ def test_granger_detects_lagged_cause(spark):
     from tessera.operators import ml
     out = {(r.x, r.y): r for r in ml.granger(spark.createDataFrame(rows, "g string, t long, v double"), "g", "t", "v").collect()}
     assert out[("x", "y")].significant and out[("x", "y")].p_value < 1e-6
+
+
+def test_termination_record(spark):
+    reg = quality.CheckRegistry()
+    reg.register("VALIDATION_BREACH", "t", lambda: spark.createDataFrame([(False, "Temporal violations: 3")],
+                                                                           "ok boolean, message string"))
+    rec = quality.termination_record(quality.gate_summary(reg.check_table(spark)), "run-1", "2024-01-01 00:00:00").first()
+    assert rec.status == "TERMINATED" and rec.failure_mode == "VALIDATION_BREACH"
+    assert rec.description == "Temporal Rule Violated" and rec.reason == "Temporal violations: 3"
+    assert rec.machine_generated is True and rec.operator_editable is False
+    ok = quality.CheckRegistry()
+    ok.register("DATA_BREAKDOWN", "fine", lambda: spark.createDataFrame([(True, "ok")], "ok boolean, message string"))
+    assert quality.termination_record(quality.gate_summary(ok.check_table(spark)), "run-2", "2024-01-01").first().status == "COMPLETED"
