@@ -1,22 +1,37 @@
 """Hash helpers.
 
-``row_digest`` builds a canonical text of the given columns (NULL spelled
-``\\N``, '|' separated) and hashes it; the same canonical text is what the
-DuckDB oracle hashes, so digests compare across engines.
+``row_digest`` hashes a canonical text of the given columns: values joined
+with '|', NULL spelled ``\\N``, DOUBLE / FLOAT through DECIMAL(38,6) (so the
+text does not depend on an engine's float formatting). The DuckDB oracles
+spell the same canonical text, so digests compare across engines.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, FloatType
 
 
 def _col(c):
     return F.col(c) if isinstance(c, str) else c
 
 
-def canonical_text(cols) -> Column:
-    return F.concat_ws("|", *[F.coalesce(_col(c).cast("string"), F.lit("\\N")) for c in cols])
+def canonical_value(c, dtype=None) -> Column:
+    col = _col(c)
+    if isinstance(dtype, (DoubleType, FloatType)):
+        col = col.cast("decimal(38,6)")
+    return F.coalesce(col.cast("string"), F.lit("\\N"))
+
+
+def canonical_text(df: DataFrame, cols: list[str]) -> Column:
+    types = {f.name: f.dataType for f in df.schema.fields}
+    return F.concat_ws("|", *[canonical_value(c, types.get(c)) for c in cols])
+
+
+def row_digest(df: DataFrame, cols: list[str], algo: str = "md5") -> Column:
+    text = canonical_text(df, cols)
+    return F.md5(text) if algo == "md5" else F.sha2(text, 256)
 
 
 def md5_hex(c) -> Column:
@@ -25,8 +40,3 @@ def md5_hex(c) -> Column:
 
 def sha256_hex(c) -> Column:
     return F.sha2(_col(c).cast("string"), 256)
-
-
-def row_digest(cols, algo: str = "md5") -> Column:
-    text = canonical_text(cols)
-    return F.md5(text) if algo == "md5" else F.sha2(text, 256)

@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.hashing import row_digest
 from tessera.functions.paths import parent_folder
 
 # The master's priority, contributor priorities 50 - i*5, and
@@ -59,20 +60,9 @@ def winner_by_priority(rows: DataFrame, keys: list[str], priority: str = "priori
 
 
 # ---------------------------------------------------------------- A19
-def canonical_value(c: str, dtype) -> Column:
-    """Engine-independent text of a value: DOUBLE/FLOAT via DECIMAL(38,6),
-    everything else via CAST AS STRING; NULL as '\\N'."""
-    from pyspark.sql.types import DoubleType, FloatType
-
-    col = F.col(c)
-    if isinstance(dtype, (DoubleType, FloatType)):
-        col = col.cast("decimal(38,6)")
-    return F.coalesce(col.cast("string"), F.lit("\\N"))
-
-
 def row_hash(df: DataFrame, cols: list[str]) -> Column:
-    types = {f.name: f.dataType for f in df.schema.fields}
-    return F.md5(F.concat_ws("|", *[canonical_value(c, types[c]) for c in cols]))
+    """MD5 of the row's canonical text (see ``functions.hashing``)."""
+    return row_digest(df, cols)
 
 
 def dataset_checksum(df: DataFrame, cols: list[str] | None = None,

@@ -37,8 +37,3 @@ def sql_sig(x: str, digits: int = SIG_DIGITS) -> str:
     x = f"CAST({x} AS DOUBLE)"
     parts = [f"WHEN abs({x}) < 1e{e + 1} THEN round({x}, {digits - 1 - e})" for e in _DECADES]
     return "CASE " + " ".join(parts) + f" ELSE round({x}, {digits - 1 - (max(_DECADES) + 1)}) END"
-
-
-def rnd(c, scale: int = 6) -> Column:
-    col = F.col(c) if isinstance(c, str) else c
-    return F.round(col.cast("double"), scale)
