@@ -134,3 +134,22 @@ def write_keyed_table(df: DataFrame, table: str, key: str, buckets: int, sort: b
     if sort:
         w = w.sortBy(key)
     w.saveAsTable(table)
+
+
+def normalise_catalog(df: DataFrame) -> DataFrame:
+    """Source catalog rows as stored by the original (0/1 integers, JSON
+    text) to typed columns: BOOLEAN flags and ``metadata`` as MAP<STRING,STRING>."""
+    out = df
+    for c in ("is_master", "read_only"):
+        if c in df.columns:
+            out = out.withColumn(c, F.col(c).cast("int") == 1)
+    if "metadata" in df.columns:
+        out = out.withColumn("metadata", F.from_json(F.col("metadata"), "map<string,string>"))
+    return out
+
+
+def normalise_sync_history(df: DataFrame) -> DataFrame:
+    """Sync-history rows: epoch seconds (REAL) to TIMESTAMP, 0/1 success
+    to BOOLEAN."""
+    return (df.withColumn("timestamp", F.timestamp_seconds(F.col("timestamp").cast("double")))
+              .withColumn("success", F.col("success").cast("int") == 1))

@@ -98,3 +98,16 @@ def test_bucketed_master_is_not_shuffled(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.sql("DROP TABLE IF EXISTS master_part_bucketed")
+
+
+def test_catalog_and_sync_history_types(spark):
+    cat = spark.createDataFrame([("master", "parquet", 1, 100, 0, '{"owner": "ops"}'),
+                                 ("repo_3", "csv", 0, 25, 1, None)],
+                                "name string, source_type string, is_master int, priority int, read_only int, metadata string")
+    rows = {r.name: r for r in io.normalise_catalog(cat).collect()}
+    assert rows["master"].is_master is True and rows["repo_3"].read_only is True
+    assert rows["master"].metadata == {"owner": "ops"} and rows["repo_3"].metadata is None
+    hist = spark.createDataFrame([(1, "repo_1", "sync", 1704067200.5, 1, "")],
+                                 "id long, source_name string, operation string, timestamp double, success int, details string")
+    h = io.normalise_sync_history(hist).first()
+    assert h.success is True and h.timestamp.year == 2024
