@@ -217,7 +217,13 @@ def _moments_gram(df, features, mode):
         yield out[out["n"] > 0]
 
     cast = df.select(*[F.col(c).cast("double").alias(c) for c in names])
-    parts = cast.mapInPandas(partial, _MOMENT_SCHEMA)
+    # the partials (k*(k-1)/2 rows per task) feed two aggregates below; they
+    # are written once to the shared checkpoint folder so the data pass runs
+    # exactly once
+    from tessera.session import checkpoint_dir
+
+    checkpoint_dir(df.sparkSession)
+    parts = cast.mapInPandas(partial, _MOMENT_SCHEMA).checkpoint(eager=True)
     # parallel merge of per-task moments: global means first, then centred sums
     g = parts.groupBy("i", "j").agg(F.sum("n").alias("g_n"),
                                     (F.sum(F.col("n") * F.col("mx")) / F.sum("n")).alias("g_mx"),
