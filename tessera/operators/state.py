@@ -43,13 +43,14 @@ def ema_per_key(df: DataFrame, key: str, ts: str, tie: str, value: str, alpha: f
     Each row's weight is a*(1-a)^k with k the number of later rows of the key;
     (1-a)^k underflows to 0 for very old rows, exactly as the fold forgets them.
     """
-    order = [F.col(ts), F.col(tie)]
+    # number rows newest first: row k (1-based) has k - 1 later rows. The chunk
+    # column only has to be non-decreasing along this order: minus the bucket.
+    order = [F.col(ts).desc(), F.col(tie).desc()]
     numbered = ordered.row_numbers(df.select(key, ts, tie, value), [key], order,
-                                   ordered.time_bucket(ts, bucket_seconds), "_rn")
-    totals = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    j = numbered.join(totals, key)
-    w = F.lit(alpha) * F.pow(F.lit(1.0 - alpha), (F.col("_n") - F.col("_rn")).cast("double"))
-    return j.groupBy(key).agg(F.sum(w * F.col(value)).alias("ema"), F.first("_n").alias("events"))
+                                   -ordered.time_bucket(ts, bucket_seconds), "_k")
+    w = F.lit(alpha) * F.pow(F.lit(1.0 - alpha), (F.col("_k") - 1).cast("double"))
+    return numbered.groupBy(key).agg(F.sum(w * F.col(value)).alias("ema"),
+                                     F.count(F.lit(1)).alias("events"))
 
 
 # ---------------------------------------------------------------- ST4 (batch)

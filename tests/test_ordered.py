@@ -47,3 +47,11 @@ def test_previous_values_equals_lag(data):
 def test_global_row_numbers(data):
     got = ordered.row_numbers(data, [], [F.col("id")], ordered.value_bucket("id", 256)).collect()
     assert sorted((r.id, r.rn) for r in got) == [(i, i + 1) for i in range(3000)]
+
+
+def test_descending_order_with_negated_bucket(data):
+    order = [F.col("t").desc(), F.col("id").desc()]
+    w = Window.partitionBy("g").orderBy(*order)
+    ref = {r.id: r.k for r in data.select("id", F.row_number().over(w).alias("k")).collect()}
+    got = {r.id: r.k for r in ordered.row_numbers(data, ["g"], order, -ordered.value_bucket("t", 500), "k").collect()}
+    assert ref == got
