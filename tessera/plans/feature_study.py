@@ -20,7 +20,6 @@ import json
 import time
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from tessera.operators import ml, profile
 from tessera.sources import io

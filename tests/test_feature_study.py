@@ -1,7 +1,5 @@
 import json
 
-from pyspark.sql import functions as F
-
 from tessera.plans.feature_study import run_feature_study
 from tessera.session import scratch_path
 

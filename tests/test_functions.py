@@ -1,6 +1,3 @@
-import pytest
-from pyspark.sql import functions as F
-
 from tessera.functions import hashing, nulls, paths, text
 
 
