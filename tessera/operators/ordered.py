@@ -37,8 +37,25 @@ def value_bucket(c, width: float) -> Column:
     return F.floor(col / F.lit(width)).cast("long")
 
 
-def _join_keys(group_cols):
-    return list(group_cols) + ["_b"]
+_NULL_CHUNK = -(2 ** 62)
+
+
+def _keyed(df: DataFrame, group_cols, bucket: Column):
+    """Internal non-NULL copies of the group keys ('v' + text, or 'n' for
+    NULL) and of the chunk (NULL -> smallest, so it sorts first). Windows and
+    the chunk join both use these plain columns, so NULL keys are kept (as in
+    a plain window) and the big side's partitioning matches the join keys:
+    it is never re-shuffled for the join, broadcast or not."""
+    keys = [f"_k{i}" for i in range(len(group_cols))]
+    out = df
+    for k, c in zip(keys, group_cols):
+        out = out.withColumn(k, F.coalesce(F.concat(F.lit("v"), F.col(c).cast("string")), F.lit("n")))
+    out = out.withColumn("_b", F.coalesce(bucket.cast("long"), F.lit(_NULL_CHUNK)))
+    return out, keys
+
+
+def _join_chunks(local: DataFrame, chunks: DataFrame, keys, carry_cols) -> DataFrame:
+    return local.join(chunks.select(*keys, "_b", *carry_cols), keys + ["_b"])
 
 
 def running_agg(df: DataFrame, group_cols: list[str], order_cols: list[Column], value: Column,
@@ -61,18 +78,18 @@ def running_aggs(df: DataFrame, group_cols: list[str], order_cols: list[Column],
     comb = F.sum if agg in ("sum", "count") else fn
     names = list(values)
     tmp = {n: f"_v{i}" for i, n in enumerate(names)}
-    b = df.withColumn("_b", bucket)
+    b, keys = _keyed(df, group_cols, bucket)
     for n in names:
         b = b.withColumn(tmp[n], values[n])
     upper = 0 if inclusive else -1
-    w_local = Window.partitionBy(*group_cols, "_b").orderBy(*order_cols).rowsBetween(
+    w_local = Window.partitionBy(*keys, "_b").orderBy(*order_cols).rowsBetween(
         Window.unboundedPreceding, upper)
     local = b.select("*", *[fn(tmp[n]).over(w_local).alias(tmp[n] + "_loc") for n in names])
-    chunks = b.groupBy(*group_cols, "_b").agg(*[fn(tmp[n]).alias(tmp[n] + "_bt") for n in names])
-    w_off = Window.partitionBy(*group_cols).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offs = chunks.select(*group_cols, "_b", *[comb(tmp[n] + "_bt").over(w_off).alias(tmp[n] + "_off")
-                                              for n in names])
-    j = local.join(offs, _join_keys(group_cols))
+    chunks = b.groupBy(*keys, "_b").agg(*[fn(tmp[n]).alias(tmp[n] + "_bt") for n in names])
+    w_off = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offs = chunks.select(*keys, "_b", *[comb(tmp[n] + "_bt").over(w_off).alias(tmp[n] + "_off")
+                                        for n in names])
+    j = _join_chunks(local, offs, keys, [tmp[n] + "_off" for n in names])
     for n in names:
         loc, off = F.col(tmp[n] + "_loc"), F.col(tmp[n] + "_off")
         if agg == "count":
@@ -85,7 +102,7 @@ def running_aggs(df: DataFrame, group_cols: list[str], order_cols: list[Column],
         else:
             res = F.least(loc, off)
         j = j.withColumn(n, res)
-    drop = ["_b"] + [c for n in names for c in (tmp[n], tmp[n] + "_loc", tmp[n] + "_off")]
+    drop = ["_b"] + keys + [c for n in names for c in (tmp[n], tmp[n] + "_loc", tmp[n] + "_off")]
     return j.drop(*drop)
 
 
@@ -93,20 +110,20 @@ def previous_values(df: DataFrame, group_cols: list[str], order_cols: list[Colum
                     value_cols: list[str], bucket: Column, prefix: str = "prev_") -> DataFrame:
     """``lag(v, 1)`` per group in ``order_cols`` order for each of
     ``value_cols``, as ``prev_<v>`` (NULL on the group's first row)."""
-    b = df.withColumn("_b", bucket)
+    b, keys = _keyed(df, group_cols, bucket)
     payload = F.struct(*[F.col(c).alias(c) for c in value_cols])
-    w_local = Window.partitionBy(*group_cols, "_b").orderBy(*order_cols)
+    w_local = Window.partitionBy(*keys, "_b").orderBy(*order_cols)
     local = b.withColumn("_lag", F.lag(payload).over(w_local))
     order_struct = F.struct(*_plain(order_cols))
-    last = b.groupBy(*group_cols, "_b").agg(F.max_by(payload, order_struct).alias("_last"))
-    w_b = Window.partitionBy(*group_cols).orderBy("_b")
-    carry = last.select(*group_cols, "_b", F.lag("_last").over(w_b).alias("_carry"))
-    j = local.join(carry, _join_keys(group_cols))
+    last = b.groupBy(*keys, "_b").agg(F.max_by(payload, order_struct).alias("_last"))
+    w_b = Window.partitionBy(*keys).orderBy("_b")
+    carry = last.select(*keys, "_b", F.lag("_last").over(w_b).alias("_carry"))
+    j = _join_chunks(local, carry, keys, ["_carry"])
     prev = F.coalesce(F.col("_lag"), F.col("_carry"))
     out = j
     for c in value_cols:
         out = out.withColumn(prefix + c, prev[c])
-    return out.drop("_b", "_lag", "_carry")
+    return out.drop("_b", "_lag", "_carry", *keys)
 
 
 def _plain(order_cols):

@@ -55,3 +55,19 @@ def test_descending_order_with_negated_bucket(data):
     ref = {r.id: r.k for r in data.select("id", F.row_number().over(w).alias("k")).collect()}
     got = {r.id: r.k for r in ordered.row_numbers(data, ["g"], order, -ordered.value_bucket("t", 500), "k").collect()}
     assert ref == got
+
+
+def test_null_keys_are_kept(spark):
+    rows = [(i, None if i % 4 == 0 else f"k{i % 3}", i * 10, float(i)) for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, g string, t long, v double")
+    order = [F.col("t"), F.col("id")]
+    w = Window.partitionBy("g").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    ref = {r.id: r.x for r in df.select("id", F.sum("v").over(w).alias("x")).collect()}
+    got = {r.id: r.x for r in ordered.running_agg(df, ["g"], order, F.col("v"), "x",
+                                                   ordered.value_bucket("t", 300)).collect()}
+    assert ref == got
+    wl = Window.partitionBy("g").orderBy(*order)
+    ref_lag = {r.id: r.p for r in df.select("id", F.lag("v").over(wl).alias("p")).collect()}
+    got_lag = {r.id: r.prev_v for r in ordered.previous_values(df, ["g"], order, ["v"],
+                                                                ordered.value_bucket("t", 300)).collect()}
+    assert ref_lag == got_lag
