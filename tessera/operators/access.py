@@ -81,7 +81,9 @@ def access_stats(log: DataFrame, key="key", component="component", ts="ts",
     gap_ms = F.when(F.col("_m") > 1,
                     (_micros("_hi") - _micros("_lo")).cast("double") / F.lit(1000.0) / (F.col("_m") - 1)
                     ).otherwise(F.lit(0.0))
-    return totals.join(gaps.select(key, gap_ms.alias("avg_interval_ms")), key)
+    g = gaps.select(F.col(key).alias("_gk"), gap_ms.alias("avg_interval_ms"))
+    # NULL-safe: a NULL key is a group of its own, as in the aggregates
+    return totals.join(g, totals[key].eqNullSafe(g["_gk"])).drop("_gk")
 
 
 def hot_keys(stats: DataFrame, n: int = 10, key="key") -> DataFrame:
@@ -133,8 +135,9 @@ def transition_share(log: DataFrame, source="source", target="target") -> DataFr
     (no window, so a source with millions of targets is not one task).
     """
     pairs = log.groupBy(source, target).agg(F.count(F.lit(1)).alias("n"))
-    totals = log.groupBy(source).agg(F.count(F.lit(1)).alias("_total"))
-    return pairs.join(totals, source).select(source, target, "n", (F.col("n") / F.col("_total")).alias("share"))
+    totals = log.groupBy(F.col(source).alias("_src")).agg(F.count(F.lit(1)).alias("_total"))
+    j = pairs.join(totals, pairs[source].eqNullSafe(totals["_src"]))
+    return j.select(source, target, "n", (F.col("n") / F.col("_total")).alias("share"))
 
 
 def next_targets(shares: DataFrame, k: int = TOP_TARGETS, source="source", target="target") -> DataFrame:

@@ -232,3 +232,13 @@ def test_termination_record(spark):
     ok = quality.CheckRegistry()
     ok.register("DATA_BREAKDOWN", "fine", lambda: spark.createDataFrame([(True, "ok")], "ok boolean, message string"))
     assert quality.termination_record(quality.gate_summary(ok.check_table(spark)), "run-2", "2024-01-01").first().status == "COMPLETED"
+
+
+def test_null_keys_survive_access_aggregates(spark):
+    t0 = dt.datetime(2024, 1, 1)
+    log = spark.createDataFrame([(None, 1, t0, 1), (None, 2, t0 + dt.timedelta(seconds=2), 2), ("a", 1, t0, 3)],
+                                "key string, component long, ts timestamp_ntz, event_id long")
+    st = {r.key: r for r in access.access_stats(log).collect()}
+    assert st[None].accesses == 2 and st[None].avg_interval_ms == 2000.0
+    sh = access.transition_share(log.select(F.col("key").alias("source"), F.col("component").cast("string").alias("target")))
+    assert sorted((r.source, r.share) for r in sh.collect() if r.source is None) == [(None, 0.5), (None, 0.5)]
