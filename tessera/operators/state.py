@@ -97,8 +97,10 @@ def coherency_state(events: DataFrame, block: str, source: str, ts: str, tie: st
     (reads of unknown / INVALID copies are misses and change nothing);
     write -> MODIFIED and the block's copies at other sources INVALID;
     update -> MODIFIED, version + 1, other copies INVALID; sync -> SHARED.
-    A copy exists once it had a non-read event at its source.
+    A copy exists once it had a non-read event at its source. Events without
+    a block or source belong to no state machine and are ignored.
     """
+    events = events.filter(F.col(block).isNotNull() & F.col(source).isNotNull())  # no block: no machine
     seq = F.struct(F.col(ts).alias("t"), F.col(tie).alias("i"))
     a = F.col(action)
     per_copy = events.groupBy(block, source).agg(
@@ -144,6 +146,7 @@ def write_invalidations(events: DataFrame, block: str, source: str, ts: str, tie
     other than X. X's copy is valid just before the event when the first is
     set and not older than the second.
     """
+    events = events.filter(F.col(block).isNotNull() & F.col(source).isNotNull())  # no block: no machine
     rows = events.select(source).distinct().limit(max_sources + 1).collect()
     if len(rows) > max_sources:
         raise ValueError(f"more than {max_sources} sources")

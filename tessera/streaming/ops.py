@@ -221,7 +221,8 @@ def coherency_stream(stream: DataFrame, block: str = "block", source: str = "sou
         rows = [(k[0], s, c[0], int(c[1]), pd.Timestamp(c[2]), inval, n) for s, c in sorted(copies.items())]
         yield pd.DataFrame(rows, columns=[block, source, "state", "version", "last_ts", "invalidated", "batch_rows"])
 
-    return (stream.select(block, source, action, ts, tie).groupBy(block)
+    return (stream.select(block, source, action, ts, tie)
+                  .filter(F.col(block).isNotNull() & F.col(source).isNotNull()).groupBy(block)
                   .applyInPandasWithState(fn, out_schema, state_schema, "append", GroupStateTimeout.NoTimeout))
 
 
