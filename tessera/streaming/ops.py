@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -112,9 +113,12 @@ def ema_stream(stream: DataFrame, key: str, value: str, alpha: float = 0.1,
         ema, n, last = (state.get if state.exists else (0.0, 0, None))
         for pdf in pdfs:
             pdf = pdf.sort_values([ts, tie], kind="mergesort")
-            for x in pdf[value].tolist():
-                ema = alpha * x + (1 - alpha) * ema
-                n += 1
+            x = pdf[value].to_numpy(dtype="float64")
+            m = len(x)
+            # closed form of m fold steps: (1-a)^m * ema + sum a (1-a)^(m-1-i) x_i
+            w = alpha * np.power(1.0 - alpha, np.arange(m - 1, -1, -1, dtype="float64"))
+            ema = float((1.0 - alpha) ** m * ema + np.dot(w, x))
+            n += m
             last = pdf[ts].max() if last is None else max(last, pdf[ts].max())
         state.update((ema, n, last))
         yield pd.DataFrame({key: [str(k[0])], "ema": [ema], "events": [n], "last_ts": [last]})
