@@ -138,22 +138,32 @@ def breaker_stream(stream: DataFrame, key: str, failed_col: str, ts: str = "ts",
 
     def fn(k, pdfs, state):
         failures, last = (state.get if state.exists else (0, None))
-        rows = []
+        outs = []
         for pdf in pdfs:
-            pdf = pdf.sort_values([ts, tie], kind="mergesort")
-            for r in pdf.itertuples(index=False):
-                t = getattr(r, ts)
-                if failures >= max_failures:
-                    gap = (t - last).total_seconds() if last is not None else None
-                    before = "HALF-OPEN" if gap is not None and gap > reset_seconds else "OPEN"
-                else:
-                    before = "CLOSED"
-                failures = failures + 1 if getattr(r, failed_col) else 0
-                after = "OPEN" if failures >= max_failures else "CLOSED"
-                rows.append((k[0], getattr(r, tie), t, bool(getattr(r, failed_col)), before, failures, after))
-                last = t
+            pdf = pdf.sort_values([ts, tie], kind="mergesort").reset_index(drop=True)
+            f = pdf[failed_col].to_numpy(dtype=bool)
+            i = np.arange(len(f))
+            # consecutive failures up to each row: distance to the last success,
+            # plus the carried run when no success came yet in this batch
+            last_ok = np.maximum.accumulate(np.where(~f, i, -1))
+            run = np.where(last_ok >= 0, i - last_ok, i + 1 + failures)
+            after_n = np.where(f, run, 0)
+            before_n = np.concatenate([[failures], after_n[:-1]])
+            t = pdf[ts]
+            prev = t.shift(1)
+            if len(prev):
+                prev.iloc[0] = last if last is not None else pd.NaT
+            gap = (t - prev).dt.total_seconds().to_numpy()
+            opened = before_n >= max_failures
+            before = np.where(opened, np.where(gap > reset_seconds, "HALF-OPEN", "OPEN"), "CLOSED")
+            after = np.where(after_n >= max_failures, "OPEN", "CLOSED")
+            outs.append(pd.DataFrame({key: k[0], tie: pdf[tie], ts: t, "failed": f, "state_before": before,
+                                      "failures": after_n.astype("int64"), "state_after": after}))
+            if len(f):
+                failures, last = int(after_n[-1]), t.iloc[-1]
         state.update((failures, last))
-        yield pd.DataFrame(rows, columns=[key, tie, ts, "failed", "state_before", "failures", "state_after"])
+        cols = [key, tie, ts, "failed", "state_before", "failures", "state_after"]
+        yield pd.concat(outs, ignore_index=True) if outs else pd.DataFrame(columns=cols)
 
     return (stream.select(key, tie, ts, failed_col).groupBy(key)
                   .applyInPandasWithState(fn, out_schema, state_schema, "append", GroupStateTimeout.NoTimeout))

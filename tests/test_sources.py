@@ -111,3 +111,33 @@ def test_catalog_and_sync_history_types(spark):
                                  "id long, source_name string, operation string, timestamp double, success int, details string")
     h = io.normalise_sync_history(hist).first()
     assert h.success is True and h.timestamp.year == 2024
+
+
+def test_stream_breaker_and_ema_carry_state_across_batches(spark):
+    import datetime as dt
+
+    from tessera.operators import state
+    from tessera.streaming import ops
+
+    base = scratch_path(spark, "multibatch")
+    t0 = dt.datetime(2024, 1, 1)
+    pattern = [True, True, False, True, True, True, True, False, True]  # run spans batch borders
+    rows = [(i, t0 + dt.timedelta(seconds=100 * i), 7, "error" if bad else "view", float(i), '{"k": 1}')
+            for i, bad in enumerate(pattern)]
+    schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+    for chunk in (rows[:3], rows[3:6], rows[6:]):  # three part files, one per trigger
+        spark.createDataFrame(chunk, schema).coalesce(1).write.mode("append").parquet(f"{base}/in")
+        time.sleep(1.1)  # distinct modification times keep the files in order
+    stream = ops.read_events_stream(spark, f"{base}/in", glob="*.parquet", max_files=1)
+    _, out = ops.run_to_parquet(ops.breaker_stream(stream.withColumn("failed", F.col("event_type") == "error"),
+                                                   "user_id", "failed"), spark, "mb-breaker")
+    got = {r.event_id: (r.state_before, r.failures, r.state_after) for r in spark.read.parquet(out).collect()}
+    batch = spark.createDataFrame(rows, schema)
+    want = {r.event_id: (r.state_before, r.failures, r.state_after)
+            for r in state.breaker_states(batch, "user_id", "ts", "event_id", F.col("event_type") == "error").collect()}
+    assert got == want and len(got) == 9
+    _, out2 = ops.run_to_parquet(ops.ema_stream(ops.read_events_stream(spark, f"{base}/in", glob="*.parquet", max_files=1),
+                                                "user_id", "value"), spark, "mb-ema")
+    last = spark.read.parquet(out2).orderBy(F.col("events").desc()).first()
+    want_ema = state.ema_per_key(batch, "user_id", "ts", "event_id", "value").first().ema
+    assert last.events == 9 and abs(last.ema - want_ema) < 1e-12
