@@ -87,7 +87,7 @@ def stream_coherency(spark, sf_dir):
     res = spark.read.parquet(out)
     # newest emitted row per copy = its current state
     latest = res.groupBy("block", "source").agg(
-        F.max_by(F.struct("state", "version", "last_ts"), "batch_rows").alias("s"))
+        F.max_by(F.struct("state", "version", "last_ts"), "events_seen").alias("s"))
     return latest.select("block", "source", "s.state", "s.version",
                          F.col("s.last_ts").cast("timestamp_ntz").alias("last_ts"))
 

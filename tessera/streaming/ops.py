@@ -199,12 +199,14 @@ def coherency_stream(stream: DataFrame, block: str = "block", source: str = "sou
     v1; read turns EXCLUSIVE into SHARED (misses change nothing); write ->
     MODIFIED and other copies INVALID; update -> MODIFIED, version + 1, other
     copies INVALID; sync -> SHARED. After each micro-batch the block's copies
-    are emitted; the newest row per copy is the current state.
+    are emitted with ``events_seen`` (the block's running event count, which
+    only grows); the row with the largest ``events_seen`` per copy is its
+    current state.
     """
     import json
 
     out_schema = (f"{block} string, {source} string, state string, version long, last_ts timestamp, "
-                  "invalidated long, batch_rows long")
+                  "invalidated long, events_seen long")
     state_schema = "copies string, seen long"
 
     def fn(k, pdfs, st):
@@ -232,8 +234,10 @@ def coherency_stream(stream: DataFrame, block: str = "block", source: str = "sou
                             c[0] = "INVALID"
                             inval += 1
         st.update((json.dumps(copies), seen + n))
-        rows = [(k[0], s, c[0], int(c[1]), pd.Timestamp(c[2]), inval, n) for s, c in sorted(copies.items())]
-        yield pd.DataFrame(rows, columns=[block, source, "state", "version", "last_ts", "invalidated", "batch_rows"])
+        rows = [(k[0], s, c[0], int(c[1]), pd.Timestamp(c[2]), inval, seen + n)
+                for s, c in sorted(copies.items())]
+        yield pd.DataFrame(rows, columns=[block, source, "state", "version", "last_ts", "invalidated",
+                                          "events_seen"])
 
     return (stream.select(block, source, action, ts, tie)
                   .filter(F.col(block).isNotNull() & F.col(source).isNotNull()).groupBy(block)

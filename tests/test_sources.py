@@ -141,3 +141,39 @@ def test_stream_breaker_and_ema_carry_state_across_batches(spark):
     last = spark.read.parquet(out2).orderBy(F.col("events").desc()).first()
     want_ema = state.ema_per_key(batch, "user_id", "ts", "event_id", "value").first().ema
     assert last.events == 9 and abs(last.ema - want_ema) < 1e-12
+
+
+def test_stream_arrivals_and_coherency_across_batches(spark):
+    from tessera.plans import state_q
+    from tessera.streaming import ops
+
+    base = scratch_path(spark, "mb2")
+    ev = spark.read.parquet("/root/testdata/sf0.001/events.parquet").orderBy("ts", "event_id").collect()
+    schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+    third = len(ev) // 3
+    for chunk in (ev[:third], ev[third:2 * third], ev[2 * third:]):
+        spark.createDataFrame(chunk, schema).coalesce(1).write.mode("append").parquet(f"{base}/in")
+        time.sleep(1.1)
+    stream = ops.read_events_stream(spark, f"{base}/in", glob="*.parquet", max_files=1)
+    keyed = stream.withColumn("key", F.get_json_object("props", "$.k"))
+    arrived = spark.read.parquet(ops.arrivals(spark, keyed, "key"))
+    batch = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    want = {r.key: r.first_ts for r in batch.groupBy(F.get_json_object("props", "$.k").alias("key"))
+            .agg(F.min("ts").alias("first_ts")).collect()}
+    got = {r.key: r.first_ts for r in arrived.select("key", F.col("first_ts").cast("timestamp_ntz")).collect()}
+    assert got == want and arrived.count() == len(want)  # each key once, in its first batch
+    assert arrived.select("batch_id").distinct().count() > 1
+    action = (F.when(F.col("event_type") == "signup", "register").when(F.col("event_type") == "view", "read")
+               .when(F.col("event_type") == "click", "write").when(F.col("event_type") == "purchase", "update")
+               .otherwise("sync"))
+    src = stream.select(F.get_json_object("props", "$.k").alias("block"),
+                        F.concat(F.lit("site_"), (F.col("user_id") % 3).cast("string")).alias("source"),
+                        "ts", "event_id", action.alias("action"))
+    _, out = ops.run_to_parquet(ops.coherency_stream(src), spark, "mb-coh")
+    res = spark.read.parquet(out)
+    assert res.select("events_seen").distinct().count() > 1
+    cur = {(r.block, r.source): (r.s.state, r.s.version) for r in res.groupBy("block", "source").agg(
+        F.max_by(F.struct("state", "version"), "events_seen").alias("s")).collect()}
+    want_c = {(r.block, r.source): (r.state, r.version)
+              for r in state_q.coherency_fold(spark, "/root/testdata/sf0.001").collect()}
+    assert cur == want_c
