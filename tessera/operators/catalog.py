@@ -151,6 +151,7 @@ def route_requests(requests: DataFrame, cached: DataFrame, sources: DataFrame,
     ``cached``: (data_id) with a valid copy. ``sources``: (name, connected,
     is_master), catalog-sized. ``predictions``: (data_id, source, rank).
     """
+    _bounded_names(sources, "name")  # catalog-sized: checked before it is broadcast
     conn = sources.filter(F.col("connected"))
     masters = _bounded_names(conn.filter(F.col("is_master")), "name", 64)
     best = (predictions.join(F.broadcast(conn.select(F.col("name").alias("source"))), "source", "left_semi")
