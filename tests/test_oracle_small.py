@@ -43,3 +43,9 @@ def test_entry(spark):
     out = E.entry(spark)
     assert out.columns == ["feature", "variance"]
     assert out.count() >= 1
+
+
+def test_only_model_queries_lack_an_oracle():
+    rows_only = set(QUERIES) - set(ORACLE)
+    assert rows_only == {"causes_ranked", "conformal", "ensemble_train", "granger", "rf_importance"}
+    assert set(ORACLE) <= set(QUERIES)
