@@ -83,7 +83,10 @@ def _is_plain_scan(df: DataFrame) -> bool:
     (column groups then read disjoint columns and nothing is recomputed)."""
     heavy = ("Aggregate", "Join", "Window", "Generate", "Expand", "Union", "Sort", "Repartition",
              "MapInPandas", "FlatMapGroupsInPandas", "LocalRelation", "LogicalRDD")
-    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    try:
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+    except Exception:  # noqa: BLE001 - no JVM plan (e.g. Spark Connect): treat as derived
+        return False
     return not any(h in plan for h in heavy)
 
 
