@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.operators import ml
-from tessera.plans.common import table
+from tessera.plans.common import sig, sql_sig, table
 
 FEATURES = ["l_quantity", "l_discount", "l_tax", "p_size", "p_retailprice"]
 TARGETS = ["views_y", "l_extendedprice"]
@@ -71,11 +71,32 @@ def granger(spark, sf_dir):
     return ml.granger(daily, "event_type", "day", "v", max_lag=4)
 
 
+def granger_lag1(spark, sf_dir):
+    """The Granger F test with one lag (same code path as ``granger``): with one
+    lag the statistic has a closed form, so SQL can check it."""
+    ev = table(spark, sf_dir, "events")
+    daily = ev.groupBy("event_type", F.to_date("ts").alias("day")).agg(F.sum("value").alias("v"))
+    g = ml.granger(daily, "event_type", "day", "v", max_lag=1)
+    return g.select("x", "y", "n", sig("f_stat", 8).alias("f_stat"), "df1", "df2")
+
+
 QUERIES = {
+    "granger_lag1": granger_lag1,
     "sample_hash": sample_hash, "causes_ranked": causes_ranked, "ensemble_train": ensemble_train,
     "rf_importance": rf_importance, "conformal": conformal, "granger": granger,
 }
+_GRANGER1 = """WITH d AS (SELECT event_type AS g, CAST(ts AS DATE) AS day, sum(value) AS v FROM events GROUP BY ALL),
+p AS (SELECT a.g AS x, b.g AS y, a.day, a.v AS xv, b.v AS yv FROM d a JOIN d b ON a.day = b.day AND a.g <> b.g),
+l AS (SELECT x, y, yv, lag(yv) OVER w AS y1, lag(xv) OVER w AS x1 FROM p WINDOW w AS (PARTITION BY x, y ORDER BY day)),
+m AS (SELECT x, y, count(*) AS n, var_pop(yv) AS vy, var_pop(y1) AS v1, var_pop(x1) AS v2, covar_pop(y1, x1) AS c12,
+  covar_pop(yv, y1) AS b1, covar_pop(yv, x1) AS b2 FROM l WHERE y1 IS NOT NULL GROUP BY x, y),
+r AS (SELECT *, n * (vy - b1 * b1 / v1) AS rss_r,
+  n * (vy - (v2 * b1 * b1 - 2 * c12 * b1 * b2 + v1 * b2 * b2) / (v1 * v2 - c12 * c12)) AS rss_f FROM m)
+"""
+
 ORACLE = {
+    "granger_lag1": _GRANGER1 + f"""SELECT x, y, n, {sql_sig('(rss_r - rss_f) / (rss_f / (n - 3))', 8)} AS f_stat,
+        CAST(1 AS BIGINT) AS df1, CAST(n - 3 AS BIGINT) AS df2 FROM r""",
     "sample_hash": """SELECT * FROM lineitem ORDER BY
         CAST('0x' || substr(md5('42|' || CAST(l_orderkey AS VARCHAR) || '|' || CAST(l_linenumber AS VARCHAR) || '|'
           || CAST(l_partkey AS VARCHAR)), 1, 15) AS BIGINT), l_orderkey, l_linenumber, l_partkey LIMIT 5000""",
