@@ -242,3 +242,13 @@ def test_null_keys_survive_access_aggregates(spark):
     assert st[None].accesses == 2 and st[None].avg_interval_ms == 2000.0
     sh = access.transition_share(log.select(F.col("key").alias("source"), F.col("component").cast("string").alias("target")))
     assert sorted((r.source, r.share) for r in sh.collect() if r.source is None) == [(None, 0.5), (None, 0.5)]
+
+
+def test_scale_conf_sizes_partitions():
+    from tessera.session import scale_conf
+
+    big = scale_conf(100 * 2 ** 40, 8000)
+    assert int(big["spark.sql.shuffle.partitions"]) == 409600
+    assert big["spark.sql.adaptive.skewJoin.enabled"] == "true"
+    small = scale_conf(10 * 2 ** 20, 8)
+    assert int(small["spark.sql.shuffle.partitions"]) == 16  # at least 2 per core
