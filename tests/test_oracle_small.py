@@ -5,10 +5,10 @@ import math
 import pytest
 
 import __spark_entry__ as E
+from tessera.plans import registry
 from tests.conftest import SF_SMALL
 
-QUERIES = E.queries()
-ORACLE = E.oracle_sql()
+QUERIES, ORACLE = registry()
 
 
 def _norm(v):
@@ -49,3 +49,8 @@ def test_only_model_queries_lack_an_oracle():
     rows_only = set(QUERIES) - set(ORACLE)
     assert rows_only == {"causes_ranked", "conformal", "ensemble_train", "granger", "rf_importance"}
     assert set(ORACLE) <= set(QUERIES)
+
+
+def test_entry_registers_every_binding():
+    assert set(QUERIES) <= set(E.queries())
+    assert set(ORACLE) <= set(E.oracle_sql()) <= set(E.queries())
