@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from tessera.llm import dedup, quality, secrets, shard
+from tessera.llm import bpe_tree, dedup, packing, quality, secrets, shard, token_count, token_file
 from tessera.llm.common import materialise, text_or_empty
 from tessera.plans.common import table
+from tessera.session import scratch_path
+
+BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
+TOKEN_LIMIT = 2048
 
 
 def op1_quality_rules(spark, sf_dir):
@@ -17,6 +22,21 @@ def op1_quality_rules(spark, sf_dir):
         "base_failed", "kept", "n_stop_words", "n_marks", "n_lines")])
 
 
+def op2_token_file(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    path = scratch_path(spark, "token-ids")
+    token_file.write_ids(docs, path, public_tokenizers.path(BYTE_BPE))
+    return token_file.read_ids(spark, path).select(
+        "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op3_token_counts(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn(
+        "n_bytes", F.octet_length(text_or_empty()).cast("long"))
+    counted = token_count.count_tokens(docs, public_tokenizers.path(WORD_BPE), keep_text=False)
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
+
+
 def op6_exact_dedup(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return dedup.exact_groups(docs).select(
@@ -46,11 +66,30 @@ def op8_sharding(spark, sf_dir):
                        "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op9_bpe_tree(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    path = public_tokenizers.path(BYTE_BPE)
+    back = bpe_tree.decode(bpe_tree.encode(docs, path, keep_text=False), path)
+    return back.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op10_packing(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack(docs, public_tokenizers.path(WORD_BPE))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_token_file": op2_token_file,
+    "op3_token_counts": op3_token_counts,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_secret_scan": op7_secret_scan,
     "op8_sharding": op8_sharding,
+    "op9_bpe_tree": op9_bpe_tree,
+    "op10_packing": op10_packing,
 }
 
 ORACLE = {
