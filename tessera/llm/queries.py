@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe_tree, dedup, jaccard, packing, quality, secrets, shard, token_count, token_file
+from tessera.llm import bpe_tree, dedup, jaccard, lm, packing, quality, secrets, shard, token_count, token_file
 from tessera.llm.common import materialise, text_or_empty
 from tessera.plans.common import table
 from tessera.session import scratch_path
@@ -37,6 +37,11 @@ def op3_token_counts(spark, sf_dir):
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
 
 
+def op4_lm_scores(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lm.score_texts(docs)
+
+
 def op5_jaccard_join(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return jaccard.near_classes(docs).select("doc_id", "class_id", "class_size", "n_links", "kept")
@@ -90,6 +95,7 @@ QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_token_file": op2_token_file,
     "op3_token_counts": op3_token_counts,
+    "op4_lm_scores": op4_lm_scores,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_secret_scan": op7_secret_scan,
