@@ -28,6 +28,8 @@ from tessera.session import scratch_path
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 PROVIDER_CONF = "spark.sql.streaming.stateStore.providerClass"
+#: many small stores: do not let each one reserve disk ahead
+STATE_CONF = {PROVIDER_CONF: ROCKSDB, "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false"}
 
 
 def sha256_text(text: Column) -> Column:
@@ -42,8 +44,9 @@ def stream_state(keyed: DataFrame, max_bytes_per_trigger: int = 8 << 30) -> Data
     """
     spark = keyed.sparkSession
     checkpoint = scratch_path(spark, "dedup-state")
-    previous = spark.conf.get(PROVIDER_CONF, None)
-    spark.conf.set(PROVIDER_CONF, ROCKSDB)
+    previous = {k: spark.conf.get(k, None) for k in STATE_CONF}
+    for k, v in STATE_CONF.items():
+        spark.conf.set(k, v)
     try:
         source = (spark.readStream.schema(keyed.schema).option("maxBytesPerTrigger", str(max_bytes_per_trigger))
                   .parquet(_folder(keyed)))
@@ -54,10 +57,11 @@ def stream_state(keyed: DataFrame, max_bytes_per_trigger: int = 8 << 30) -> Data
                .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
         run.awaitTermination()
     finally:
-        if previous is None:
-            spark.conf.unset(PROVIDER_CONF)
-        else:
-            spark.conf.set(PROVIDER_CONF, previous)
+        for k, v in previous.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
     if not run.lastProgress:  # nothing arrived: there is no state to read
         return spark.createDataFrame([], f"digest string, stay struct<known:boolean,"
                                          f"id:{keyed.schema['id'].dataType.simpleString()},rid:bigint,place:string>, n bigint")
