@@ -40,8 +40,12 @@ def text_slices(batch: pa.RecordBatch, col: str, max_bytes: int = 8 << 20):
 
 
 def strings(batch: pa.RecordBatch, col: str) -> pa.Array:
-    """The text column of a batch as large strings, NULL as empty."""
-    return pc.fill_null(batch.column(col).cast(pa.large_string()), "")
+    """The text column of a batch as large strings, NULL as empty.
+
+    The values are copied: some Arrow kernels misread slices whose first offset is not 0.
+    """
+    text = pc.fill_null(batch.column(col).cast(pa.large_string()), "")
+    return text.take(pa.array(np.arange(len(text))))
 
 
 def gather_ranges(flat: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
