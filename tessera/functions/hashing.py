@@ -1,9 +1,11 @@
 """Hash helpers.
 
-``row_digest`` hashes a canonical text of the given columns: values joined
-with '|', NULL spelled ``\\N``, DOUBLE / FLOAT through DECIMAL(38,6) (so the
-text does not depend on an engine's float formatting). The DuckDB oracles
-spell the same canonical text, so digests compare across engines.
+``row_digest`` hashes a canonical text of the given columns: every value is its
+length, ':' and its text, NULL is ``N`` (no length can spell it), so different
+rows never share a text. DOUBLE / FLOAT go through DECIMAL(38,6), so the text
+does not depend on an engine's float formatting: doubles are compared to 6
+decimals. The DuckDB oracles spell the same text, so digests compare across
+engines.
 """
 
 from __future__ import annotations
@@ -21,7 +23,8 @@ def canonical_value(c, dtype=None) -> Column:
     col = _col(c)
     if isinstance(dtype, (DoubleType, FloatType)):
         col = col.cast("decimal(38,6)")
-    return F.coalesce(col.cast("string"), F.lit("\\N"))
+    text = col.cast("string")
+    return F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("N"))
 
 
 def canonical_text(df: DataFrame, cols: list[str]) -> Column:

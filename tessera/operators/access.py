@@ -201,7 +201,9 @@ def tier_table(counts: DataFrame, key="key", count="accesses",
     head = counts.select(key, count).orderBy(F.col(count).desc(), F.col(key).asc()).limit(head_n)
     w = Window.orderBy(F.col(count).desc(), F.col(key).asc())  # over <= head_n rows
     ranked = head.withColumn("rank", F.row_number().over(w).cast("long")).select(key, "rank")
-    out = counts.join(F.broadcast(ranked), key, "left")
+    # bounded by the slots; NULL is a key like any other
+    ranked = ranked.select(F.col(key).alias("_ranked_key"), "rank")
+    out = counts.join(F.broadcast(ranked), F.col(key).eqNullSafe(F.col("_ranked_key")), "left").drop("_ranked_key")
     rk, n = F.col("rank"), F.col(count)
     tier = (F.when(rk.isNull(), F.lit("UNCACHED"))
              .when((rk <= l1) & (n >= promote_at), F.lit("L1_HOT"))

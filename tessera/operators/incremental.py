@@ -78,12 +78,17 @@ def write_version(df: DataFrame, base: str, version: str) -> str:
 
 
 def read_latest_version(spark, base: str) -> DataFrame:
-    """Read the newest complete version folder (the highest ``v=``)."""
+    """Read the newest complete version folder: the highest ``v=``, numbers by value, before
+    names (by text)."""
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(base)
     fs = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    versions = sorted(st.getPath().getName() for st in fs.listStatus(jvm_path)
+    def rank(name):
+        version = name.removeprefix("v=")
+        return (not version.isdecimal(), int(version) if version.isdecimal() else 0, version)
+
+    versions = sorted((st.getPath().getName() for st in fs.listStatus(jvm_path)
                       if st.isDirectory() and st.getPath().getName().startswith("v=")
-                      and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")))
+                      and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS"))), key=rank)
     if not versions:
         raise FileNotFoundError(f"no complete version under {base}")
     return spark.read.parquet(f"{base.rstrip('/')}/{versions[-1]}")

@@ -185,13 +185,18 @@ def causation(df: DataFrame, features: list[str], target_candidates: list[str],
 # ---------------------------------------------------------------- M8
 def conformal_intervals(calibration: DataFrame, scored: DataFrame, prediction: str = "ensemble",
                         level: float = 0.9, accuracy: int = 100_000) -> DataFrame:
-    """M8 (split conformal): q = the ceil((n+1) level)/n quantile of |y - p|
-    on the calibration rows (approximate quantile sketch, bounded memory);
-    interval p +- q on the scored rows."""
+    """M8 (split conformal): q is the residual |y - p| of rank ceil((n+1) level)
+    on the n calibration rows; interval p +- q on the scored rows. When that
+    rank exceeds n there is no such residual and the interval is unbounded. The
+    rank is exact up to ``accuracy`` rows, beyond them within n / accuracy ranks
+    (quantile sketch, bounded memory)."""
     resid = calibration.select(F.abs(F.col("label") - F.col(prediction)).alias("r"))
     n = resid.count()
-    ql = min(1.0, math.ceil((n + 1) * level) / max(n, 1))
-    q = resid.agg(F.percentile_approx("r", ql, accuracy)).scalar()  # scalar subquery
+    rank = math.ceil((n + 1) * level)
+    if rank > n:
+        q = F.lit(float("inf"))
+    else:
+        q = resid.agg(F.percentile_approx("r", rank / n, accuracy)).scalar()  # scalar subquery
     return scored.withColumn("q", q).select(
         "*", (F.col(prediction) - F.col("q")).alias("lower"), (F.col(prediction) + F.col("q")).alias("upper"))
 

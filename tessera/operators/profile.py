@@ -158,7 +158,8 @@ def _moments_builtin(df, features, mode):
         for j, b in enumerate(features):
             if j <= i:
                 continue
-            xa, xb = F.col(a).cast("double"), F.col(b).cast("double")
+            # NaN counts as missing, as in the many-feature path
+            xa, xb = (F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in (a, b))
             if mode == "pairwise":
                 both = xa.isNotNull() & xb.isNotNull()
                 xa, xb = F.when(both, xa), F.when(both, xb)

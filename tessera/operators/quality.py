@@ -14,6 +14,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.session import checkpoint_dir
+
 # The four failure modes in their declared order.
 FAILURE_MODES = ["DATA_BREAKDOWN", "VALIDATION_BREACH", "COMPUTE_HALT", "SECURITY_FAILURE"]
 MODE_DESCRIPTIONS = {
@@ -44,15 +46,18 @@ class CheckRegistry:
         self._checks.append((mode, name, fn))
 
     def check_table(self, spark: SparkSession) -> DataFrame:
-        """All check results in one frame. A check that fails to build
+        """All check results in one frame. Each check runs once, here, and its rows go
+        to the shared checkpoint folder; a check that fails to build or to run
         counts as failed with its error as the message."""
+        checkpoint_dir(spark)
         parts = []
         for mode, name, fn in self._checks:
             try:
                 df = fn().select(F.lit(mode).alias("mode"), F.lit(name).alias("check"),
-                                 F.col("ok").cast("boolean").alias("ok"), F.col("message").cast("string"))
+                                 F.col("ok").cast("boolean").alias("ok"), F.col("message").cast("string")) \
+                    .checkpoint(eager=True)
             except Exception as e:  # noqa: BLE001 - a broken check fails closed
-                df = spark.createDataFrame([(mode, name, False, f"Validator error: {e}")], CHECK_SCHEMA)
+                df = spark.createDataFrame([(mode, name, False, f"check could not run: {str(e).splitlines()[0] if str(e) else type(e).__name__}")], CHECK_SCHEMA)
             parts.append(df)
         if not parts:
             return spark.createDataFrame([], CHECK_SCHEMA)

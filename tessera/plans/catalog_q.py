@@ -153,7 +153,7 @@ def _canon(cols, types):
     parts = []
     for c in cols:
         x = f"CAST(CAST({c} AS DECIMAL(38,6)) AS VARCHAR)" if types.get(c) == "double" else f"CAST({c} AS VARCHAR)"
-        parts.append(f"coalesce({x}, '\\N')")
+        parts.append(f"coalesce(length({x}) || ':' || {x}, 'N')")
     return f"md5(concat_ws('|', {', '.join(parts)}))"
 
 

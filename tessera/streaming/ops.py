@@ -66,20 +66,23 @@ def run_to_parquet(stream: DataFrame, spark: SparkSession, name: str, mode: str
 
 
 # ---------------------------------------------------------------- ST1
-def arrivals(spark: SparkSession, stream: DataFrame, key: str, ts: str = "ts") -> str:
+def arrivals(spark: SparkSession, stream: DataFrame, key: str, ts: str = "ts",
+             state: str | None = None, checkpoint: str | None = None) -> str:
     """ST1: keys never seen before, with the batch that first saw them.
-    Returns the key-table folder (partitioned by ``batch_id``)."""
-    state = scratch(spark, "arrivals")
-    ck = scratch(spark, "arrivals-ck")
+    Returns the key-table folder (partitioned by ``batch_id``). Give both
+    folders to resume a stopped run: each key is then new once over all runs.
+    A NULL key is a key like any other."""
+    state = state or scratch(spark, "arrivals")
+    ck = checkpoint or scratch(spark, "arrivals-ck")
 
     def process(batch: DataFrame, batch_id: int):
         keys = batch.groupBy(key).agg(F.min(ts).alias("first_ts"))
         s = batch.sparkSession
-        try:
-            seen = s.read.parquet(state).filter(F.col("batch_id") < batch_id).select(key)
-        except Exception:  # noqa: BLE001 - nothing committed yet
-            seen = None
-        new = keys if seen is None else keys.join(seen, key, "left_anti")
+        new = keys
+        if is_directory(s, state):
+            seen = (s.read.schema(keys.schema.add("batch_id", "long")).parquet(state)
+                    .filter(F.col("batch_id") < batch_id).select(F.col(key).alias("_seen")))
+            new = keys.join(seen, F.col(key).eqNullSafe(F.col("_seen")), "left_anti")
         new.write.mode("overwrite").parquet(f"{state}/batch_id={batch_id}")
 
     q = (stream.writeStream.foreachBatch(process).option("checkpointLocation", ck)

@@ -119,7 +119,7 @@ def test_gate_first_failure_and_pending(spark):
     summ = {r.mode: r for r in quality.gate_summary(reg.check_table(spark)).collect()}
     assert summ["VALIDATION_BREACH"].ok  # no result = pending, passes
     assert not summ["COMPUTE_HALT"].ok and summ["COMPUTE_HALT"].failures == "overflow"
-    assert not summ["SECURITY_FAILURE"].ok and "Validator error" in summ["SECURITY_FAILURE"].failures
+    assert not summ["SECURITY_FAILURE"].ok and "check could not run" in summ["SECURITY_FAILURE"].failures
     assert summ["DATA_BREAKDOWN"].first_failure == "COMPUTE_HALT"
     with pytest.raises(quality.GateFailed) as e:
         quality.enforce(reg.check_table(spark))
