@@ -39,8 +39,8 @@ from tessera.llm.elias_fano import BigramTrie
 
 FOLDS = 10
 PAGE_BYTES = 8 << 20
-WORDS_PER_SHARD = 1_000_000
-BIGRAMS_PER_SHARD = 2_000_000
+WORDS_PER_SHARD = 500_000
+BIGRAMS_PER_SHARD = 1_000_000
 KAPPA = 200.0
 STEP = 2.0 ** -12     # of log10, per code
 HOT_CONTEXT = 500_000  # occurrences per shard of one context
