@@ -25,7 +25,7 @@ from tessera.llm.common import bounds, gather_ranges
 #: Every code point some library treats as white space.
 WHITE = r"\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 UNCLEAN = rf" (?:[{WHITE}]|\z)"
-REMEMBERED = 300_000
+REMEMBERED = 600_000
 PER_CALL = 500
 #: Letters whose lower case and composition are the same everywhere, then plain punctuation.
 PLAIN_WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-&(-/:-@\[-`{-~]*)")

@@ -138,7 +138,7 @@ def write_ids(df: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id",
         part, block, start = TaskContext.get().partitionId(), 0, 0
         names = ["part", "block", "start", "doc_ids", "lens", "payload"]
         for batch in batches:
-            for piece in text_slices(batch, "text"):
+            for piece in text_slices(batch, "text", 16 << 20):
                 ids, at = enc.encode(strings(piece, "text"))
                 lens = np.diff(at) + 1
                 ids = np.insert(ids, at[1:], end_id)
