@@ -5,8 +5,9 @@ white space; fewer words: one shingle of all of them), as 64-bit hashes.
 Documents with equal sets form one class of copies, represented once.
 
 Every representative has a signature of TREES x DEPTH min-hashes. Each tree's
-signatures are sorted (a prefix trie in sorted order), and neighbours in that
-order are linked if their common prefix is long enough. The prefix is shortened
+signatures are sorted (a prefix trie in sorted order), and the members of a run of
+neighbours whose common prefix is long enough are linked to the run's smallest
+member, so trees that find the same group give the same links. The prefix is shortened
 from DEPTH until a pair at the threshold meets in some tree with the target
 recall. Links give candidate groups (connected components); the sort spreads
 any group over tasks, since ties continue in the identifier.
@@ -132,7 +133,7 @@ def _sketches(docs: DataFrame) -> DataFrame:
 
 
 def _trie_links(reps: DataFrame, depth: int) -> DataFrame:
-    """(u, v): neighbours in some tree's sorted order whose common prefix has ``depth`` hashes."""
+    """(u, v): runs of neighbours in some tree's sorted order whose common prefix has ``depth`` hashes, as stars."""
     trees = reps.where("n > 0").select("rep", F.explode(F.transform(
         F.sequence(F.lit(0), F.lit(TREES - 1)),
         lambda t: F.struct(t.cast("short").alias("tree"),
@@ -150,13 +151,17 @@ def _trie_links(reps: DataFrame, depth: int) -> DataFrame:
             prefix = pc.binary_slice(batch.column("prefix"), 0, width)
             rep = batch.column("rep").to_numpy(zero_copy_only=False)
             same = (tree[1:] == tree[:-1]) & pc.equal(prefix[1:], prefix[:-1]).to_numpy(zero_copy_only=False)
-            u, v = rep[1:][same], rep[:-1][same]
-            head = (int(tree[0]), prefix[0].as_py(), int(rep[0]))
+            run_of = np.concatenate(([0], np.cumsum(~same)))
+            anchor = np.minimum.reduceat(rep, np.flatnonzero(np.concatenate(([True], ~same))))
+            head = (int(tree[0]), prefix[0].as_py(), int(anchor[0]))
             if last is None:
                 yield _link_rows([part], [head[0]], [head[1]], [head[2]], [None], [0])
             elif last[:2] == head[:2]:
-                u, v = np.append(u, head[2]), np.append(v, last[2])
-            last = (int(tree[-1]), prefix[len(prefix) - 1].as_py(), int(rep[-1]))
+                rep, run_of = np.append(rep, last[2]), np.append(run_of, 0)
+            last = (int(tree[-1]), prefix[len(prefix) - 1].as_py(), int(anchor[-1]))
+            u, v = rep, anchor[run_of]
+            linked = u != v
+            u, v = np.unique(np.stack([u[linked], v[linked]], axis=1), axis=0).T
             if len(u):
                 yield _link_rows([part] * len(u), [0] * len(u), [None] * len(u), u.tolist(), v.tolist(), [1] * len(u))
         if last is not None:
@@ -203,7 +208,6 @@ def verified(rep: np.ndarray, size: np.ndarray, sets: list[np.ndarray], side: np
     np.bitwise_or.at(bits, (row[use], c // 64), np.uint64(1) << (c % 64).astype(np.uint64))
     links = np.zeros(len(rep), dtype=np.int64)
     root = np.arange(len(order))
-    forest = []
 
     def find(i):
         while root[i] != i:
@@ -227,10 +231,12 @@ def verified(rep: np.ndarray, size: np.ndarray, sets: list[np.ndarray], side: np
             links[order[near]] += size[order[i]]
             for j in near.tolist():
                 a, b = find(i), find(j)
-                if a != b:
-                    root[max(a, b)] = min(a, b)
-                    forest.append((int(rep[order[i]]), int(rep[order[j]])))
-    return links, forest
+                root[max(a, b)] = min(a, b)
+    top = np.array([find(i) for i in range(len(order))])
+    least = np.full(len(order), np.iinfo(np.int64).max)  # smallest member of each tree
+    np.minimum.at(least, top, rep[order])
+    own, to = rep[order], least[top]
+    return links, [(int(own[i]), int(to[i])) for i in np.flatnonzero(own != to)]
 
 
 def _verify(members: DataFrame, threshold=THRESHOLD) -> DataFrame:

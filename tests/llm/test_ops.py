@@ -383,3 +383,12 @@ def test_pipeline_runs_on_the_tables(spark, con):
     rows = [(i, t) for i, t in texts(con) if i in kept]
     root, _ = brute_classes(rows)
     assert set(out.doc_id) == {max(i for (i, _), x in zip(rows, root) if x == c) for c in root}
+
+
+def test_components_of_chains_and_stars(spark):
+    from tessera.llm.graph import components
+
+    chain = [(i + 1, i) for i in range(40)] + [(60, 50), (70, 50), (50, 70), (90, 80), (81, 90), (5, 5)]
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(chain, "u long, v long")).collect()}
+    assert got == {**dict.fromkeys(range(41), 0), **dict.fromkeys((50, 60, 70), 50), **dict.fromkeys((80, 81, 90), 80)}
+    assert components(spark.createDataFrame([], "u long, v long")).count() == 0
