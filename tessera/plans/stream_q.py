@@ -44,8 +44,7 @@ def stream_snapshots(spark, sf_dir):
 
 def stream_ema(spark, sf_dir):
     ev = _events(spark, sf_dir)
-    _, out = ops.run_to_parquet(ops.ema_stream(ev, "event_type", "value"), spark, "ema")
-    res = spark.read.parquet(out)
+    res = spark.read.parquet(ops.ema_feed(spark, ev, "event_type", "value"))
     latest = res.groupBy("event_type").agg(F.max_by(F.struct("ema", "events"), "events").alias("s"))
     return latest.select("event_type", F.col("s.events").alias("events"), sig("s.ema").alias("ema"))
 

@@ -11,9 +11,10 @@ a restarted driver or a lost executor resumes from the last committed batch.
 * ST2 / ST8 windowed counts: event-time windows with a watermark, append
   mode: a window is emitted once the watermark passes its end; late rows
   behind the watermark are dropped (ST9, documented per query).
-* ST3 EMA and ST4 breaker: ``applyInPandasWithState`` per key; inside a
-  micro-batch rows are applied in (ts, id) order. State is one small record
-  per key.
+* ST3 EMA: ``foreachBatch`` with the chunked batch operator and a state table
+  per batch, so neither a hot key nor the Arrow batch size matters.
+* ST4 breaker: ``applyInPandasWithState`` per key; rows are sorted per Arrow
+  batch. State is one small record per key.
 * ST5 signal routing: stream-static join with the (small) handler table.
 """
 
@@ -106,28 +107,45 @@ def window_counts(stream: DataFrame, key: str, ts: str = "ts", size: str = "1 ho
 
 
 # ---------------------------------------------------------------- ST3
-def ema_stream(stream: DataFrame, key: str, value: str, alpha: float = 0.1,
-               ts: str = "ts", tie: str = "event_id") -> DataFrame:
-    """ST3: EMA per key kept in state; emits the key's value after each batch."""
-    out_schema = f"{key} string, ema double, events long, last_ts timestamp"
-    state_schema = "ema double, events long, last_ts timestamp"
+def ema_feed(spark: SparkSession, stream: DataFrame, key: str, value: str, alpha: float = 0.1, ts: str = "ts",
+             tie: str = "event_id", out: str | None = None, checkpoint: str | None = None) -> str:
+    """ST3: EMA per key after every micro-batch; give both folders to resume.
+
+    A batch of m events moves a key from ``ema`` to (1-a)^m * ema + the batch's
+    own EMA from 0 (chunked, so a hot key is spread over tasks). Events count in
+    (ts, tie) order inside a batch and in arrival order across batches. Every
+    batch writes the state of all keys to its own ``batch_id=`` folder with
+    overwrite and reads its predecessor's only, so a replay gives the same rows.
+    A NULL value adds nothing but ages the others; a NULL key is a key.
+    """
+    from tessera.operators.state import ema_per_key
 
-    def fn(k, pdfs, state):
-        ema, n, last = (state.get if state.exists else (0.0, 0, None))
-        for pdf in pdfs:
-            pdf = pdf.sort_values([ts, tie], kind="mergesort")
-            x = pdf[value].to_numpy(dtype="float64")
-            m = len(x)
-            # closed form of m fold steps: (1-a)^m * ema + sum a (1-a)^(m-1-i) x_i
-            w = alpha * np.power(1.0 - alpha, np.arange(m - 1, -1, -1, dtype="float64"))
-            ema = float((1.0 - alpha) ** m * ema + np.dot(w, x))
-            n += m
-            last = pdf[ts].max() if last is None else max(last, pdf[ts].max())
-        state.update((ema, n, last))
-        yield pd.DataFrame({key: [str(k[0])], "ema": [ema], "events": [n], "last_ts": [last]})
-
-    return (stream.select(F.col(key).cast("string").alias(key), value, ts, tie).groupBy(key)
-                  .applyInPandasWithState(fn, out_schema, state_schema, "append", GroupStateTimeout.NoTimeout))
+    out = out or scratch(spark, "ema")
+    ck = checkpoint or scratch(spark, "ema-ck")
+    rows = stream.select(F.col(key).cast("string").alias(key), value, ts, tie)
+
+    def process(batch: DataFrame, batch_id: int):
+        s = batch.sparkSession
+        own = ema_per_key(batch, key, ts, tie, value, alpha)
+        last = batch.groupBy(F.col(key).alias("_k")).agg(F.max(ts).alias("last_ts"))
+        new = own.join(last, F.col(key).eqNullSafe(F.col("_k"))).select(
+            key, F.coalesce("ema", F.lit(0.0)).alias("ema"), "events", "last_ts")
+        before = f"{out}/batch_id={batch_id - 1}"
+        if is_directory(s, before):
+            old = s.read.schema(new.schema).parquet(before).select(*[F.col(c).alias(f"_{c}") for c in new.columns])
+            age = F.pow(F.lit(1.0 - alpha), F.coalesce("events", F.lit(0)).cast("double"))
+            new = new.join(
+                old, F.col(key).eqNullSafe(F.col(f"_{key}")), "full").select(
+                F.coalesce(key, f"_{key}").alias(key),
+                (F.coalesce("ema", F.lit(0.0)) + age * F.coalesce("_ema", F.lit(0.0))).alias("ema"),
+                (F.coalesce("events", F.lit(0)) + F.coalesce("_events", F.lit(0))).cast("long").alias("events"),
+                F.greatest("last_ts", "_last_ts").alias("last_ts"))
+        new.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+
+    q = (rows.writeStream.foreachBatch(process).option("checkpointLocation", ck)
+             .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return out
 
 
 # ---------------------------------------------------------------- ST4

@@ -136,13 +136,37 @@ def test_stream_breaker_and_ema_carry_state_across_batches(spark):
     want = {r.event_id: (r.state_before, r.failures, r.state_after)
             for r in state.breaker_states(batch, "user_id", "ts", "event_id", F.col("event_type") == "error").collect()}
     assert got == want and len(got) == 9
-    _, out2 = ops.run_to_parquet(ops.ema_stream(ops.read_events_stream(spark, f"{base}/in", glob="*.parquet", max_files=1),
-                                                "user_id", "value"), spark, "mb-ema")
+    out2 = ops.ema_feed(spark, ops.read_events_stream(spark, f"{base}/in", glob="*.parquet", max_files=1),
+                        "user_id", "value")
     last = spark.read.parquet(out2).orderBy(F.col("events").desc()).first()
     want_ema = state.ema_per_key(batch, "user_id", "ts", "event_id", "value").first().ema
     assert last.events == 9 and abs(last.ema - want_ema) < 1e-12
 
 
+def test_stream_ema_of_a_hot_key_resumes(spark):
+    """One key above any Arrow batch, rows in no order, NULL keys and values; a second run adds to the first."""
+    from tessera.operators import state
+    from tessera.streaming import ops
+
+    base = scratch_path(spark, "ema-hot")
+    i = F.col("id")
+    ev = spark.range(24_000).select(
+        i.alias("event_id"), (F.timestamp_seconds(i * 7 + 1_700_000_000)).cast("timestamp_ntz").alias("ts"),
+        F.lit(1).cast("long").alias("user_id"), F.when(i % 6 > 0, F.lit("hot")).alias("event_type"),
+        F.when(i % 11 > 0, (F.hash("id") % 100).cast("double")).alias("value"), F.lit("{}").alias("props"))
+    late = F.col("event_id") >= 15_000
+    for part in (~late, late):
+        ev.filter(part).repartition(3, F.xxhash64("event_id")).orderBy(F.hash("event_id")).write.mode("append").parquet(f"{base}/in")
+        ops.ema_feed(spark, ops.read_events_stream(spark, f"{base}/in", glob="*.parquet"), "event_type", "value",
+                     out=f"{base}/out", checkpoint=f"{base}/ck")
+    got = {r.event_type: (r.events, r.ema) for r in spark.read.parquet(f"{base}/out").filter("batch_id = 1").collect()}
+    want = {r.event_type: (r.events, r.ema)
+            for r in state.ema_per_key(ev, "event_type", "ts", "event_id", "value").collect()}
+    assert got.keys() == want.keys() == {"hot", None}
+    for k, (n, x) in want.items():
+        assert got[k][0] == n and abs(got[k][1] - x) < 1e-9
+
+
 def test_stream_arrivals_and_coherency_across_batches(spark):
     from tessera.plans import state_q
     from tessera.streaming import ops
