@@ -58,13 +58,18 @@ def pivot_views(long: DataFrame, id_col: str, periods: list[str], years: list[in
     Spark's pivot with the value list given up front: no distinct job, a
     fixed output schema, and a hash lookup of the cell per row (partial
     aggregation per (title, cell) before the shuffle). Cells a title never
-    measured stay NULL.
+    measured stay NULL. Cells match on the whole year; a row outside the lists
+    fails the query, as do two listed years with the same two digits.
     """
-    names = [view_column_name(p, y, r) for y in years for p in periods for r in regions]
-    keyed = long.select(id_col, F.concat(F.lit("views_"), F.col("period"), F.lit("_"),
-                                         F.lpad((F.col("year") % 100).cast("string"), 2, "0"),
-                                         F.lit("_"), F.col("region")).alias("column"), "views")
-    return keyed.groupBy(id_col).pivot("column", names).agg(F.sum("views"))
+    cells = {f"{p}|{y}|{r}": view_column_name(p, y, r) for y in years for p in periods for r in regions}
+    if len(set(cells.values())) < len(cells):
+        raise ValueError("two listed cells share a column name")
+    cell = F.concat_ws("|", F.coalesce("period", F.lit("null")), F.coalesce(F.col("year").cast("string"), F.lit("null")),
+                       F.coalesce("region", F.lit("null")))
+    known = F.when(cell.isin(list(cells)), cell).otherwise(
+        F.raise_error(F.concat(F.lit("cell outside the pivot lists: "), cell)).cast("string"))
+    wide = long.select(id_col, known.alias("cell"), "views").groupBy(id_col).pivot("cell", list(cells)).agg(F.sum("views"))
+    return wide.withColumnsRenamed(cells)
 
 
 # ---------------------------------------------------------------- DQ1 / DQ3 / J17

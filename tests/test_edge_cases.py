@@ -63,3 +63,18 @@ def test_arrivals_resume_and_take_null_keys_once(spark, tmp_path):
         ops.arrivals(spark, spark.readStream.schema(schema).parquet(src), "key", state=state, checkpoint=ck)
     got = [(r.key, r.batch_id) for r in spark.read.parquet(state).collect()]
     assert sorted(got, key=repr) == sorted([("a", 0), (None, 0), ("b", 1)], key=repr)
+
+
+def test_pivot_matches_whole_years_and_fails_outside_its_lists(spark):
+    import pytest
+    from tessera.operators import views
+
+    long = spark.createDataFrame([(1, "q1", 1998, "asia", 5.0), (1, "q1", 2010, "asia", 7.0)],
+                                 "title long, period string, year long, region string, views double")
+    got = views.pivot_views(long, "title", ["q1"], [1998, 2010], ["asia"]).first().asDict()
+    assert got == {"title": 1, "views_q1_98_asia": 5.0, "views_q1_10_asia": 7.0}
+    for rows in (long, long.selectExpr("title", "period", "year + 100 AS year", "region", "views")):
+        with pytest.raises(Exception, match="outside the pivot lists"):
+            views.pivot_views(rows, "title", ["q1"], [1998], ["asia"]).collect()
+    with pytest.raises(ValueError):
+        views.pivot_views(long, "title", ["q1"], [1998, 2098], ["asia"])
