@@ -57,13 +57,14 @@ def ema_per_key(df: DataFrame, key: str, ts: str, tie: str, value: str, alpha: f
 def breaker_states(df: DataFrame, key: str, ts: str, tie: str, failed: Column,
                    max_failures: int = BREAKER_MAX_FAILURES,
                    reset_seconds: int = BREAKER_RESET_SECONDS,
-                   bucket_seconds: int = 86400) -> DataFrame:
+                   bucket_seconds: int = 86400, carry: DataFrame | None = None) -> DataFrame:
     """ST4: circuit-breaker state per event of each key.
 
     ``state_before`` is what a caller sees when it tries (OPEN turns HALF-OPEN
     once more than ``reset_seconds`` passed since the last failure);
     ``state_after`` follows the outcome: a success closes, a failure opens at
-    ``max_failures`` failures in a row.
+    ``max_failures`` failures in a row. ``carry`` (carry_key, carry_failures,
+    carry_ts; one row per key) is where each key stood before these events.
     """
     order = [F.col(ts), F.col(tie)]
     bucket = ordered.time_bucket(ts, bucket_seconds)
@@ -76,7 +77,13 @@ def breaker_states(df: DataFrame, key: str, ts: str, tie: str, failed: Column,
                                       "prev_" + ts: F.col(ts)},
                                      bucket, agg="max", inclusive=False)
     run_before = F.col("rn") - 1 - F.coalesce(F.col("last_success_rn"), F.lit(0))
-    secs = (_micros(ts) - _micros("prev_" + ts)) / F.lit(1_000_000)
+    prev_ts = F.col("prev_" + ts)
+    if carry is not None:
+        with_prev = with_prev.join(carry, F.col(key).eqNullSafe(F.col("carry_key")), "left")
+        run_before = run_before + F.when(F.col("last_success_rn").isNull(),
+                                         F.coalesce("carry_failures", F.lit(0))).otherwise(F.lit(0))
+        prev_ts = F.when(F.col("rn") == 1, F.col("carry_ts")).otherwise(prev_ts)
+    secs = (_micros(ts) - _micros(prev_ts)) / F.lit(1_000_000)
     out = with_prev.withColumn("failures_before", run_before.cast("long"))
     before = (F.when(F.col("failures_before") >= max_failures,
                      F.when(secs > reset_seconds, F.lit(HALF_OPEN)).otherwise(F.lit(OPEN)))

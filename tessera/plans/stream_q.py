@@ -51,8 +51,8 @@ def stream_ema(spark, sf_dir):
 
 def stream_breaker(spark, sf_dir):
     ev = _events(spark, sf_dir).withColumn("failed", F.col("event_type") == "error")
-    _, out = ops.run_to_parquet(ops.breaker_stream(ev, "user_id", "failed"), spark, "breaker")
-    return spark.read.parquet(out).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    out = ops.breaker_feed(spark, ev, "user_id", "failed")
+    return spark.read.parquet(out).drop("batch_id").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
 def stream_signals(spark, sf_dir):

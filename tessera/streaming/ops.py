@@ -11,10 +11,8 @@ a restarted driver or a lost executor resumes from the last committed batch.
 * ST2 / ST8 windowed counts: event-time windows with a watermark, append
   mode: a window is emitted once the watermark passes its end; late rows
   behind the watermark are dropped (ST9, documented per query).
-* ST3 EMA: ``foreachBatch`` with the chunked batch operator and a state table
-  per batch, so neither a hot key nor the Arrow batch size matters.
-* ST4 breaker: ``applyInPandasWithState`` per key; rows are sorted per Arrow
-  batch. State is one small record per key.
+* ST3 EMA, ST4 breaker: ``foreachBatch`` with the chunked batch operators and a
+  state table per batch, so neither a hot key nor the Arrow batch size matters.
 * ST5 signal routing: stream-static join with the (small) handler table.
 """
 
@@ -22,7 +20,6 @@ from __future__ import annotations
 
 import uuid
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -149,45 +146,46 @@ def ema_feed(spark: SparkSession, stream: DataFrame, key: str, value: str, alpha
 
 
 # ---------------------------------------------------------------- ST4
-def breaker_stream(stream: DataFrame, key: str, failed_col: str, ts: str = "ts", tie: str = "event_id",
-                   max_failures: int = 3, reset_seconds: int = 300) -> DataFrame:
-    """ST4: circuit breaker per key in state; one output row per event with
-    the state a caller saw before it and the state after it."""
-    out_schema = (f"{key} long, {tie} long, {ts} timestamp, failed boolean, state_before string, "
-                  "failures long, state_after string")
-    state_schema = "failures long, last_ts timestamp"
-
-    def fn(k, pdfs, state):
-        failures, last = (state.get if state.exists else (0, None))
-        outs = []
-        for pdf in pdfs:
-            pdf = pdf.sort_values([ts, tie], kind="mergesort").reset_index(drop=True)
-            f = pdf[failed_col].to_numpy(dtype=bool)
-            i = np.arange(len(f))
-            # consecutive failures up to each row: distance to the last success,
-            # plus the carried run when no success came yet in this batch
-            last_ok = np.maximum.accumulate(np.where(~f, i, -1))
-            run = np.where(last_ok >= 0, i - last_ok, i + 1 + failures)
-            after_n = np.where(f, run, 0)
-            before_n = np.concatenate([[failures], after_n[:-1]])
-            t = pdf[ts]
-            prev = t.shift(1)
-            if len(prev):
-                prev.iloc[0] = last if last is not None else pd.NaT
-            gap = (t - prev).dt.total_seconds().to_numpy()
-            opened = before_n >= max_failures
-            before = np.where(opened, np.where(gap > reset_seconds, "HALF-OPEN", "OPEN"), "CLOSED")
-            after = np.where(after_n >= max_failures, "OPEN", "CLOSED")
-            outs.append(pd.DataFrame({key: k[0], tie: pdf[tie], ts: t, "failed": f, "state_before": before,
-                                      "failures": after_n.astype("int64"), "state_after": after}))
-            if len(f):
-                failures, last = int(after_n[-1]), t.iloc[-1]
-        state.update((failures, last))
-        cols = [key, tie, ts, "failed", "state_before", "failures", "state_after"]
-        yield pd.concat(outs, ignore_index=True) if outs else pd.DataFrame(columns=cols)
-
-    return (stream.select(key, tie, ts, failed_col).groupBy(key)
-                  .applyInPandasWithState(fn, out_schema, state_schema, "append", GroupStateTimeout.NoTimeout))
+def breaker_feed(spark: SparkSession, stream: DataFrame, key: str, failed_col: str, ts: str = "ts",
+                 tie: str = "event_id", max_failures: int = 3, reset_seconds: int = 300,
+                 out: str | None = None, checkpoint: str | None = None) -> str:
+    """ST4: circuit breaker per key; one output row per event with the state a
+    caller saw before it and the state after it, under ``{out}/events``. Give both
+    folders to resume.
+
+    Every micro-batch runs the chunked batch operator on from the state table of
+    its predecessor, so neither a hot key nor the Arrow batch size matters. Events
+    count in (ts, tie) order inside a batch and in arrival order across batches.
+    Rows and states of a batch go to folders of their own with overwrite, so a
+    replay gives the same rows. A NULL key is a key.
+    """
+    from tessera.operators.state import breaker_states
+
+    out = out or scratch(spark, "breaker")
+    ck = checkpoint or scratch(spark, "breaker-ck")
+    rows = stream.select(key, ts, tie, F.col(failed_col).alias("failed"))
+
+    def process(batch: DataFrame, batch_id: int):
+        s = batch.sparkSession
+        old = None
+        before, here = f"{out}/state/batch_id={batch_id - 1}", f"{out}/events/batch_id={batch_id}"
+        if is_directory(s, before):
+            old = s.read.schema(batch.select(F.col(key).alias("carry_key"), F.lit(0).cast("long").alias("carry_failures"),
+                                             F.col(ts).alias("carry_ts")).schema).parquet(before)
+        done = breaker_states(batch, key, ts, tie, F.col("failed"), max_failures, reset_seconds, carry=old)
+        done.write.mode("overwrite").parquet(here)
+        last = s.read.schema(done.schema).parquet(here).groupBy(F.col(key).alias("carry_key")).agg(
+            F.max_by(F.struct("failures", ts), F.struct(ts, tie)).alias("x")).select(
+            "carry_key", F.col("x.failures").alias("carry_failures"), F.col("x")[ts].alias("carry_ts"))
+        if old is not None:
+            gone = last.select(F.col("carry_key").alias("_k"))
+            last = last.unionByName(old.join(gone, F.col("carry_key").eqNullSafe(F.col("_k")), "left_anti"))
+        last.write.mode("overwrite").parquet(f"{out}/state/batch_id={batch_id}")
+
+    q = (rows.writeStream.foreachBatch(process).option("checkpointLocation", ck)
+             .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return f"{out}/events"
 
 
 # ---------------------------------------------------------------- ST5

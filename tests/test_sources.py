@@ -129,8 +129,7 @@ def test_stream_breaker_and_ema_carry_state_across_batches(spark):
         spark.createDataFrame(chunk, schema).coalesce(1).write.mode("append").parquet(f"{base}/in")
         time.sleep(1.1)  # distinct modification times keep the files in order
     stream = ops.read_events_stream(spark, f"{base}/in", glob="*.parquet", max_files=1)
-    _, out = ops.run_to_parquet(ops.breaker_stream(stream.withColumn("failed", F.col("event_type") == "error"),
-                                                   "user_id", "failed"), spark, "mb-breaker")
+    out = ops.breaker_feed(spark, stream.withColumn("failed", F.col("event_type") == "error"), "user_id", "failed")
     got = {r.event_id: (r.state_before, r.failures, r.state_after) for r in spark.read.parquet(out).collect()}
     batch = spark.createDataFrame(rows, schema)
     want = {r.event_id: (r.state_before, r.failures, r.state_after)
@@ -167,6 +166,31 @@ def test_stream_ema_of_a_hot_key_resumes(spark):
         assert got[k][0] == n and abs(got[k][1] - x) < 1e-9
 
 
+def test_stream_breaker_of_a_hot_key_resumes(spark):
+    """One key above any Arrow batch, rows in no order, a NULL key, a key that pauses for a run."""
+    from tessera.operators import state
+    from tessera.streaming import ops
+
+    base = scratch_path(spark, "breaker-hot")
+    i = F.col("id")
+    ev = spark.range(24_000).select(
+        i.alias("event_id"), (F.timestamp_seconds(i * 90 + 1_700_000_000)).cast("timestamp_ntz").alias("ts"),
+        F.when(i % 6 > 1, F.lit(7)).when((i % 6 == 1) & ((i < 8_000) | (i >= 16_000)), F.lit(8)).cast("long").alias("user_id"),
+        F.when(F.hash("id") % 3 != 0, F.lit("error")).otherwise(F.lit("view")).alias("event_type"),
+        F.lit(1.0).alias("value"), F.lit("{}").alias("props"))
+    failed = F.col("event_type") == "error"
+    for k in range(3):
+        ev.filter(F.floor(F.col("event_id") / 8_000) == k).repartition(3, F.xxhash64("event_id")) \
+            .orderBy(F.hash("event_id")).write.mode("append").parquet(f"{base}/in")
+        stream = ops.read_events_stream(spark, f"{base}/in", glob="*.parquet").withColumn("failed", failed)
+        out = ops.breaker_feed(spark, stream, "user_id", "failed", out=f"{base}/out", checkpoint=f"{base}/ck")
+    cols = ["event_id", "user_id", "state_before", "failures", "state_after"]
+    got = sorted(spark.read.parquet(out).select(cols).collect(), key=lambda r: r.event_id)
+    want = sorted(state.breaker_states(ev, "user_id", "ts", "event_id", failed).select(cols).collect(),
+                  key=lambda r: r.event_id)
+    assert got == want and len(got) == 24_000 and {r.state_before for r in got} == {"CLOSED", "OPEN", "HALF-OPEN"}
+
+
 def test_stream_arrivals_and_coherency_across_batches(spark):
     from tessera.plans import state_q
     from tessera.streaming import ops
