@@ -5,7 +5,7 @@ chain uses the seed ('GENESIS') as previous hash.
 
 * Building (H1) is sequential inside a chain by definition. Chains are
   independent, so they run in parallel (hash-partitioned by chain, sorted
-  inside each partition, one ``mapInPandas`` pass with hashlib per row). For a chain too long for one task, ``block_col``
+  inside each partition, one ``mapInArrow`` pass with hashlib per row). For a chain too long for one task, ``block_col``
   cuts it into blocks (e.g. per day): each block is its own chain seeded with
   sha256(seed|chain|block), and ``block_digests`` chains the blocks' last
   hashes, so every entry is still covered by one final digest.
@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,26 +41,25 @@ def entries(events: DataFrame, chain: Column, ts: str, tie: str, payload: Column
 def _chain_fn(seed: str, sep: str, blocked: bool, out_cols: list[str]):
     """Per partition: rows arrive sorted by (chain[, block], ts, entry_id);
     the running hash is carried across Arrow batches and reset at every new
-    chain (block)."""
+    chain (block). Chains and payloads arrive as text (``_chain``, ``_payload``)."""
     def run(batches):
         cur, prev, seq = None, None, 0
-        for pdf in batches:
+        for batch in batches:
             hashes, seqs = [], []
-            keys = pdf["chain"].tolist()
-            blocks = pdf["block"].tolist() if blocked else [None] * len(pdf)
-            for k, b, p in zip(keys, blocks, pdf["payload"].tolist()):
+            keys, payloads = (batch.column(c).to_pylist() for c in ("_chain", "_payload"))
+            blocks = batch.column("block").to_pylist() if blocked else [None] * batch.num_rows
+            for k, b, p in zip(keys, blocks, payloads):
                 if (k, b) != cur:
                     cur, seq = (k, b), 0
-                    prev = (hashlib.sha256(f"{seed}{sep}{k}{sep}{b}".encode()).hexdigest()
+                    prev = (hashlib.sha256(f"{seed}{sep}{k or ''}{sep}{b or ''}".encode()).hexdigest()
                             if blocked else seed)
                 prev = hashlib.sha256(f"{prev}{sep}{p}".encode()).hexdigest()
                 seq += 1
                 hashes.append(prev)
                 seqs.append(seq)
-            res = pdf[[c for c in out_cols if c not in ("seq", "entry_hash")]].copy()
-            res["seq"] = seqs
-            res["entry_hash"] = hashes
-            yield res[out_cols]
+            cols = [batch.column(c) for c in out_cols[:-2]]
+            yield pa.RecordBatch.from_arrays(cols + [pa.array(seqs, pa.int64()), pa.array(hashes, pa.string())],
+                                             names=out_cols)
     return run
 
 
@@ -68,19 +68,20 @@ def build_chain(entries_df: DataFrame, seed: str = SEED, sep: str = SEP,
     """H1: ``(chain, entry_id, ts[, block], seq, entry_hash)``; ``seq`` is
     1-based in (ts, entry_id) order inside the chain (inside the block when
     blocked). Rows are hash-partitioned by chain (and block) and sorted inside
-    each partition, so one Python pass per partition hashes many chains."""
-    df = entries_df.select("chain", "entry_id", "ts", "payload")
-    chain_type = dict(df.dtypes)["chain"]
+    each partition, so one Python pass per partition hashes many chains.
+
+    A NULL chain is a chain of its own, a NULL payload counts as empty text, and
+    all columns keep their types."""
+    df = entries_df.select("chain", "entry_id", "ts", F.col("chain").cast("string").alias("_chain"),
+                           F.coalesce(F.col("payload").cast("string"), F.lit("")).alias("_payload"))
     blocked = block_col is not None
     keys = ["chain", "block"] if blocked else ["chain"]
     if blocked:
         df = df.withColumn("block", block_col.cast("string"))
     out_cols = ["chain", "entry_id", "ts"] + (["block"] if blocked else []) + ["seq", "entry_hash"]
-    schema = (f"chain {chain_type}, entry_id long, ts timestamp_ntz, "
-              + ("block string, " if blocked else "") + "seq long, entry_hash string")
-    parts = df.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    ordered_rows = df.repartition(int(parts), *keys).sortWithinPartitions(*keys, "ts", "entry_id")
-    return ordered_rows.mapInPandas(_chain_fn(seed, sep, blocked, out_cols), schema)
+    schema = df.select(*out_cols[:-2]).schema.add("seq", "long").add("entry_hash", "string")
+    ordered_rows = df.repartition(*keys).sortWithinPartitions(*keys, "ts", "entry_id")
+    return ordered_rows.mapInArrow(_chain_fn(seed, sep, blocked, out_cols), schema)
 
 
 def block_digests(chain_df: DataFrame, seed: str = SEED, sep: str = SEP) -> DataFrame:
@@ -104,7 +105,7 @@ def verify_chain(stored: DataFrame, seed: str = SEED, sep: str = SEP,
     prev = ordered.previous_values(stored, ["chain"], order, ["entry_hash"],
                                    ordered.time_bucket("ts", bucket_seconds))
     expected = F.sha2(F.concat(F.coalesce(F.col("prev_entry_hash"), F.lit(seed)), F.lit(sep),
-                               F.col("payload")), 256)
+                               F.coalesce(F.col("payload").cast("string"), F.lit(""))), 256)
     return prev.withColumn("ok", expected == F.col("entry_hash"))
 
 

@@ -19,10 +19,10 @@ from tessera.session import checkpoint_dir
 # The four failure modes in their declared order.
 FAILURE_MODES = ["DATA_BREAKDOWN", "VALIDATION_BREACH", "COMPUTE_HALT", "SECURITY_FAILURE"]
 MODE_DESCRIPTIONS = {
-    "DATA_BREAKDOWN": "Corrupt / Missing Data",
-    "VALIDATION_BREACH": "Temporal Rule Violated",
-    "COMPUTE_HALT": "GPU Overflow / Fault",
-    "SECURITY_FAILURE": "Audit Policy Triggered",
+    "DATA_BREAKDOWN": "a required input is absent or incomplete",
+    "VALIDATION_BREACH": "rows hold values outside their period of validity",
+    "COMPUTE_HALT": "a job ended early or gave values that are not finite",
+    "SECURITY_FAILURE": "the audit trail does not verify",
 }
 
 CHECK_SCHEMA = "mode string, check string, ok boolean, message string"
@@ -132,18 +132,15 @@ def completeness_checks(df: DataFrame, table_name: str, columns: list[str],
     share is at most ``max_null_share``; one aggregate for all columns."""
     aggs = [F.count(F.lit(1)).alias("_rows")] + [F.count_if(F.col(c).isNull()).alias(c) for c in columns]
     row = df.agg(*aggs)
-    parts = [row.select(F.lit(f"{table_name}:rows").alias("check"), (F.col("_rows") > 0).alias("ok"),
-                        F.concat(F.lit(f"{table_name} rows: "), F.col("_rows").cast("string")).alias("message"))]
+    found = [F.struct(F.lit(f"{table_name}:rows").alias("check"), (F.col("_rows") > 0).alias("ok"),
+                      F.concat(F.lit(f"{table_name} rows: "), F.col("_rows").cast("string")).alias("message"))]
     for c in columns:
         share = F.try_divide(F.col(c).cast("double"), F.col("_rows").cast("double"))
-        parts.append(row.select(
+        found.append(F.struct(
             F.lit(f"{table_name}.{c}:nulls").alias("check"),
             (F.coalesce(share, F.lit(0.0)) <= max_null_share).alias("ok"),
             F.concat(F.lit(f"{table_name}.{c} nulls: "), F.col(c).cast("string")).alias("message")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return row.select(F.inline(F.array(*found)))
 
 
 def null_zero_profile(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -79,6 +79,24 @@ def test_hash_chain_fixture_and_tamper(spark):
     assert ok.breaks == 0 and ok.first_break_id is None
 
 
+def test_hash_chain_null_chain_and_payload(spark):
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(k, i, t0 + dt.timedelta(seconds=i), p) for i, (k, p) in enumerate(
+        [(None, "a"), (7, "b"), (None, None), (7, "c"), (None, "d")])]
+    schema = "chain long, entry_id int, ts timestamp, payload string"
+    got = {r.entry_id: (r.seq, r.entry_hash) for r in audit.build_chain(spark.createDataFrame(rows, schema)).collect()}
+    assert [got[i][0] for i in range(5)] == [1, 1, 2, 2, 3]
+    named = audit.build_chain(spark.createDataFrame([(k or 1, i, t, p or "") for k, i, t, p in rows], schema))
+    assert got == {r.entry_id: (r.seq, r.entry_hash) for r in named.collect()}  # as any other chain, payload as empty text
+    blocked = lambda x: {r.entry_id: r.entry_hash for r in audit.build_chain(
+        spark.createDataFrame(x, schema), block_col=F.lit("d")).collect()}
+    alone = blocked([r for r in rows if r[0] == 7])
+    assert {i: h for i, h in blocked(rows).items() if i in alone} == alone
+    stored = audit.build_chain(spark.createDataFrame(rows, schema)).join(
+        spark.createDataFrame(rows, schema).select("entry_id", "payload"), "entry_id")
+    assert all(r.breaks == 0 for r in audit.first_breaks(audit.verify_chain(stored)).collect())
+
+
 def test_arrivals_twice_adds_nothing(spark):
     processed = spark.createDataFrame([(1,), (2,)], "k long")
     batch = spark.createDataFrame([(2,), (3,), (3,)], "k long")
@@ -227,7 +245,7 @@ def test_termination_record(spark):
                                                                            "ok boolean, message string"))
     rec = quality.termination_record(quality.gate_summary(reg.check_table(spark)), "run-1", "2024-01-01 00:00:00").first()
     assert rec.status == "TERMINATED" and rec.failure_mode == "VALIDATION_BREACH"
-    assert rec.description == "Temporal Rule Violated" and rec.reason == "Temporal violations: 3"
+    assert rec.description == quality.MODE_DESCRIPTIONS["VALIDATION_BREACH"] and rec.reason == "Temporal violations: 3"
     assert rec.machine_generated is True and rec.operator_editable is False
     ok = quality.CheckRegistry()
     ok.register("DATA_BREAKDOWN", "fine", lambda: spark.createDataFrame([(True, "ok")], "ok boolean, message string"))
