@@ -86,20 +86,26 @@ def reconcile(master: DataFrame, contributors: DataFrame, key: str, compare_cols
 
     ``contributors`` holds all contributors stacked with a ``source`` column.
     Status: IN_SYNC (same row hash), STALE (differs), MISSING (master only),
-    EXTRA (contributor only). The master side is repeated once per source
-    (the source list is catalog-sized and checked), then one full outer join
-    on (source, key).
+    EXTRA (contributor only). Contributor rows join the master once by key;
+    the master is never repeated per source, only its MISSING rows are.
     """
     names = _bounded_names(contributors, source)
-    m = master.select(key, row_hash(master, compare_cols).alias("m_hash")).withColumn(
-        source, F.explode(F.array(*[F.lit(n) for n in names])))
+    m = master.select(key, row_hash(master, compare_cols).alias("m_hash"))
     c = contributors.select(source, key, row_hash(contributors, compare_cols).alias("c_hash"))
-    j = m.join(c, [source, key], "full_outer")
-    status = (F.when(F.col("c_hash").isNull(), F.lit(MISSING))
-               .when(F.col("m_hash").isNull(), F.lit(EXTRA))
+    status = (F.when(F.col("m_hash").isNull(), F.lit(EXTRA))
                .when(F.col("m_hash") == F.col("c_hash"), F.lit(IN_SYNC))
                .otherwise(F.lit(STALE)))
-    return j.select(source, key, status.alias("status"))
+    found = c.join(m, key, "left").select(source, key, status.alias("status"))
+    return found.unionByName(missing_rows(master, contributors, key, names, source))
+
+
+def missing_rows(master: DataFrame, seen: DataFrame, key: str, names: list, source: str = "source") -> DataFrame:
+    """One MISSING row per master row and source of ``names`` that ``seen`` (source, key) lacks."""
+    want = F.array(*[F.lit(n) for n in names]).cast(f"array<{seen.schema[source].dataType.simpleString()}>")
+    have = seen.groupBy(F.col(key).alias("_seen_key")).agg(F.collect_set(source).alias("_have"))  # at most the sources
+    absent = F.when(F.col("_have").isNull(), want).otherwise(F.array_except(want, "_have"))
+    return master.select(key).join(have, F.col(key) == F.col("_seen_key"), "left").select(
+        F.explode(absent).alias(source), key, F.lit(MISSING).alias("status"))
 
 
 def merge_master_wins(master: DataFrame, contributors: DataFrame, key: str,
@@ -111,8 +117,7 @@ def merge_master_wins(master: DataFrame, contributors: DataFrame, key: str,
     writable = catalog.filter(~F.col(read_only)).select(source)
     names = _bounded_names(writable, source)
     m = master.withColumn(source, F.explode(F.array(*[F.lit(n) for n in names])))
-    extra = (contributors.join(F.broadcast(writable), source, "left_semi")
-                         .join(master.select(key), key, "left_anti"))
+    extra = contributors.filter(F.col(source).isin(names)).join(master.select(key), key, "left_anti")
     return m.unionByName(extra.select(*m.columns))
 
 
@@ -149,23 +154,24 @@ def route_requests(requests: DataFrame, cached: DataFrame, sources: DataFrame,
     predicted source for the data id, the connected master, else ''.
 
     ``cached``: (data_id) with a valid copy. ``sources``: (name, connected,
-    is_master), catalog-sized. ``predictions``: (data_id, source, rank).
+    is_master), catalog-sized. ``predictions``: (data_id, source, rank). A NULL
+    data id is a data id like any other.
     """
-    _bounded_names(sources, "name")  # catalog-sized: checked before it is broadcast
     conn = sources.filter(F.col("connected"))
+    up = _bounded_names(conn, "name")  # catalog-sized: checked before it becomes literals
     masters = _bounded_names(conn.filter(F.col("is_master")), "name", 64)
-    best = (predictions.join(F.broadcast(conn.select(F.col("name").alias("source"))), "source", "left_semi")
-                       .groupBy(data_id).agg(F.min_by("source", F.struct("rank", "source")).alias("_pred")))
-    r = (requests.join(cached.select(data_id).distinct().withColumn("_cached", F.lit(True)), data_id, "left")
-                 .join(F.broadcast(conn.select(F.col("name").alias(preferred), F.lit(True).alias("_pref_ok"))),
-                       preferred, "left")
-                 .join(best, data_id, "left"))
+    best = (predictions.filter(F.col("source").isin(up)).groupBy(F.col(data_id).alias("_best_id"))
+                       .agg(F.min_by("source", F.struct("rank", "source")).alias("_pred")))
+    copies = cached.select(F.col(data_id).alias("_copy_id")).distinct().withColumn("_cached", F.lit(True))
+    r = (requests.withColumn("_pref_ok", F.col(preferred).isin(up))
+                 .join(copies, F.col(data_id).eqNullSafe(F.col("_copy_id")), "left")
+                 .join(best, F.col(data_id).eqNullSafe(F.col("_best_id")), "left"))
     master = F.lit(masters[0]) if masters else F.lit(None).cast("string")
     route = (F.when(F.col("_cached"), F.lit("cache"))
               .when(F.col("_pref_ok"), F.col(preferred))
               .when(F.col("_pred").isNotNull(), F.col("_pred"))
               .otherwise(F.coalesce(master, F.lit(""))))
-    return r.withColumn("route", route).drop("_cached", "_pref_ok", "_pred")
+    return r.withColumn("route", route).drop("_cached", "_pref_ok", "_pred", "_copy_id", "_best_id")
 
 
 # ---------------------------------------------------------------- J15
@@ -178,7 +184,7 @@ def signal_fanout(signals: DataFrame, handlers: DataFrame, target: str = "target
     t = F.col(target)
     dest = F.when(t == "*", F.array(*[F.lit(n) for n in names])).otherwise(F.array(t))
     fan = signals.withColumn(component, F.explode(dest))
-    return fan.join(F.broadcast(handlers), component)
+    return fan.join(handlers, component)  # a name may hold many handlers: their size decides the join
 
 
 # ---------------------------------------------------------------- J4

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessera.operators import catalog
 from tessera.streaming import ops
 from tessera.plans.common import sig, sql_sig
 
@@ -26,20 +27,20 @@ def stream_arrivals(spark, sf_dir):
     return spark.read.parquet(path).select("key", F.col("first_ts").cast("timestamp_ntz").alias("first_ts"))
 
 
+def _windows(spark, sf_dir, **how):
+    """All windows of the events, open ones too."""
+    out = ops.window_feed(spark, ops.window_counts(_events(spark, sf_dir), "event_type", **how))
+    return ops.newest_windows(spark, out, "event_type").withColumn(
+        "window_start", F.col("window_start").cast("timestamp_ntz")).drop("window_end")
+
+
 def stream_window_counts(spark, sf_dir):
-    ev = _events(spark, sf_dir)
-    _, out = ops.run_to_parquet(ops.window_counts(ev, "event_type", size="1 hour", watermark="1 hour"),
-                                spark, "window-counts")
-    return spark.read.parquet(out).select(F.col("window_start").cast("timestamp_ntz").alias("window_start"),
-                                          "event_type", "n")
+    return _windows(spark, sf_dir, size="1 hour", watermark="1 hour")
 
 
 def stream_snapshots(spark, sf_dir):
-    ev = _events(spark, sf_dir)
-    _, out = ops.run_to_parquet(ops.window_counts(ev, "event_type", size="5 seconds", watermark="1 minute",
-                                                  value="value"), spark, "snapshots")
-    return spark.read.parquet(out).select(F.col("window_start").cast("timestamp_ntz").alias("window_start"),
-                                          "event_type", "n", sig("total").alias("total"))
+    return _windows(spark, sf_dir, size="5 seconds", watermark="1 minute", value="value").withColumn(
+        "total", sig("total"))
 
 
 def stream_ema(spark, sf_dir):
@@ -67,11 +68,7 @@ def stream_signals(spark, sf_dir):
 
 
 def stream_sliding_counts(spark, sf_dir):
-    ev = _events(spark, sf_dir)
-    _, out = ops.run_to_parquet(ops.window_counts(ev, "event_type", size="1 day", slide="1 hour",
-                                                  watermark="1 hour"), spark, "sliding")
-    return spark.read.parquet(out).select(F.col("window_start").cast("timestamp_ntz").alias("window_start"),
-                                          "event_type", "n")
+    return _windows(spark, sf_dir, size="1 day", slide="1 hour", watermark="1 hour")
 
 
 def stream_coherency(spark, sf_dir):
@@ -114,7 +111,8 @@ def stream_reconcile(spark, sf_dir):
     master = spark.read.parquet(path)
     cmp_cols = ["p_name", "p_brand", "p_type", "p_size", "p_retailprice"]
     out = ops.reconcile_feed(spark, changes, master, "p_partkey", cmp_cols)
-    return spark.read.parquet(out).select("source", "p_partkey", "status")
+    found = spark.read.parquet(out).select("source", "p_partkey", "status")
+    return found.unionByName(catalog.missing_rows(master, found, "p_partkey", ["repo_1", "repo_2", "repo_3"]))
 
 
 QUERIES = {
@@ -126,25 +124,19 @@ QUERIES = {
 }
 
 
-def _closed(size_us, wm_us):
-    return f"window_start + INTERVAL {size_us} MICROSECONDS <= (SELECT max(ts) FROM events) - INTERVAL {wm_us} MICROSECONDS"
-
-
 ORACLE = {
     "stream_reconcile": __import__("tessera.plans.catalog_q", fromlist=["_RECON"])._RECON
-        + "SELECT * FROM r WHERE status <> 'MISSING'",
+        + "SELECT * FROM r",
     "stream_sliding_counts": """WITH h AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS hs, event_type FROM events),
         w AS (SELECT hs - INTERVAL (k) HOUR AS window_start, event_type FROM h, range(0, 24) r(k))
-        SELECT window_start, event_type, count(*) AS n FROM w
-        WHERE window_start + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR
-        GROUP BY ALL""",
+        SELECT window_start, event_type, count(*) AS n FROM w GROUP BY ALL""",
     "stream_coherency": __import__("tessera.plans.state_q", fromlist=["ORACLE"]).ORACLE["coherency_fold"],
     "stream_arrivals": """SELECT json_extract_string(props, '$.k') AS key, min(ts) AS first_ts FROM events GROUP BY 1""",
-    "stream_window_counts": f"""SELECT * FROM (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type,
-        count(*) AS n FROM events GROUP BY ALL) WHERE {_closed(3600 * 10**6, 3600 * 10**6)}""",
+    "stream_window_counts": """SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n
+        FROM events GROUP BY ALL""",
     "stream_snapshots": f"""SELECT window_start, event_type, n, {sql_sig('total')} AS total FROM (
         SELECT time_bucket(INTERVAL 5 SECOND, ts) AS window_start, event_type, count(*) AS n, sum(value) AS total
-        FROM events GROUP BY ALL) WHERE {_closed(5 * 10**6, 60 * 10**6)}""",
+        FROM events GROUP BY ALL)""",
     "stream_ema": __import__("tessera.plans.state_q", fromlist=["ORACLE"]).ORACLE["latency_ema"],
     "stream_breaker": __import__("tessera.plans.state_q", fromlist=["ORACLE"]).ORACLE["breaker_states"],
     "stream_signals": __import__("tessera.plans.catalog_q", fromlist=["ORACLE"]).ORACLE["signal_fanout"],

@@ -8,9 +8,9 @@ a restarted driver or a lost executor resumes from the last committed batch.
   the keys committed by *earlier* batches and writes its new keys to its own
   ``batch_id=`` folder with overwrite, so a replayed batch rewrites the same
   result (exactly-once output).
-* ST2 / ST8 windowed counts: event-time windows with a watermark, append
-  mode: a window is emitted once the watermark passes its end; late rows
-  behind the watermark are dropped (ST9, documented per query).
+* ST2 / ST8 windowed counts: event-time windows with a watermark, update
+  mode: every batch writes the windows it changed; late rows behind the
+  watermark are dropped (ST9, documented per query).
 * ST3 EMA, ST4 breaker: ``foreachBatch`` with the chunked batch operators and a
   state table per batch, so neither a hot key nor the Arrow batch size matters.
 * ST5 signal routing: stream-static join with the (small) handler table.
@@ -93,7 +93,8 @@ def arrivals(spark: SparkSession, stream: DataFrame, key: str, ts: str = "ts",
 def window_counts(stream: DataFrame, key: str, ts: str = "ts", size: str = "1 hour",
                   slide: str | None = None, watermark: str = "1 hour", value: str | None = None) -> DataFrame:
     """ST2 / ST8: accesses per key and event-time window (tumbling, or
-    sliding with ``slide``); emitted once the watermark passes the window."""
+    sliding with ``slide``). In append mode a window is emitted once the
+    watermark passes it; ``window_feed`` gives all windows at any time."""
     win = F.window(ts, size, slide) if slide else F.window(ts, size)
     aggs = [F.count(F.lit(1)).alias("n")]
     if value:
@@ -103,6 +104,31 @@ def window_counts(stream: DataFrame, key: str, ts: str = "ts", size: str = "1 ho
                       a for a in ["n"] + (["total"] if value else [])]))
 
 
+def window_feed(spark: SparkSession, windows: DataFrame, out: str | None = None, checkpoint: str | None = None) -> str:
+    """ST2 / ST8: run ``window_counts`` in update mode; give both folders to resume.
+
+    Every micro-batch writes the windows it changed, with all they hold so far, to
+    its own ``batch_id=`` folder with overwrite, so no window waits for the
+    watermark. ``newest_windows`` reads the state of all windows."""
+    out = out or scratch(spark, "windows")
+    ck = checkpoint or scratch(spark, "windows-ck")
+
+    def process(batch: DataFrame, batch_id: int):
+        batch.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+
+    q = (windows.writeStream.outputMode("update").foreachBatch(process).option("checkpointLocation", ck)
+                .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return out
+
+
+def newest_windows(spark: SparkSession, path: str, key: str) -> DataFrame:
+    """The last written row of every window of ``window_feed``."""
+    rows, of = spark.read.parquet(path), ["window_start", "window_end", key]
+    values = [c for c in rows.columns if c not in (*of, "batch_id")]
+    return rows.groupBy(*of).agg(F.max_by(F.struct(*values), "batch_id").alias("x")).select(*of, "x.*")
+
+
 # ---------------------------------------------------------------- ST3
 def ema_feed(spark: SparkSession, stream: DataFrame, key: str, value: str, alpha: float = 0.1, ts: str = "ts",
              tie: str = "event_id", out: str | None = None, checkpoint: str | None = None) -> str:
@@ -270,9 +296,10 @@ def reconcile_feed(spark: SparkSession, changes: DataFrame, master: DataFrame, k
 
     ``changes`` is a stream of contributor rows (with ``source``); each batch
     is joined with the static master and its statuses (IN_SYNC / STALE /
-    EXTRA; a change feed cannot see MISSING keys) are written to the batch's
-    own ``batch_id=`` folder with overwrite, so a replayed batch rewrites the
-    same result. ``every`` = processing-time trigger ('60 seconds' in the
+    EXTRA) are written to the batch's own ``batch_id=`` folder with overwrite,
+    so a replayed batch rewrites the same result. MISSING keys are what no batch
+    held: ``catalog.missing_rows`` of the master and the output folder.
+    ``every`` = processing-time trigger ('60 seconds' in the
     original); None runs what is available and stops (tests).
     Returns the output folder.
     """
