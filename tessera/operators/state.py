@@ -107,29 +107,65 @@ def coherency_state(events: DataFrame, block: str, source: str, ts: str, tie: st
     A copy exists once it had a non-read event at its source. Events without
     a block or source belong to no state machine and are ignored.
     """
+    facts = copy_facts(events, block, source, ts, tie, action)
+    n = updates_after(update_events(events, block, source, ts, tie, action), facts, block, source)
+    return copy_states(facts.join(n, [block, source], "left").withColumnRenamed("_n", "updates"), block, source)
+
+
+# last events of a copy; each is the largest of its parts' values, whatever the parts
+COPY_FACTS = ("last_own", "last_register", "last_read", "last_wu", "last_update")
+UPDATE_SALTS = 16
+
+
+def copy_facts(events: DataFrame, block: str, source: str, ts: str, tie: str, action: str = "action") -> DataFrame:
+    """The last relevant events of every copy, as (t, i) of ts and tie."""
     events = events.filter(F.col(block).isNotNull() & F.col(source).isNotNull())  # no block: no machine
     seq = F.struct(F.col(ts).alias("t"), F.col(tie).alias("i"))
     a = F.col(action)
-    per_copy = events.groupBy(block, source).agg(
+    return events.groupBy(block, source).agg(
         F.max_by(F.when(a != "read", a), F.when(a != "read", seq)).alias("last_action"),
         F.max(F.when(a != "read", seq)).alias("last_own"),
         F.max(F.when(a == "register", seq)).alias("last_register"),
         F.max(F.when(a == "read", seq)).alias("last_read"),
-        F.max(F.when(a.isin("write", "update"), seq)).alias("last_wu"))
+        F.max(F.when(a.isin("write", "update"), seq)).alias("last_wu"),
+        F.max(F.when(a == "update", seq)).alias("last_update"))
+
+
+def merge_facts(facts: DataFrame, block: str, source: str) -> DataFrame:
+    """``copy_facts`` of all events from those of their parts (several rows per copy)."""
+    return facts.groupBy(block, source).agg(F.max_by("last_action", "last_own").alias("last_action"),
+                                            *[F.max(c).alias(c) for c in COPY_FACTS])
+
+
+def update_events(events: DataFrame, block: str, source: str, ts: str, tie: str,
+                  action: str = "action") -> DataFrame:
+    """(block, source, _s) of every update."""
+    return (events.filter((F.col(action) == "update") & F.col(block).isNotNull() & F.col(source).isNotNull())
+                  .select(block, source, F.struct(F.col(ts).alias("t"), F.col(tie).alias("i")).alias("_s")))
+
+
+def updates_after(updates: DataFrame, facts: DataFrame, block: str, source: str) -> DataFrame:
+    """``_n`` = updates of a copy after its last register (copies without one
+    have no row). The rows of a copy are spread over ``UPDATE_SALTS`` tasks."""
+    salted = updates.withColumn("_p", F.pmod(F.xxhash64("_s"), F.lit(UPDATE_SALTS)))
+    last = facts.select(block, source, "last_register", F.explode(
+        F.sequence(F.lit(0).cast("long"), F.lit(UPDATE_SALTS - 1).cast("long"))).alias("_p"))
+    return (salted.join(last, [block, source, "_p"])
+                  .filter(F.col("last_register").isNull() | (F.col("_s") > F.col("last_register")))
+                  .groupBy(block, source).agg(F.count(F.lit(1)).alias("_n")))
+
+
+def copy_states(facts: DataFrame, block: str, source: str) -> DataFrame:
+    """State, version and time of every copy from its last events and ``updates``."""
     # latest write/update at any *other* source of the block: best and
     # second-best source per block over the (small) per-copy table
     w = Window.partitionBy(block).orderBy(F.col("last_wu").desc_nulls_last(), F.col(source))
-    ranked = per_copy.withColumn("_r", F.row_number().over(w))
+    ranked = facts.withColumn("_r", F.row_number().over(w))
     top = ranked.groupBy(block).agg(
         F.max(F.when(F.col("_r") == 1, F.struct(F.col("last_wu").alias("s"), F.col(source).alias("src")))).alias("_w1"),
         F.max(F.when(F.col("_r") == 2, F.col("last_wu"))).alias("_w2"))
-    c = per_copy.join(top, block)
+    c = facts.join(top, block)
     other = F.when(F.col("_w1.src") == F.col(source), F.col("_w2")).otherwise(F.col("_w1.s"))
-    updates = (events.filter(a == "update").select(block, source, seq.alias("_s"))
-                     .join(per_copy.select(block, source, "last_register"), [block, source])
-                     .filter(F.col("last_register").isNull() | (F.col("_s") > F.col("last_register")))
-                     .groupBy(block, source).agg(F.count(F.lit(1)).alias("_updates")))
-    c = c.join(updates, [block, source], "left")
     state = (F.when(other.isNotNull() & (other > F.col("last_own")), F.lit(INVALID))
               .when(F.col("last_action").isin("write", "update"), F.lit(MODIFIED))
               .when(F.col("last_action") == "sync", F.lit(SHARED))
@@ -137,7 +173,7 @@ def coherency_state(events: DataFrame, block: str, source: str, ts: str, tie: st
               .otherwise(F.lit(EXCLUSIVE)))
     return (c.filter(F.col("last_own").isNotNull())
              .select(block, source, state.alias("state"),
-                     (F.lit(1) + F.coalesce(F.col("_updates"), F.lit(0))).cast("long").alias("version"),
+                     (F.lit(1) + F.coalesce(F.col("updates"), F.lit(0))).cast("long").alias("version"),
                      F.col("last_own.t").alias("last_ts")))
 
 

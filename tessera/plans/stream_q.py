@@ -79,13 +79,8 @@ def stream_coherency(spark, sf_dir):
     src = ev.select(F.get_json_object("props", "$.k").alias("block"),
                     F.concat(F.lit("site_"), (F.col("user_id") % 3).cast("string")).alias("source"),
                     "ts", "event_id", action.alias("action"))
-    _, out = ops.run_to_parquet(ops.coherency_stream(src), spark, "coherency")
-    res = spark.read.parquet(out)
-    # newest emitted row per copy = its current state
-    latest = res.groupBy("block", "source").agg(
-        F.max_by(F.struct("state", "version", "last_ts"), "events_seen").alias("s"))
-    return latest.select("block", "source", "s.state", "s.version",
-                         F.col("s.last_ts").cast("timestamp_ntz").alias("last_ts"))
+    res = ops.newest_copies(spark, ops.coherency_feed(spark, src))
+    return res.withColumn("last_ts", F.col("last_ts").cast("timestamp_ntz"))
 
 
 PART_SCHEMA = "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double"

@@ -13,6 +13,8 @@ a restarted driver or a lost executor resumes from the last committed batch.
   watermark are dropped (ST9, documented per query).
 * ST3 EMA, ST4 breaker: ``foreachBatch`` with the chunked batch operators and a
   state table per batch, so neither a hot key nor the Arrow batch size matters.
+* ST6 replica states: ``foreachBatch`` with the last events of every copy, merged
+  with those of the batches before.
 * ST5 signal routing: stream-static join with the (small) handler table.
 """
 
@@ -235,10 +237,74 @@ def periodic(stream: DataFrame, fn, spark: SparkSession, name: str, every: str =
 
 
 # ---------------------------------------------------------------- ST6
+def coherency_feed(spark: SparkSession, stream: DataFrame, block: str = "block", source: str = "source",
+                   action: str = "action", ts: str = "ts", tie: str = "event_id",
+                   out: str | None = None, checkpoint: str | None = None) -> str:
+    """ST6: replica state per copy after every micro-batch, by the rules of the
+    batch ``state.coherency_state``; give both folders to resume.
+
+    Events count in (ts, tie) order over all batches, so the states equal the
+    batch fold however the rows are dealt to files and batches. Every batch writes
+    the last events of all copies to its own ``facts/batch_id=`` folder and its
+    updates to ``updates/batch_id=``, with overwrite, and reads those of earlier
+    batches only, so a replay gives the same rows. Earlier updates are read again
+    only for copies whose register came later than updates that follow it.
+    ``newest_copies`` reads the states.
+    """
+    from tessera.operators import state
+
+    checkpoint_dir(spark)
+    out = out or scratch(spark, "coherency")
+    ck = checkpoint or scratch(spark, "coherency-ck")
+    rows = stream.select(block, source, action, ts, tie)
+    of = [block, source]
+
+    def process(batch: DataFrame, batch_id: int):
+        s = batch.sparkSession
+        log, before, here = f"{out}/updates", f"{out}/facts/batch_id={batch_id - 1}", f"{out}/facts/batch_id={batch_id}"
+        updates = state.update_events(batch, block, source, ts, tie, action)
+        updates.write.mode("overwrite").parquet(f"{log}/batch_id={batch_id}")
+        count = s.read.schema(updates.schema).parquet(f"{log}/batch_id={batch_id}")
+        facts = state.copy_facts(batch, block, source, ts, tie, action)
+        kept = facts.select(*of, F.lit(0).cast("long").alias("_kept"))
+        if is_directory(s, before):
+            old = s.read.schema(facts.schema.add("updates", "long")).parquet(before)
+            facts = state.merge_facts(facts.unionByName(old.drop("updates")), block, source).checkpoint()
+            both = facts.join(old.select(*of, "updates", F.col("last_register").alias("_r"),
+                                         F.col("last_update").alias("_u")), of)
+            same = F.col("_r").eqNullSafe(F.col("last_register"))
+            kept = both.select(*of, F.when(same, F.col("updates")).otherwise(F.lit(0)).alias("_kept"))
+            late = both.filter(~same & (F.col("_u") > F.col("last_register"))).select(*of)
+            if not late.isEmpty():
+                earlier = s.read.schema(updates.schema.add("batch_id", "long")).parquet(log).filter(
+                    F.col("batch_id") < batch_id).drop("batch_id")
+                count = count.unionByName(earlier.join(late, of, "left_semi"))
+        n = state.updates_after(count, facts, block, source)
+        new = facts.join(n, of, "left").join(kept, of, "left").withColumn(
+            "updates", F.coalesce("_n", F.lit(0)) + F.coalesce("_kept", F.lit(0))).drop("_n", "_kept")
+        new.write.mode("overwrite").parquet(here)
+
+    q = (rows.writeStream.foreachBatch(process).option("checkpointLocation", ck)
+             .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return f"{out}/facts"
+
+
+def newest_copies(spark: SparkSession, path: str, block: str = "block", source: str = "source") -> DataFrame:
+    """State, version and time of every copy after the last batch of ``coherency_feed``."""
+    from tessera.operators import state
+
+    facts = spark.read.parquet(path)
+    last = facts.agg(F.max("batch_id")).scalar()
+    return state.copy_states(facts.filter(F.col("batch_id") == last).drop("batch_id"), block, source)
+
+
 def coherency_stream(stream: DataFrame, block: str = "block", source: str = "source",
                      action: str = "action", ts: str = "ts", tie: str = "event_id") -> DataFrame:
     """ST6: replica state machine per logical block kept in state (one small
-    JSON record per block: source -> [state, version, last_ts]).
+    JSON record per block: source -> [state, version, last_ts]). Right only while a
+    block's rows of a micro-batch fit one Arrow batch or arrive in order: the query
+    uses ``coherency_feed``, which has no such limit.
 
     Same rules as the batch ``state.coherency_state``: register -> EXCLUSIVE
     v1; read turns EXCLUSIVE into SHARED (misses change nothing); write ->

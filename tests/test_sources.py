@@ -225,3 +225,34 @@ def test_stream_arrivals_and_coherency_across_batches(spark):
     want_c = {(r.block, r.source): (r.state, r.version)
               for r in state_q.coherency_fold(spark, "/root/testdata/sf0.001").collect()}
     assert cur == want_c
+
+
+def test_stream_coherency_any_order_and_batch_size(spark):
+    """One block with 24,000 rows in no order: one batch, then batches out of order."""
+    from tessera.operators import state
+    from tessera.plans import state_q, stream_q
+    from tessera.streaming import ops
+
+    base = scratch_path(spark, "coh-big")
+    i = F.col("id")
+    kind = F.element_at(F.array(*[F.lit(k) for k in ("view", "click", "purchase", "error")]), (i % 4 + 1).cast("int"))
+    ev = spark.range(24_000).select(
+        i.alias("event_id"), (F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(secs=i)).cast("timestamp_ntz").alias("ts"),
+        F.floor(i / 7).alias("user_id"),
+        F.when(i.isin(3_000, 9_001, 15_002), "signup").otherwise(kind).alias("event_type"), F.lit(1.0).alias("value"),
+        F.lit('{"k": "hot"}').alias("props"))
+    ev.orderBy(F.hash(i)).coalesce(1).write.parquet(f"{base}/events.parquet")
+    want = sorted(map(tuple, state_q.coherency_fold(spark, base).collect()))
+    assert sorted(map(tuple, stream_q.stream_coherency(spark, base).collect())) == want and len(want) == 3
+
+    # the last third comes first, the registers after the updates that follow them
+    src = state_q._coherency_events(spark, base)
+    for lo in (16_000, 8_000, 0):
+        part = src.filter(F.col("event_id").between(lo, lo + 7_999)).withColumn("ts", F.col("ts").cast("timestamp"))
+        part.coalesce(1).write.mode("append").parquet(f"{base}/in")
+        stream = spark.readStream.schema(part.schema).parquet(f"{base}/in")
+        path = ops.coherency_feed(spark, stream, out=f"{base}/out", checkpoint=f"{base}/ck")
+    got = ops.newest_copies(spark, path).withColumn("last_ts", F.col("last_ts").cast("timestamp_ntz"))
+    assert sorted(map(tuple, got.collect())) == want
+    assert spark.read.parquet(path).select("batch_id").distinct().count() == 3
+    assert want == sorted(map(tuple, state.coherency_state(src, "block", "source", "ts", "event_id").collect()))
