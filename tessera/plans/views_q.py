@@ -169,7 +169,18 @@ def wide_correlation(spark, sf_dir):
     return corr.select("f1", "f2", "n", sig("r", 9).alias("r"))
 
 
+def wide_correlation_all(spark, sf_dir):
+    """Pairwise correlation of all view columns, within and across years. r is
+    rounded to 9 decimals: pairs with few titles have r of exactly 0."""
+    from tessera.operators import profile
+
+    w, feats = _wide_features(spark, sf_dir)
+    corr = profile.correlation_long(w, sorted(feats))
+    return corr.select("f1", "f2", "n", (F.round("r", 9) + F.lit(0.0)).alias("r"))
+
+
 QUERIES = {
+    "wide_correlation_all": wide_correlation_all,
     "wide_variance_topk": wide_variance_topk,
     "wide_correlation": wide_correlation,
     "views_long": views_long, "views_wide": views_wide, "views_parse": views_parse,
@@ -232,7 +243,22 @@ def _wide_corr_sql():
     return cte + f"SELECT f1, f2, n, {sql_sig('r', 9)} AS r FROM ({arms}) c"
 
 
+def _wide_corr_all_sql():
+    names = ", ".join(f"('{views.view_column_name(q, y, r)}')" for y in YEARS for q in QUARTERS for r in REGIONS)
+    # quantities are whole numbers: the sums, and so the test for constant columns, are exact
+    return _LINES + f""", names AS (SELECT * FROM (VALUES {names}) v(c)),
+        cells AS (SELECT title, 'views_' || period || '_' || right(CAST(year AS VARCHAR), 2) || '_' || region AS c,
+          CAST(views AS HUGEINT) AS v FROM long WHERE views IS NOT NULL),
+        s AS (SELECT a.c AS f1, b.c AS f2, count(*) AS n, count(*) * sum(a.v * a.v) - sum(a.v) * sum(a.v) AS xx,
+          count(*) * sum(b.v * b.v) - sum(b.v) * sum(b.v) AS yy, count(*) * sum(a.v * b.v) - sum(a.v) * sum(b.v) AS xy
+          FROM cells a JOIN cells b ON a.title = b.title AND a.c < b.c GROUP BY ALL)
+        SELECT x.c AS f1, y.c AS f2, coalesce(n, 0) AS n,
+          round(CASE WHEN xx > 0 AND yy > 0 THEN xy / (sqrt(xx) * sqrt(yy)) END, 9) + 0.0 AS r
+        FROM names x JOIN names y ON x.c < y.c LEFT JOIN s ON s.f1 = x.c AND s.f2 = y.c"""
+
+
 ORACLE = {
+    "wide_correlation_all": _wide_corr_all_sql(),
     "wide_variance_topk": _wide_variance_sql(),
     "wide_correlation": _wide_corr_sql(),
     "views_long": _LINES + "SELECT * FROM long",

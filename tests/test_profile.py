@@ -96,3 +96,15 @@ def test_gram_many_features_matches_builtin(spark):
     assert len(g) == k * (k - 1) // 2
     for key, v in b.items():
         assert g[key] == pytest.approx(v, abs=1e-10)
+
+
+def test_wide_correlation_has_every_view_column(spark):
+    """All 140 view columns of 7 years, so pairs across years too."""
+    from tessera.plans import registry
+
+    rows = registry()[0]["wide_correlation_all"](spark, "/root/testdata/sf0.001").collect()
+    pairs = {(r.f1, r.f2) for r in rows}
+    assert len(rows) == len(pairs) == 140 * 139 // 2
+    assert len({c for p in pairs for c in p}) == 140
+    assert ("views_q1_95_africa", "views_q4_01_asia") in pairs or ("views_q4_01_asia", "views_q1_95_africa") in pairs
+    assert all(r.r is None or -1 <= r.r <= 1 for r in rows) and sum(r.r is not None for r in rows) > 8000
