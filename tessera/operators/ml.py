@@ -112,7 +112,7 @@ def build_model(name: str, trees: int, seed: int = SEED):
     return RandomForestRegressor(numTrees=trees, **p, **common)
 
 
-def train_ensemble(train: DataFrame, trees: int = 20, models=("m1", "m2", "m3"), seed: int = SEED,
+def train_ensemble(train: DataFrame, trees: int = 1350, models=("m1", "m2", "m3"), seed: int = SEED,
                    parallelism: int = 3) -> dict:
     """Fit each model; a model that fails to train is left out (its
     prediction column becomes NULL and the ensemble renormalises).
@@ -123,6 +123,10 @@ def train_ensemble(train: DataFrame, trees: int = 20, models=("m1", "m2", "m3"),
     """
     from concurrent.futures import ThreadPoolExecutor
 
+    from tessera.session import checkpoint_dir
+
+    checkpoint_dir(train.sparkSession)  # boosting cuts its lineage there every 10 rounds
+
     def fit(m):
         try:
             return m, build_model(m, trees, seed).fit(train)

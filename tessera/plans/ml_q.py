@@ -2,8 +2,8 @@
 
 Training rows: lineitem joined with part; target = the first of
 ['views_y', 'l_extendedprice'] that exists (l_extendedprice here); features:
-quantity, discount, tax, part size, retail price. Tree counts are parameters
-(the original trains 1350 per model; these bindings train 20).
+quantity, discount, tax, part size, retail price. Tree counts are the
+original's: 1350 per model, 100 for the causes (README has what that takes).
 """
 
 from __future__ import annotations
@@ -16,7 +16,8 @@ from tessera.plans.common import sig, sql_sig, table
 FEATURES = ["l_quantity", "l_discount", "l_tax", "p_size", "p_retailprice"]
 TARGETS = ["views_y", "l_extendedprice"]
 KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
-TREES = 20
+TREES = 1350
+CAUSE_TREES = 100
 
 
 def _rows(spark, sf_dir):
@@ -39,7 +40,7 @@ def sample_hash(spark, sf_dir):
 
 
 def causes_ranked(spark, sf_dir):
-    return ml.causation(_rows(spark, sf_dir), FEATURES, TARGETS, KEYS, trees=TREES)
+    return ml.causation(_rows(spark, sf_dir), FEATURES, TARGETS, KEYS, trees=CAUSE_TREES)
 
 
 def ensemble_train(spark, sf_dir):

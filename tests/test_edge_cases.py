@@ -78,3 +78,28 @@ def test_pivot_matches_whole_years_and_fails_outside_its_lists(spark):
             views.pivot_views(rows, "title", ["q1"], [1998], ["asia"]).collect()
     with pytest.raises(ValueError):
         views.pivot_views(long, "title", ["q1"], [1998, 2098], ["asia"])
+
+
+def test_model_queries_train_the_stated_tree_counts(spark, monkeypatch):
+    """1350 trees per model and 100 for the causes, as in the original."""
+    from tessera.operators import ml
+    from tessera.plans import ml_q
+
+    class Asked(Exception):
+        pass
+
+    def train(rows, trees=None, **how):
+        raise Asked(trees)
+
+    def causes(*args, trees=None, **how):
+        raise Asked(trees)
+
+    monkeypatch.setattr(ml, "train_ensemble", train)
+    monkeypatch.setattr(ml, "causation", causes)
+    asked = {}
+    for name in ("ensemble_train", "rf_importance", "conformal", "causes_ranked"):
+        try:
+            ml_q.QUERIES[name](spark, "/root/testdata/sf0.001")
+        except Asked as e:
+            asked[name] = e.args[0]
+    assert asked == {"ensemble_train": 1350, "rf_importance": 1350, "conformal": 1350, "causes_ranked": 100}
