@@ -187,21 +187,43 @@ def causation(df: DataFrame, features: list[str], target_candidates: list[str],
 
 
 # ---------------------------------------------------------------- M8
+RANK_BINS = 1024
+
+
+def value_of_rank(df: DataFrame, col: str, rank: int) -> float:
+    """The ``rank``-th smallest (from 1) of the finite values of ``col``, exactly:
+    a histogram of ``RANK_BINS`` bins, then of the bin that holds the rank, until
+    that bin holds one value. Only bins reach the driver."""
+    v = F.col(col)
+    lo, hi = df.agg(F.min(v), F.max(v)).first()
+    while lo < hi:
+        step = (hi - lo) / RANK_BINS or hi - lo
+        place = F.least(F.floor((v - F.lit(lo)) / F.lit(step)), F.lit(RANK_BINS - 1))
+        bins = (df.filter(v.between(lo, hi)).groupBy(place.alias("b"))
+                  .agg(F.count(F.lit(1)).alias("n"), F.min(v).alias("lo"), F.max(v).alias("hi")).collect())
+        for r in sorted(bins, key=lambda r: r.b):
+            if rank <= r.n:
+                lo, hi = r.lo, r.hi
+                break
+            rank -= r.n
+    return lo
+
+
 def conformal_intervals(calibration: DataFrame, scored: DataFrame, prediction: str = "ensemble",
-                        level: float = 0.9, accuracy: int = 100_000) -> DataFrame:
+                        level: float = 0.9) -> DataFrame:
     """M8 (split conformal): q is the residual |y - p| of rank ceil((n+1) level)
     on the n calibration rows; interval p +- q on the scored rows. When that
     rank exceeds n there is no such residual and the interval is unbounded. The
-    rank is exact up to ``accuracy`` rows, beyond them within n / accuracy ranks
-    (quantile sketch, bounded memory)."""
-    resid = calibration.select(F.abs(F.col("label") - F.col(prediction)).alias("r"))
-    n = resid.count()
-    rank = math.ceil((n + 1) * level)
-    if rank > n:
-        q = F.lit(float("inf"))
-    else:
-        q = resid.agg(F.percentile_approx("r", rank / n, accuracy)).scalar()  # scalar subquery
-    return scored.withColumn("q", q).select(
+    rank is exact for any n."""
+    from tessera.session import checkpoint_dir
+
+    checkpoint_dir(calibration.sparkSession)
+    resid = calibration.select(F.abs(F.col("label") - F.col(prediction)).cast("double").alias("r")).filter(
+        F.col("r").isNotNull()).checkpoint()  # the passes below do not score again
+    rank = math.ceil((resid.count() + 1) * level)
+    finite = resid.filter(F.col("r") < float("inf"))  # NaN counts as the largest
+    q = float("inf") if rank > finite.count() else value_of_rank(finite, "r", rank)
+    return scored.withColumn("q", F.lit(q)).select(
         "*", (F.col(prediction) - F.col("q")).alias("lower"), (F.col(prediction) + F.col("q")).alias("upper"))
 
 

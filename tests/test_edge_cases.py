@@ -82,7 +82,6 @@ def test_pivot_matches_whole_years_and_fails_outside_its_lists(spark):
 
 def test_model_queries_train_the_stated_tree_counts(spark, monkeypatch):
     """1350 trees per model and 100 for the causes, as in the original."""
-    from tessera.operators import ml
     from tessera.plans import ml_q
 
     class Asked(Exception):
@@ -103,3 +102,12 @@ def test_model_queries_train_the_stated_tree_counts(spark, monkeypatch):
         except Asked as e:
             asked[name] = e.args[0]
     assert asked == {"ensemble_train": 1350, "rf_importance": 1350, "conformal": 1350, "causes_ranked": 100}
+
+
+def test_conformal_rank_is_exact_beyond_a_sketch(spark):
+    n = 1_000_003
+    x = (F.col("id") * 7919) % n  # every whole number below n once
+    calib = spark.range(n).select(F.pow(x.cast("double"), F.lit(1.5)).alias("label"), F.lit(0.0).alias("ensemble"))
+    for level in (0.9, 0.5):
+        q = ml.conformal_intervals(calib, calib.limit(1), level=level).first().q
+        assert round(q ** (2 / 3)) == math.ceil((n + 1) * level) - 1
