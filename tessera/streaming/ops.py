@@ -12,7 +12,8 @@ a restarted driver or a lost executor resumes from the last committed batch.
   mode: every batch writes the windows it changed; late rows behind the
   watermark are dropped (ST9, documented per query).
 * ST3 EMA, ST4 breaker: ``foreachBatch`` with the chunked batch operators and a
-  state table per batch, so neither a hot key nor the Arrow batch size matters.
+  state table per batch, so the Arrow batch size does not matter. A key's rows of
+  one day are one window task, whatever their number.
 * ST6 replica states: ``foreachBatch`` with the last events of every copy, merged
   with those of the batches before.
 * ST5 signal routing: stream-static join with the (small) handler table.
@@ -137,7 +138,7 @@ def ema_feed(spark: SparkSession, stream: DataFrame, key: str, value: str, alpha
     """ST3: EMA per key after every micro-batch; give both folders to resume.
 
     A batch of m events moves a key from ``ema`` to (1-a)^m * ema + the batch's
-    own EMA from 0 (chunked, so a hot key is spread over tasks). Events count in
+    own EMA from 0 (chunked by key and day: a key's day is one task). Events count in
     (ts, tie) order inside a batch and in arrival order across batches. Every
     batch writes the state of all keys to its own ``batch_id=`` folder with
     overwrite and reads its predecessor's only, so a replay gives the same rows.
@@ -182,8 +183,8 @@ def breaker_feed(spark: SparkSession, stream: DataFrame, key: str, failed_col: s
     folders to resume.
 
     Every micro-batch runs the chunked batch operator on from the state table of
-    its predecessor, so neither a hot key nor the Arrow batch size matters. Events
-    count in (ts, tie) order inside a batch and in arrival order across batches.
+    its predecessor, so the Arrow batch size does not matter; a key's rows of one day
+    are one window task. Events count in (ts, tie) order inside a batch and in arrival order across batches.
     Rows and states of a batch go to folders of their own with overwrite, so a
     replay gives the same rows. A NULL key is a key.
     """
