@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe_tree, dedup, jaccard, lm, packing, quality, secrets, shard, token_count, token_file
+from tessera.llm import (bpe_tree, dedup, fim, jaccard, lm, mixing, nra, packing, quality, secrets, shard, token_count,
+                         token_file)
 from tessera.llm.common import materialise, text_or_empty
 from tessera.plans.common import table
 from tessera.session import scratch_path
@@ -91,6 +92,27 @@ def op10_packing(spark, sf_dir):
     return packing.pack(docs, public_tokenizers.path(WORD_BPE))
 
 
+def op11_mixing(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    rows = docs.select("doc_id", "source", mixing.n_words(F.col("text")).alias("size"))
+    return mixing.mix(rows).select(
+        F.col("id").alias("doc_id"), "size", "source_size", "target", mixing.taken(F.col("pieces")).alias("taken"))
+
+
+def op12_fill_in_middle(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = fim.fill_in_middle(docs).select("doc_id", "fim.*")
+    return out.select(
+        "doc_id", "n", "form", F.col("prefix_units").alias("prefix_chars"), F.col("middle_units").alias("middle_chars"),
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(fim.restore(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
+def op13_ranked_search(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return nra.search(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_token_file": op2_token_file,
@@ -102,9 +124,15 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_bpe_tree": op9_bpe_tree,
     "op10_packing": op10_packing,
+    "op11_mixing": op11_mixing,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_ranked_search": op13_ranked_search,
 }
 
 ORACLE = {
     "op1_quality_rules": quality.ORACLE,
     "op6_exact_dedup": dedup.ORACLE,
+    "op11_mixing": mixing.ORACLE,
+    "op12_fill_in_middle": fim.ORACLE,
+    "op13_ranked_search": nra.ORACLE,
 }
