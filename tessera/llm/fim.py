@@ -13,8 +13,8 @@ A document's draws are the first four 8-digit groups of
 sha256("<seed>:<identifier>"): two cuts, the share that stays plain and the share
 of spm. They depend on nothing else, so a recomputed partition repeats them.
 
-Words include the white space behind them, lines their line feed; the first unit
-includes white space before it.
+Words include the white space behind them, lines their line feed; white space at
+the start of a text is a word unit of its own.
 
 Defined cases: NULL text counts as empty and stays plain, with 0 units; texts that
 hold a sentinel stay plain; a NULL identifier hashes as an empty one; repeated rows

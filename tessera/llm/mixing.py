@@ -89,9 +89,12 @@ def source_plan(sizes: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS,
     plan = numbered.withColumn("target", target).drop("row", "level", "full").withColumn(
         "first", F.when(F.col("source_size") > 0,
                         F.pmod(_number(_digest(seed, F.col("source"))), F.col("source_size"))).otherwise(F.lit(0)))
-    return plan.join(_quotas(plan, block_tokens, shards), "place", "left").select(
-        "source", "place", "weight", "source_size", "target", "cap", "first",
-        F.coalesce("ends", F.array_repeat(F.lit(0).cast("long"), shards + 1)).alias("ends"))
+    stride = F.element_at("ends", -1) * block_tokens / F.lit(shards)
+    slack = F.array_max(F.transform("ends", lambda e, k: F.abs(e * block_tokens - k * stride))) + block_tokens
+    return plan.join(_quotas(plan, block_tokens, shards), "place", "left").withColumn(
+        "ends", F.coalesce("ends", F.array_repeat(F.lit(0).cast("long"), shards + 1))).select(
+        "source", "place", "weight", "source_size", "target", "cap", "first", "ends",
+        stride.alias("stride"), slack.alias("slack"))
 
 
 def _quotas(plan: DataFrame, block_tokens: int, shards: int) -> DataFrame:
@@ -153,17 +156,28 @@ def mix(rows: DataFrame, id_col: str = "doc_id", source_col: str = "source", siz
 
 
 def _pieces(max_epochs: int, block_tokens: int, shards: int) -> Column:
-    """Where the row's words [start, start + size) of each epoch meet the shards' parts of the stream."""
-    def meet(p, k):
-        lo = F.col("first") + F.least(F.get("ends", k) * block_tokens, F.col("cap"))
-        hi = F.col("first") + F.least(F.get("ends", k + 1) * block_tokens, F.col("cap"))
-        at = p * F.col("source_size") + F.col("start")
-        a, b = F.greatest(lo, at), F.least(hi, at + F.col("size"))
-        return F.struct(k.alias("shard"), p.cast("int").alias("epoch"), (a - at).alias("first_word"),
-                        (b - a).alias("words"), (a - lo).alias("at"))
-    every = F.flatten(F.transform(
-        F.sequence(F.lit(0), F.lit(max_epochs)),
-        lambda p: F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), lambda k: meet(p, k))))
+    """Where the row's words [start, start + size) of each epoch meet the shards' parts of the stream.
+
+    Ends of shards lie within ``slack`` of equal strides (measured in the plan), so each epoch looks
+    at the few shards it can meet, however many there are.
+    """
+    def end(k):
+        return F.least(F.get("ends", k) * block_tokens, F.col("cap"))
+
+    def in_epoch(p):
+        at = p * F.col("source_size") + F.col("start") - F.col("first")
+        lo, hi = F.greatest(at, F.lit(0)), F.least(at + F.col("size"), end(F.lit(shards)))
+        k0 = F.greatest(F.floor((lo - F.col("slack")) / F.col("stride")) - 1, F.lit(0)).cast("int")
+        k1 = F.least(F.floor((hi + F.col("slack")) / F.col("stride")) + 1, F.lit(shards - 1)).cast("int")
+
+        def meet(k):
+            a, b = F.greatest(end(k), lo), F.least(end(k + 1), hi)
+            return F.struct(k.alias("shard"), p.cast("int").alias("epoch"), (a - at).alias("first_word"),
+                            (b - a).alias("words"), (a - end(k)).alias("at"))
+        return F.when((hi > lo) & (k1 >= k0), F.transform(F.sequence(k0, k1), meet))
+
+    every = F.flatten(F.filter(F.array(*[in_epoch(F.lit(p).cast("long")) for p in range(max_epochs + 1)]),
+                               lambda x: x.isNotNull()))
     return F.filter(every, lambda x: x["words"] > 0)
 
 
