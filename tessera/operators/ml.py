@@ -1,39 +1,50 @@
-"""Model training and evaluation on Spark ML.
-
-* Three regressors stand in for the original ensemble: two gradient-boosted
-  tree models (depth 8 / eta 0.05 and depth 6 / eta 0.03) and a random forest
-  (depth 12, sqrt features, leaf 5, 128 bins). L1/L2 leaf penalties and
-  symmetric trees have no Spark ML form; tree counts are parameters (the
-  original trains 1350 per model).
+"""Model training and evaluation.
+
+* Three regressors stand in for the original ensemble: boosted trees with leaf
+  penalties, boosted symmetric trees with Bayesian bootstrap (both in
+  ``boosting``), and a Spark ML random forest (depth 12, sqrt features, leaf 5,
+  128 bins; a leaf of 5 means that no node below 10 rows is split, the
+  original's other limit).
+* Tree counts are the original's, 1350 per model, as an upper limit: boosting
+  stops when the error on its validation rows has not fallen for ``patience``
+  rounds, a forest when a further tranche of trees does not lower it by
+  ``FOREST_TOL``. Forests are trained and written in tranches with seeds of their
+  own; the mean over all trees is the forest.
+* Trained models are stored under the shared checkpoint folder by their settings
+  and a digest of the rows, so queries over the same rows train once.
 * Models score one DataFrame in a chain of ``transform`` calls, so the
   predictions of all models stay aligned row by row (J14) without a join.
 * Metrics are computed on the training rows (as the original does) and on a
-  seeded hold-out split (M10).
+  hold-out split (M10).
 * Sampling (P14) keeps the n rows with the smallest seeded hash of the key:
-  a filter on a hash threshold cuts the candidates to about n before the only
-  sort, so no task ever sorts the whole table.
+  a filter on a hash threshold cuts the candidates to about n, and the exact
+  threshold among them comes from histograms, so nothing is sorted.
 """
 
 from __future__ import annotations
 
+import hashlib
+import json
 import math
 
 import numpy as np
 import pandas as pd
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import GBTRegressor, RandomForestRegressionModel, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.nulls import zero_fill
-from tessera.operators import metrics
+from tessera.operators import boosting, metrics
+from tessera.session import checkpoint_dir, path_exists, remove_path, scratch_path
 
 # Model settings of the original, target candidates order,
 # minimum training rows, sample size and the number of causes reported.
 MODEL_PARAMS = {
-    "m1": {"kind": "gbt", "maxDepth": 8, "stepSize": 0.05, "subsamplingRate": 0.8,
-           "featureSubsetStrategy": "0.8", "minInstancesPerNode": 5},
-    "m2": {"kind": "gbt", "maxDepth": 6, "stepSize": 0.03},
+    "m1": {"kind": "boost", "depth": 8, "eta": 0.05, "subsample": 0.8, "colsample": 0.8, "min_child": 5.0,
+           "l1": 0.1, "l2": 1.0, "bins": 256},
+    "m2": {"kind": "boost", "depth": 6, "eta": 0.03, "l2": 3.0, "bins": 128, "symmetric": True, "bayesian": True},
     "m3": {"kind": "rf", "maxDepth": 12, "featureSubsetStrategy": "sqrt", "minInstancesPerNode": 5,
            "maxBins": 128},
 }
@@ -44,6 +55,16 @@ TOP_CAUSES = 20
 GRANGER_MAX_LAG = 4
 GRANGER_ALPHA = 0.05
 
+# Stopping rules: share of the training rows used for validation, rounds of boosting
+# without a better validation error, trees of a tranche, and the relative gain that a
+# tranche must bring.
+VALID_SHARE = 0.1
+PATIENCE = 10
+TRANCHE = 45
+FOREST_TOL = 0.002
+#: rows of a training partition
+PART_ROWS = 250_000
+
 
 class TrainingInputError(ValueError):
     """Typed error for a missing target or too few rows."""
@@ -59,19 +80,21 @@ def resolve_target(df: DataFrame, candidates: list[str]) -> str:
 
 
 def training_frame(df: DataFrame, features: list[str], target: str, min_rows: int = MIN_ROWS,
-                   check_rows: bool = True) -> DataFrame:
+                   check_rows: bool = True, key_cols: list[str] | None = None) -> DataFrame:
     """P3 + P4 + P9: rows with a target, features zero-filled into one vector
-    column ``features`` and the label as ``label``."""
+    column ``features``, the label as ``label`` and ``row_key``, a hash of ``key_cols``
+    (of features and label where none are named) that every draw of the training uses."""
+    key = F.xxhash64(*[F.col(c) for c in key_cols or [*features, target]])
     clean = df.na.drop(subset=[target]).select(
-        *[zero_fill(c).alias(c) for c in features], F.col(target).cast("double").alias("label"))
+        *[zero_fill(c).alias(c) for c in features], F.col(target).cast("double").alias("label"), key.alias("row_key"))
     if check_rows:
         n = clean.count()
         if n < min_rows:
             raise TrainingInputError(f"only {n} training rows, need {min_rows}")
-    # tree learners make many passes over the rows: spread them over every
-    # core (AQE may have coalesced a small join result into a few partitions)
-    parts = clean.sparkSession.sparkContext.defaultParallelism
-    clean = clean.repartition(parts)
+        # tree learners make many passes over the rows: every core gets some, and no
+        # partition more than a bounded number (AQE may have merged a small join result)
+        cores = clean.sparkSession.sparkContext.defaultParallelism
+        clean = clean.repartition(max(cores, -(-n // PART_ROWS)), "row_key")
     return VectorAssembler(inputCols=features, outputCol="features").transform(clean)
 
 
@@ -94,48 +117,154 @@ def hash_sample(df: DataFrame, key_cols: list[str], n: int = SAMPLE_ROWS, seed:
     h = df.withColumn("_r", rank).withColumn("_u", F.col("_r") / F.lit(float(16 ** 15)))
     frac = min(1.0, n / total * 1.1 + 1e-4)
     while True:
-        cand = h.filter(F.col("_u") < frac)
+        cand = h.filter(F.col("_u") < frac) if frac < 1.0 else h
         if frac >= 1.0 or cand.count() >= n:
-            return cand.orderBy("_r", *key_cols).limit(n).drop("_u", "_r")
+            break
         frac = min(1.0, frac * 1.5)
+    at = value_of_rank(cand, "_r", n)
+    below = cand.filter(F.col("_r") < at)
+    # rows on the threshold itself: equal hashes, so equal keys but for a collision
+    left = n - below.count()
+    return below.unionByName(cand.filter(F.col("_r") == at).orderBy(*key_cols).limit(left)).drop("_u", "_r")
 
 
 # ---------------------------------------------------------------- M1-M3
-def build_model(name: str, trees: int, seed: int = SEED):
+class Forest:
+    """Tranches of one forest: (path, model, trees). Its prediction is the mean over all trees."""
+
+    def __init__(self, name: str, tranches: list, history: list):
+        self.name, self.tranches, self.history = name, tranches, history
+
+    @property
+    def trees_trained(self) -> int:
+        return sum(n for _, _, n in self.tranches)
+
+    @property
+    def feature_importances(self) -> list[float]:
+        """Mean over the trees of their importances, scaled to sum 1."""
+        total = sum(n * m.featureImportances.toArray() for _, m, n in self.tranches)
+        return (total / total.sum() if total.sum() else total).tolist()
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        out, parts = df, []
+        for i, (_, model, n) in enumerate(self.tranches):
+            part = f"_{self.name}_{i}"
+            out = model.setPredictionCol(part).transform(out)
+            parts.append(F.col(part) * n)
+        return out.withColumn(self.name, sum(parts[1:], parts[0]) / F.lit(float(self.trees_trained))).drop(
+            *[f"_{self.name}_{i}" for i in range(len(self.tranches))])
+
+
+def train_forest(rows: DataFrame, name: str, trees: int, path: str, seed: int = SEED, tranche: int = TRANCHE,
+                 tol: float = FOREST_TOL, **params) -> Forest:
+    """A forest in tranches of ``tranche`` trees with seeds of their own, each written under ``path``
+    before the next one starts. Training ends at ``trees`` or when two tranches in a row have not
+    lowered the squared error on the validation rows by ``tol`` of it."""
+    spark = rows.sparkSession
+    side = F.pmod(F.xxhash64("row_key", F.lit(seed)), F.lit(1_000_000)) < F.lit(int(VALID_SHARE * 1_000_000))
+    learn = rows.where(~side).persist()
+    valid = rows.where(side).select("features", "label", F.lit(0.0).alias("total"))
+    held, done, history, found, kept, calm = None, 0, [], [], None, 0
+    try:
+        while done < trees and calm < 2:
+            n = min(tranche, trees - done)
+            at = f"{path}/{name}-{done:05}"
+            model = RandomForestRegressor(numTrees=n, seed=seed + done, featuresCol="features", labelCol="label",
+                                          predictionCol=name, maxMemoryInMB=1024, **params).fit(learn)
+            model.write().overwrite().save(at)
+            found.append((at, model, n))
+            done += n
+            scored = model.setPredictionCol("_p").transform(valid).select(
+                "features", "label", (F.col("total") + F.col("_p") * n).alias("total"))
+            held, older = scratch_path(spark, "forest-valid"), held
+            scored.write.parquet(held)
+            valid = spark.read.schema(scored.schema).parquet(held)
+            if older:
+                remove_path(spark, older)
+            error = valid.agg(F.avg(F.pow(F.col("total") / done - F.col("label"), 2))).first()[0]
+            calm = calm + 1 if history and error is not None and error > kept * (1 - tol) else 0
+            kept = error if kept is None or error is None or not calm else kept
+            history.append([done, error])
+    finally:
+        learn.unpersist()
+        if held:
+            remove_path(spark, held)
+    return Forest(name, found, history)
+
+
+class Ensemble(dict):
+    """Model by name (None where training failed); ``errors`` holds the reasons."""
+
+    def __init__(self, models=(), errors=None):
+        super().__init__(models)
+        self.errors = dict(errors or {})
+
+    @property
+    def models_ok(self) -> int:
+        return sum(m is not None for m in self.values())
+
+    @property
+    def trees_trained(self) -> dict:
+        return {name: m.trees_trained if m is not None else 0 for name, m in self.items()}
+
+
+def _rows_digest(train: DataFrame) -> str:
+    """Count and order-free sums of two row hashes."""
+    cols = [F.col("row_key"), F.col("label"), vector_to_array("features")]
+    parts = [F.sum(F.xxhash64(*cols, F.lit(i)).cast("decimal(38,0)")) for i in (1, 2)]
+    return str(tuple(train.agg(F.count(F.lit(1)), *parts).first()))
+
+
+def fit_model(train: DataFrame, name: str, trees: int, seed: int, path: str):
+    """Train one model and write it under ``path``, or read what an earlier call wrote there."""
+    spark = train.sparkSession
     p = dict(MODEL_PARAMS[name])
-    kind = p.pop("kind")
-    # more memory per pass lets a forest split more nodes per data scan
-    common = {"featuresCol": "features", "labelCol": "label", "predictionCol": name, "seed": seed,
-              "maxMemoryInMB": 1024}
-    if kind == "gbt":
-        return GBTRegressor(maxIter=trees, **p, **common)
-    return RandomForestRegressor(numTrees=trees, **p, **common)
+    done = f"{path}/{name}-done"
+    if p.pop("kind") == "boost":
+        if path_exists(spark, done):
+            return boosting.BoostedModel.from_json(spark.read.parquet(done).first()[0])
+        model = boosting.train(train, name, boosting.Settings(rounds=trees, seed=seed, valid_share=VALID_SHARE,
+                                                              patience=PATIENCE, **p))
+        spark.createDataFrame([(model.to_json(),)], "model string").coalesce(1).write.mode("overwrite").parquet(done)
+        return model
+    if path_exists(spark, done):
+        tranches, history = json.loads(spark.read.parquet(done).first()[0])
+        return Forest(name, [(at, RandomForestRegressionModel.load(at), n) for at, n in tranches], history)
+    model = train_forest(train, name, trees, path, seed, **p)
+    text = json.dumps([[(at, n) for at, _, n in model.tranches], model.history])
+    spark.createDataFrame([(text,)], "model string").coalesce(1).write.mode("overwrite").parquet(done)
+    return model
 
 
 def train_ensemble(train: DataFrame, trees: int = 1350, models=("m1", "m2", "m3"), seed: int = SEED,
-                   parallelism: int = 3) -> dict:
-    """Fit each model; a model that fails to train is left out (its
-    prediction column becomes NULL and the ensemble renormalises).
-
-    The fits are submitted from ``parallelism`` driver threads (as Spark's
-    ``CrossValidator(parallelism=...)`` does): tree learners run many short
-    jobs, and concurrent jobs keep the executors busy between them.
+                   parallelism: int = 3) -> Ensemble:
+    """Fit each model with at most ``trees`` trees; a model that fails to train is left out (its
+    prediction column becomes NULL and the ensemble renormalises) and its reason is kept in
+    ``errors``; without any model the first reason is raised.
+
+    Models are stored under ``spark.checkpoint.dir`` by their settings, the tree limit and a digest of
+    the rows: a second call over the same rows reads them. The fits are submitted from
+    ``parallelism`` driver threads: tree learners run many short jobs, and concurrent jobs
+    keep the executors busy between them.
     """
     from concurrent.futures import ThreadPoolExecutor
 
-    from tessera.session import checkpoint_dir
-
-    checkpoint_dir(train.sparkSession)  # boosting cuts its lineage there every 10 rounds
+    base = checkpoint_dir(train.sparkSession).rstrip("/")
+    rules = (trees, seed, VALID_SHARE, PATIENCE, TRANCHE, FOREST_TOL)
+    key = hashlib.sha256(repr((_rows_digest(train), rules, sorted(MODEL_PARAMS.items()))).encode()).hexdigest()[:24]
 
     def fit(m):
         try:
-            return m, build_model(m, trees, seed).fit(train)
-        except Exception:  # noqa: BLE001 - the original also continues
-            return m, None
+            return m, fit_model(train, m, trees, seed, f"{base}/models-{key}"), None
+        except Exception as e:  # noqa: BLE001 - the original also goes on with the other models
+            return m, None, f"{type(e).__name__}: {str(e)[:500]}"
 
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-        fitted = dict(pool.map(fit, models))
-    return {m: fitted[m] for m in models}
+        fitted = list(pool.map(fit, models))
+    errors = {m: e for m, _, e in fitted if e}
+    if len(errors) == len(fitted):
+        raise RuntimeError(f"no model could be trained: {errors}")
+    return Ensemble({m: model for m, model, _ in fitted}, errors)
 
 
 def score(fitted: dict, df: DataFrame) -> DataFrame:
@@ -155,7 +284,7 @@ def evaluate(scored: DataFrame, split: str) -> DataFrame:
 # ---------------------------------------------------------------- M5 / J3 / W3
 def importances(model, features: list[str], spark) -> DataFrame:
     """M5 + J3: feature name and importance by position (k rows)."""
-    vec = model.featureImportances.toArray().tolist()
+    vec = model.feature_importances if hasattr(model, "feature_importances") else model.featureImportances.toArray().tolist()
     return spark.createDataFrame([(f, float(v)) for f, v in zip(features, vec)],
                                  "feature string, importance double")
 
@@ -215,8 +344,6 @@ def conformal_intervals(calibration: DataFrame, scored: DataFrame, prediction: s
     on the n calibration rows; interval p +- q on the scored rows. When that
     rank exceeds n there is no such residual and the interval is unbounded. The
     rank is exact for any n."""
-    from tessera.session import checkpoint_dir
-
     checkpoint_dir(calibration.sparkSession)
     resid = calibration.select(F.abs(F.col("label") - F.col(prediction)).cast("double").alias("r")).filter(
         F.col("r").isNotNull()).checkpoint()  # the passes below do not score again

@@ -20,6 +20,7 @@ import json
 import time
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tessera.operators import ml, profile
 from tessera.sources import io
@@ -72,20 +73,20 @@ def run_feature_study(df: DataFrame, out_dir: str, target_candidates: list[str],
     n_causes = phase("causation", causes)
 
     def train():
-        data = ml.training_frame(df, features, target)
-        tr, ho = data.randomSplit([0.8, 0.2], seed=seed)
-        tr = tr.cache()
+        data = ml.training_frame(df, features, target, key_cols=key_cols)
+        side = F.pmod(F.xxhash64("row_key", F.lit(seed)), F.lit(100))
+        tr, ho = data.where(side < 80).cache(), data.where(side >= 80)
         fitted = ml.train_ensemble(tr, trees, seed=seed)
         metrics = ml.evaluate(ml.score(fitted, tr), "train").unionByName(ml.evaluate(ml.score(fitted, ho), "holdout"))
         io.write_json_rows(metrics, f"{out_dir}/models.json", single_file=True)
-        ok = sum(1 for m in fitted.values() if m is not None)
         tr.unpersist()
-        return ok
+        return fitted
 
-    models_ok = phase("training", train)
+    fitted = phase("training", train)
     summary = {"status": "COMPLETED", "target": target, "features": len(features),
                "high_correlation_pairs": int(high_pairs), "causes": int(n_causes),
-               "models_ok": int(models_ok), "trees_per_model": trees,
+               "models_ok": fitted.models_ok, "trees_per_model": trees,
+               "trees_trained": fitted.trees_trained, "model_errors": fitted.errors,
                "duration_ms": (time.time() - t0) * 1000, "phases": phases}
     spark.createDataFrame([(json.dumps(summary),)], "value string").coalesce(1) \
          .write.mode("overwrite").text(f"{out_dir}/summary.json")
