@@ -226,11 +226,12 @@ def removal_candidates(entries: DataFrame, required_bytes, policy: str = "LRU",
 
     The running byte sum is a chunked scan (``ordered.running_agg``): a tier
     holding most keys is cut into chunks by hour of last access (LRU) or by
-    access count (LFU) instead of being sorted in one task.
+    access count (LFU), and those with many rows again by key, instead of being
+    sorted in one task.
     """
     df = entries if pinned is None else entries.filter(~F.col(pinned))
     lru = policy.upper() == "LRU"
-    order = [F.col(last_access).asc(), F.col(key).asc()] if lru else [F.col(count).asc(), F.col(key).asc()]
+    order = [F.col(last_access if lru else count), F.col(key)]
     if bucket is None:
         bucket = ordered.time_bucket(last_access, 3600) if lru else F.col(count).cast("long")
     req = required_bytes if isinstance(required_bytes, Column) else F.lit(required_bytes)

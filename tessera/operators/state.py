@@ -45,9 +45,8 @@ def ema_per_key(df: DataFrame, key: str, ts: str, tie: str, value: str, alpha: f
     """
     # number rows newest first: row k (1-based) has k - 1 later rows. The chunk
     # column only has to be non-decreasing along this order: minus the bucket.
-    order = [F.col(ts).desc(), F.col(tie).desc()]
-    numbered = ordered.row_numbers(df.select(key, ts, tie, value), [key], order,
-                                   -ordered.time_bucket(ts, bucket_seconds), "_k")
+    numbered = ordered.row_numbers(df.select(key, ts, tie, value), [key], [F.col(ts), F.col(tie)],
+                                   -ordered.time_bucket(ts, bucket_seconds), "_k", descending=True)
     w = F.lit(alpha) * F.pow(F.lit(1.0 - alpha), (F.col("_k") - 1).cast("double"))
     return numbered.groupBy(key).agg(F.sum(w * F.col(value)).alias("ema"),
                                      F.count(F.lit(1)).alias("events"))
@@ -218,6 +217,7 @@ def write_invalidations(events: DataFrame, block: str, source: str, ts: str, tie
 def assign_batches(df: DataFrame, order_col: str, batch_size: int, key_width: float) -> DataFrame:
     """Rows in ``order_col`` order cut into batches of ``batch_size``:
     batch i holds rows [i*b, min((i+1)*b, n)). Row numbers come from a
-    chunked scan over ranges of width ``key_width`` of the order key."""
+    chunked scan over ranges of width ``key_width`` of the order key (a range with too many
+    rows is cut again)."""
     numbered = ordered.row_numbers(df, [], [F.col(order_col)], ordered.value_bucket(order_col, key_width), "rn")
     return numbered.withColumn("batch_id", F.floor((F.col("rn") - 1) / F.lit(batch_size)).cast("long"))

@@ -50,11 +50,13 @@ def test_global_row_numbers(data):
 
 
 def test_descending_order_with_negated_bucket(data):
-    order = [F.col("t").desc(), F.col("id").desc()]
-    w = Window.partitionBy("g").orderBy(*order)
+    w = Window.partitionBy("g").orderBy(F.col("t").desc(), F.col("id").desc())
     ref = {r.id: r.k for r in data.select("id", F.row_number().over(w).alias("k")).collect()}
-    got = {r.id: r.k for r in ordered.row_numbers(data, ["g"], order, -ordered.value_bucket("t", 500), "k").collect()}
+    got = {r.id: r.k for r in ordered.row_numbers(data, ["g"], [F.col("t"), F.col("id")], -ordered.value_bucket("t", 500),
+                                                  "k", descending=True).collect()}
     assert ref == got
+    with pytest.raises(ValueError, match="descending"):
+        ordered.row_numbers(data, ["g"], [F.col("t").desc()], -ordered.value_bucket("t", 500))
 
 
 def test_null_keys_are_kept(spark):
@@ -71,3 +73,63 @@ def test_null_keys_are_kept(spark):
     got_lag = {r.id: r.prev_v for r in ordered.previous_values(df, ["g"], order, ["v"],
                                                                 ordered.value_bucket("t", 300)).collect()}
     assert ref_lag == got_lag
+
+
+@pytest.fixture
+def small_chunks(monkeypatch):
+    monkeypatch.setattr(ordered, "MAX_CHUNK_ROWS", 100)
+    monkeypatch.setattr(ordered, "CUT_SAMPLES", 20)
+    monkeypatch.setattr(ordered, "FAN", 3)
+
+
+def chunk_sizes(df, groups, bucket, order, descending=False):
+    rows, keys = ordered._keyed(df, groups, bucket, order, descending)
+    return rows.groupBy(*keys, *ordered.CHUNK).count().toPandas()["count"]
+
+
+@pytest.mark.parametrize("descending", [False, True])
+def test_one_key_in_one_second_is_spread(spark, small_chunks, descending):
+    rows = [(i * 7919 % 5000, "hot" if i % 10 else "cold", 77, float(i % 13)) for i in range(5000)]
+    df = spark.createDataFrame(rows, "id long, g string, t long, v double")
+    order, bucket = [F.col("t"), F.col("id")], ordered.value_bucket("t", 10)
+    size = chunk_sizes(df, ["g"], bucket, order, descending)
+    assert size.max() < 3 * 100 and len(size) > 20
+    w = Window.partitionBy("g").orderBy(*[c.desc() if descending else c for c in order])
+    ref = {r.id: r.k for r in df.select("id", F.row_number().over(w).alias("k")).collect()}
+    got = {r.id: r.k for r in ordered.row_numbers(df, ["g"], order, -bucket if descending else bucket, "k", descending).collect()}
+    assert ref == got
+    if not descending:
+        run = w.rowsBetween(Window.unboundedPreceding, -1)
+        ref = {r.id: tuple(r)[1:] for r in df.select("id", F.sum("v").over(run), F.max("v").over(run), F.lag("v").over(w)).collect()}
+        a = ordered.running_agg(df, ["g"], order, F.col("v"), "s", bucket, "sum", False)
+        a = ordered.running_agg(a, ["g"], order, F.col("v"), "m", bucket, "max", False)
+        got = {r.id: (r.s, r.m, r.prev_v) for r in ordered.previous_values(a, ["g"], order, ["v"], bucket).collect()}
+        assert ref == got
+
+
+def test_a_long_tail_of_equal_counts_is_spread(spark, small_chunks):
+    from tessera.operators import access
+
+    rows = [(f"key{i:05}", "L3", 1, 10) for i in range(3000)]
+    df = spark.createDataFrame(rows, "key string, tier string, accesses long, size_bytes long")
+    assert chunk_sizes(df, ["tier"], F.col("accesses"), [F.col("accesses"), F.col("key")]).max() < 3 * 100
+    got = access.removal_candidates(df, 5000, "LFU").select("key").collect()
+    assert sorted(r.key for r in got) == [f"key{i:05}" for i in range(500)]
+
+
+def test_batches_of_one_wide_range(spark, small_chunks):
+    from tessera.operators import state
+
+    df = spark.range(2000).withColumn("k", (F.col("id") * 31) % 2000)
+    got = state.assign_batches(df, "k", 250, 1e9).collect()
+    assert all(r.batch_id == r.k // 250 for r in got)
+    assert chunk_sizes(df, [], ordered.value_bucket("k", 1e9), [F.col("k")]).max() < 3 * 100
+
+
+def test_two_level_scan_over_many_buckets(data, small_chunks):
+    order, w = [F.col("t"), F.col("id")], Window.partitionBy("g").orderBy("t", "id")
+    ref = {r.id: (r.k, r.p) for r in data.select("id", F.row_number().over(w).alias("k"), F.lag("id").over(w).alias("p")).collect()}
+    bucket = ordered.value_bucket("t", 200)
+    a = ordered.row_numbers(data, ["g"], order, bucket, "k")
+    got = {r.id: (r.k, r.prev_id) for r in ordered.previous_values(a, ["g"], order, ["id"], bucket).collect()}
+    assert ref == got
