@@ -40,6 +40,11 @@ def _catalog_df(spark):
          ("repo_3", False, 40, True)], "source string, is_master boolean, priority int, read_only boolean")
 
 
+def _decimal(df, col):
+    """Prices as DECIMAL(38,6): a text that other engines spell alike."""
+    return df.withColumn(col, F.col(col).cast("decimal(38,6)"))
+
+
 def reconcile(spark, sf_dir):
     m, c = _contributors(spark, sf_dir)
     return catalog.reconcile(m, c, "p_partkey", CMP)
@@ -51,7 +56,8 @@ def reconcile_summary(spark, sf_dir):
 
 def merge_master_wins(spark, sf_dir):
     m, c = _contributors(spark, sf_dir)
-    merged = catalog.merge_master_wins(m, c.select(*COLS, "source"), "p_partkey", _catalog_df(spark))
+    merged = _decimal(catalog.merge_master_wins(m, c.select(*COLS, "source"), "p_partkey", _catalog_df(spark)), "p_retailprice")
+    c = _decimal(c, "p_retailprice")
     before = catalog.dataset_checksum(c.select(*COLS, "source"), COLS, ["source"]).select(
         "source", F.col("rows").alias("rows_in"), F.col("md5_sum").alias("sum_in"))
     after = catalog.dataset_checksum(merged, COLS, ["source"]).select(
@@ -81,11 +87,23 @@ def upsert_latest(spark, sf_dir):
 
 
 def dataset_checksum(spark, sf_dir):
-    od = table(spark, sf_dir, "orders")
+    od = _decimal(table(spark, sf_dir, "orders"), "o_totalprice")
     return catalog.dataset_checksum(od).select(
         "rows", F.col("md5_sum").cast("string").alias("md5_sum"))
 
 
+def dataset_sha256(spark, sf_dir):
+    """SHA-256 lanes of the orders per status, prices in whole cents."""
+    od = table(spark, sf_dir, "orders").withColumn("cents", F.round(F.col("o_totalprice") * 100).cast("long"))
+    return catalog.dataset_sha256(od, ["o_orderkey", "o_custkey", "cents", "o_orderpriority"], ["o_orderstatus"])
+
+
+def reconcile_buckets(spark, sf_dir):
+    """``reconcile`` through bucket sums: only buckets that differ are joined."""
+    m, c = _contributors(spark, sf_dir)
+    return catalog.reconcile_changed(m, c, "p_partkey", CMP)
+
+
 def _pages_catalog(spark, sf_dir):
     pg = table(spark, sf_dir, "pages")
     first = pg.agg(F.min("page_id").alias("m")).first()["m"]
@@ -143,6 +161,7 @@ QUERIES = {
     "reconcile": reconcile, "reconcile_summary": reconcile_summary,
     "merge_master_wins": merge_master_wins, "priority_winner": priority_winner,
     "upsert_latest": upsert_latest, "dataset_checksum": dataset_checksum,
+    "dataset_sha256": dataset_sha256, "reconcile_buckets": reconcile_buckets,
     "source_hierarchy": source_hierarchy, "folder_sizes": folder_sizes,
     "route_requests": route_requests, "signal_fanout": signal_fanout,
     "duplicate_content": duplicate_content,
@@ -183,10 +202,22 @@ def _cks(expr):
     return f"sum(CAST('0x' || substr({expr}, 1, 15) AS HUGEINT))"
 
 
+def _sha_lanes(cols):
+    text = "concat_ws('|', " + ", ".join(
+        f"coalesce(length(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), 'N')" for c in cols) + ")"
+    lane = "sum(CAST('0x' || substr(h, {}, 8) AS HUGEINT)) % 4294967296"
+    return text, " || ".join(f"printf('%08x', CAST({lane.format(8 * i + 1)} AS BIGINT))" for i in range(8))
+
+
+_SHA_TEXT, _SHA_HEX = _sha_lanes(["o_orderkey", "o_custkey", "CAST(round(o_totalprice * 100) AS BIGINT)", "o_orderpriority"])
+
 _EV = "json_extract_string(props, '$.k')"
 
 ORACLE = {
     "reconcile": _RECON + "SELECT * FROM r",
+    "reconcile_buckets": _RECON + "SELECT * FROM r",
+    "dataset_sha256": f"""SELECT o_orderstatus, count(*) AS rows, {_SHA_HEX} AS sha256
+        FROM (SELECT o_orderstatus, sha256({_SHA_TEXT}) AS h FROM orders) GROUP BY o_orderstatus""",
     "reconcile_summary": _RECON + "SELECT source, status, count(*) AS n FROM r GROUP BY ALL",
     "merge_master_wins": _CONTRIB + f""", merged AS (
         SELECT p.*, s.source FROM p, (VALUES ('repo_1'), ('repo_2')) s(source)

@@ -370,16 +370,12 @@ def reconcile_feed(spark: SparkSession, changes: DataFrame, master: DataFrame, k
     original); None runs what is available and stops (tests).
     Returns the output folder.
     """
-    from tessera.operators.catalog import row_hash
+    from tessera.operators.catalog import statuses
 
     out, ck = scratch(spark, "reconcile-feed"), scratch(spark, "reconcile-feed-ck")
-    m = master.select(key, row_hash(master, compare_cols).alias("m_hash"))
 
     def process(batch: DataFrame, batch_id: int):
-        c = batch.select("source", key, row_hash(batch, compare_cols).alias("c_hash"))
-        status = (F.when(F.col("m_hash").isNull(), F.lit("EXTRA"))
-                   .when(F.col("m_hash") == F.col("c_hash"), F.lit("IN_SYNC")).otherwise(F.lit("STALE")))
-        res = c.join(m, key, "left").select("source", key, status.alias("status"))
+        res = statuses(batch, master, key, compare_cols)
         res.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
 
     w = changes.writeStream.foreachBatch(process).option("checkpointLocation", ck)

@@ -29,5 +29,5 @@ def test_hash_helpers_match_python(spark):
     df = spark.createDataFrame([(1, "x", 2.5, None)], "a long, b string, c double, d string")
     r = df.select(hashing.row_digest(df, ["a", "b", "c", "d"]).alias("h"),
                   hashing.md5_hex("b").alias("m"), hashing.sha256_hex("b").alias("s")).first()
-    assert r.h == hashlib.md5("1:1|1:x|8:2.500000|N".encode()).hexdigest()
+    assert r.h == hashlib.md5("1:1|1:x|3:2.5|N".encode()).hexdigest()
     assert r.m == hashlib.md5(b"x").hexdigest() and r.s == hashlib.sha256(b"x").hexdigest()
