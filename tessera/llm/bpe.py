@@ -112,14 +112,20 @@ class BatchEncoder:
         words = split.flatten()
         at = np.concatenate(([0], np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False)))) \
             .astype(np.int64)
-        if self.keeps_space:  # all but a text's first piece carry the space before them
-            first = np.zeros(len(words), dtype=bool)
-            first[at[:-1]] = True
-            words = pc.binary_join_element_wise(
-                pa.array(np.where(first, "", " "), type=pa.large_string()), words,
-                pa.scalar("", pa.large_string()))
         coded = words.dictionary_encode()
-        return coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False), at, np.flatnonzero(whole)
+        index = coded.indices.to_numpy(zero_copy_only=False)
+        if not self.keeps_space:
+            return coded.dictionary.to_pylist(), index, at, np.flatnonzero(whole)
+        # all but a text's first piece carry the space before them: added to the distinct words only
+        head = words.take(pa.array(at[:-1])).dictionary_encode()
+        index = index.copy()
+        index[at[:-1]] = len(coded.dictionary) + head.indices.to_numpy(zero_copy_only=False)
+        used = np.zeros(len(coded.dictionary) + len(head.dictionary), dtype=bool)
+        used[index] = True
+        spaced = pc.binary_join_element_wise(
+            pa.scalar(" ", pa.large_string()), coded.dictionary, pa.scalar("", pa.large_string()))
+        pieces = pa.concat_arrays([spaced, head.dictionary]).filter(pa.array(used))
+        return pieces.to_pylist(), (np.cumsum(used) - 1)[index], at, np.flatnonzero(whole)
 
     def encode(self, texts: pa.Array, distinct=None) -> tuple[np.ndarray, np.ndarray]:
         """(flat ids, bounds per text). ``distinct`` may replace the encoder of the pieces."""

@@ -39,7 +39,11 @@ BLOCK_IDS = 1 << 16
 
 
 def _widths(values: np.ndarray) -> np.ndarray:
-    return np.searchsorted(np.uint64(1) << np.arange(64, dtype=np.uint64), values, side="right")
+    return np.searchsorted(np.uint64(1) << np.arange(64, dtype=np.uint64), values, side="right").astype(np.int8)
+
+
+#: widths of all ids of at most 16 bits
+WIDTH_16 = _widths(np.arange(1 << 16, dtype=np.uint64))
 
 
 def encode(values: np.ndarray, sub_block: int = SUB_BLOCK) -> bytes:
@@ -50,12 +54,14 @@ def encode(values: np.ndarray, sub_block: int = SUB_BLOCK) -> bytes:
     size = np.full(n_sub, sub_block)
     if n_sub:
         size[-1] = n - sub_block * (n_sub - 1)
-    lanes = np.zeros((n_sub, sub_block + 60), dtype=np.uint64)
+    stride = sub_block + 60
+    lanes = np.zeros((n_sub, stride), dtype=np.uint64)
     padded = np.zeros(n_sub * sub_block, dtype=np.uint64)
     padded[:n] = values
     lanes[:, :sub_block] = padded.reshape(n_sub, sub_block)
+    small = n and int(values.max()) < len(WIDTH_16)
     width = np.ones(lanes.shape, dtype=np.int8)
-    width[:, :sub_block] = _widths(padded).reshape(n_sub, sub_block)
+    width[:, :sub_block] = (WIDTH_16[padded] if small else _widths(padded)).reshape(n_sub, sub_block)
     pick = np.zeros((n_sub, sub_block), dtype=np.int8)  # 0: escape
     widest = {1: width}
     for s in range(len(COUNTS) - 1, 0, -1):  # the last hit, with the largest count, stays
@@ -63,7 +69,10 @@ def encode(values: np.ndarray, sub_block: int = SUB_BLOCK) -> bytes:
         if c > 1:  # widest of the next c ids, from two shorter runs
             b = max(widest)  # at least half of c: the counts at most double
             widest[c] = np.maximum(widest[b][:, :widest[b].shape[1] - (c - b)], widest[b][:, c - b:])
-        pick[widest[c][:, :sub_block] <= BITS[s]] = s
+        fits = widest[c][:, :sub_block] <= BITS[s]
+        if c > 1 and not fits.any():
+            break  # a longer run holds this one and has fewer bits an id
+        np.copyto(pick, np.int8(s), where=fits)
     pos, lane = np.zeros(n_sub, dtype=np.int64), np.arange(n_sub)
     steps = []
     while len(lane):
@@ -73,22 +82,23 @@ def encode(values: np.ndarray, sub_block: int = SUB_BLOCK) -> bytes:
         lane = lane[pos[lane] < size[lane]]
     if steps:
         at, start, sel = (np.concatenate([s[k] for s in steps]) for k in range(3))
-        order = np.lexsort((start, at))
+        order = np.argsort(at * stride + start)
         at, start, sel = at[order], start[order], sel[order]
     else:
         at = start = sel = np.zeros(0, dtype=np.int64)
     words = sel.astype(np.uint64) << np.uint64(60)
     escapes = np.zeros(0, dtype=np.uint64)
-    for s in range(len(COUNTS)):
+    first, flat = at * stride + start, lanes.ravel()
+    for s in np.unique(sel).tolist():
         own = np.flatnonzero(sel == s)
-        if not len(own):
-            continue
         if s == 0:
-            escapes = lanes[at[own], start[own]]
+            escapes = flat[first[own]]
             words[own] |= np.arange(len(own), dtype=np.uint64)
             continue
+        from_, packed = first[own], words[own]
         for k in range(COUNTS[s]):
-            words[own] |= lanes[at[own], start[own] + k] << np.uint64(k * BITS[s])
+            packed |= flat[from_ + k] << np.uint64(k * BITS[s])
+        words[own] = packed
     offsets = np.searchsorted(at, np.arange(n_sub + 1)).astype("<u4")
     head = np.array([n, sub_block, n_sub, len(words), len(escapes)], dtype="<u4")
     return MAGIC + head.tobytes() + offsets.tobytes() + words.astype("<u8").tobytes() + escapes.astype("<u8").tobytes()
