@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.operators import catalog
-from tessera.streaming import ops
+from tessera.streaming import ops, segments
 from tessera.plans.common import sig, sql_sig
 
 
@@ -56,6 +56,18 @@ def stream_breaker(spark, sf_dir):
     return spark.read.parquet(out).drop("batch_id").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
+def stream_ema_any_order(spark, sf_dir):
+    """The average in event order: summaries of time segments, folded when read."""
+    out = segments.ema_segments_feed(spark, _events(spark, sf_dir), "event_type", "value")
+    return segments.ema_state(spark, out, "event_type").select("event_type", "events", sig("ema").alias("ema"))
+
+
+def stream_breaker_any_order(spark, sf_dir):
+    ev = _events(spark, sf_dir).withColumn("failed", F.col("event_type") == "error")
+    out = segments.breaker_segments_feed(spark, ev, "user_id", "failed")
+    return segments.breaker_events(spark, out, "user_id").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
 def stream_signals(spark, sf_dir):
     ev = _events(spark, sf_dir)
     handlers = (spark.read.parquet(f"{sf_dir}/events.parquet")
@@ -115,6 +127,7 @@ QUERIES = {
     "stream_sliding_counts": stream_sliding_counts, "stream_coherency": stream_coherency,
     "stream_arrivals": stream_arrivals, "stream_window_counts": stream_window_counts,
     "stream_snapshots": stream_snapshots, "stream_ema": stream_ema,
+    "stream_ema_any_order": stream_ema_any_order, "stream_breaker_any_order": stream_breaker_any_order,
     "stream_breaker": stream_breaker, "stream_signals": stream_signals,
 }
 
@@ -132,6 +145,8 @@ ORACLE = {
     "stream_snapshots": f"""SELECT window_start, event_type, n, {sql_sig('total')} AS total FROM (
         SELECT time_bucket(INTERVAL 5 SECOND, ts) AS window_start, event_type, count(*) AS n, sum(value) AS total
         FROM events GROUP BY ALL)""",
+    "stream_ema_any_order": __import__("tessera.plans.state_q", fromlist=["ORACLE"]).ORACLE["latency_ema"],
+    "stream_breaker_any_order": __import__("tessera.plans.state_q", fromlist=["ORACLE"]).ORACLE["breaker_states"],
     "stream_ema": __import__("tessera.plans.state_q", fromlist=["ORACLE"]).ORACLE["latency_ema"],
     "stream_breaker": __import__("tessera.plans.state_q", fromlist=["ORACLE"]).ORACLE["breaker_states"],
     "stream_signals": __import__("tessera.plans.catalog_q", fromlist=["ORACLE"]).ORACLE["signal_fanout"],
