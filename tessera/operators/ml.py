@@ -403,47 +403,76 @@ def f_sf(f: float, df1: int, df2: int) -> float:
 
 
 
+def lagged(series: DataFrame, group_col: str, t_col: str, value_col: str, max_lag: int) -> DataFrame:
+    """(g, t, lags): values of the steps t, t-1, .. t-``max_lag`` of every series on its calendar (days for
+    dates, whole numbers otherwise), standardised per series; only steps at which all of them are known.
+    Values of one step are added; NULL and NaN values and missing steps are unknown."""
+    kind = dict(series.dtypes)[t_col]
+    step = F.unix_date(F.col(t_col)) if kind == "date" else F.col(t_col).cast("long")
+    v = F.col(value_col).cast("double")
+    s = (series.select(F.col(group_col).alias("g"), step.alias("t"), v.alias("v"))
+         .where(F.col("t").isNotNull() & F.col("v").isNotNull() & ~F.isnan("v"))
+         .groupBy("g", "t").agg(F.sum("v").alias("v")))
+    scale = s.groupBy(F.col("g").alias("_g")).agg(F.avg("v").alias("_m"), F.stddev_pop("v").alias("_s"))
+    s = s.join(scale, F.col("g").eqNullSafe(F.col("_g"))).select(
+        "g", "t", ((F.col("v") - F.col("_m")) / F.when(F.col("_s") > 0, F.col("_s")).otherwise(F.lit(1.0))).alias("v"))
+    # every value reaches the steps it is a lag of; no order, so a long series is spread
+    shifted = s.select("g", F.explode(F.sequence(F.lit(0), F.lit(max_lag))).alias("k"), "t", "v").withColumn(
+        "t", F.col("t") + F.col("k"))
+    full = shifted.groupBy("g", "t").agg(F.sort_array(F.collect_list(F.struct("k", "v"))).alias("kv"))  # max_lag + 1 at most
+    return full.where(F.size("kv") == max_lag + 1).select("g", "t", F.transform("kv", lambda x: x["v"]).alias("lags"))
+
+
 def granger(series: DataFrame, group_col: str, t_col: str, value_col: str, max_lag: int = 4,
-            max_series: int = 200, alpha: float = GRANGER_ALPHA) -> DataFrame:
+            alpha: float = GRANGER_ALPHA) -> DataFrame:
     """M7: Granger F-test for every ordered pair (x -> y) of series.
 
     Restricted OLS: y on its own lags 1..L; full: plus x's lags 1..L.
     F = ((RSS_r - RSS_f) / L) / (RSS_f / (n - 2L - 1)), p-value from the
-    F(L, n - 2L - 1) distribution, significant below ``alpha``. Series are joined
-    into pairs on the time index (one row per pair and time step, bounded by
-    the series length), and each pair is fitted in one pandas group.
+    F(L, n - 2L - 1) distribution, significant below ``alpha``. Lags are taken on the
+    calendar of each series (``lagged``); a pair uses the steps at which both have all
+    their lags. The sums of products of the 2L + 2 variables are one Spark aggregate per
+    pair, so no pair's rows come together; the normal equations are solved from
+    those sums. F does not depend on the scale of the series. NULL is a series
+    like any other; a pair with too few steps, or without any spread, has NaN, one
+    without a common step no row; when x's lags leave no error at all, F is infinite. The result has one row per ordered pair, and
+    the join one per pair and step.
     """
-    s = series.select(F.col(group_col).alias("g"), F.col(t_col).alias("t"), F.col(value_col).cast("double").alias("v"))
-    # every ordered pair is tested, so the set of series must be small
-    n_series = s.select("g").distinct().limit(max_series + 1).count()
-    if n_series > max_series:
-        raise ValueError(f"{n_series} series: pairwise Granger tests are limited to {max_series}")
-    x = s.select(F.col("g").alias("x"), "t", F.col("v").alias("xv"))
-    y = s.select(F.col("g").alias("y"), "t", F.col("v").alias("yv"))
-    pairs = x.join(y, "t").filter(F.col("x") != F.col("y"))
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t")
-        yv, xv = pdf["yv"].to_numpy(), pdf["xv"].to_numpy()
-        n = len(yv) - max_lag
-        res = {"x": pdf["x"].iloc[0], "y": pdf["y"].iloc[0], "n": int(max(n, 0)),
-               "f_stat": float("nan"), "df1": max_lag, "df2": int(n - 2 * max_lag - 1)}
-        if n - 2 * max_lag - 1 > 0:
-            Y = yv[max_lag:]
-            ylags = np.column_stack([yv[max_lag - k:len(yv) - k] for k in range(1, max_lag + 1)])
-            xlags = np.column_stack([xv[max_lag - k:len(xv) - k] for k in range(1, max_lag + 1)])
-            Xr = np.column_stack([np.ones(n), ylags])
-            Xf = np.column_stack([Xr, xlags])
-            rss_r = float(np.sum((Y - Xr @ np.linalg.lstsq(Xr, Y, rcond=None)[0]) ** 2))
-            rss_f = float(np.sum((Y - Xf @ np.linalg.lstsq(Xf, Y, rcond=None)[0]) ** 2))
-            if rss_f > 0:
-                res["f_stat"] = ((rss_r - rss_f) / max_lag) / (rss_f / res["df2"])
-        res["p_value"] = f_sf(res["f_stat"], res["df1"], res["df2"]) if res["df2"] > 0 else float("nan")
-        res["significant"] = bool(res["p_value"] < alpha) if res["p_value"] == res["p_value"] else False
-        return pd.DataFrame([res])
-
-    schema = ("x string, y string, n long, f_stat double, df1 long, df2 long, p_value double, "
-              "significant boolean")
-    return pairs.groupBy("x", "y").applyInPandas(fit, schema)
-
-
+    s = lagged(series, group_col, t_col, value_col, max_lag)
+    x = s.select(F.col("g").alias("x"), "t", F.slice("lags", 2, max_lag).alias("xl"))
+    y = s.select(F.col("g").alias("y"), "t", "lags")
+    one = F.array(F.lit(1.0))
+    pairs = x.join(y, "t").where(~F.col("x").eqNullSafe(F.col("y"))).select(
+        "x", "y", F.concat(one, F.slice("lags", 2, max_lag), F.col("xl"), F.slice("lags", 1, 1)).alias("z"))
+    width = 2 * max_lag + 2
+    sums = [F.sum(F.get("z", F.lit(i)) * F.get("z", F.lit(j))) for i in range(width) for j in range(i, width)]
+    grams = pairs.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"), F.array(*sums).alias("sums"))
+
+    @F.pandas_udf("struct<rss_r:double,rss_f:double>")
+    def residuals(sums: pd.Series) -> pd.DataFrame:
+        out = []
+        for flat in sums:
+            gram = np.zeros((width, width))
+            gram[np.triu_indices(width)] = flat
+            gram = gram + np.triu(gram, 1).T
+            def rss(k):
+                b = gram[:k, -1]
+                return float(gram[-1, -1] - b @ np.linalg.pinv(gram[:k, :k], rcond=1e-12, hermitian=True) @ b)
+            out.append((max(rss(max_lag + 1), 0.0), max(rss(width - 1), 0.0)))
+        return pd.DataFrame(out, columns=["rss_r", "rss_f"])
+
+    @F.pandas_udf("double")
+    def test(f: pd.Series, df1: pd.Series, df2: pd.Series) -> pd.Series:
+        return pd.Series([(0.0 if a == math.inf else f_sf(a, int(b), int(c))) if a == a and c > 0 else None for a, b, c in zip(f, df1, df2)], dtype="float64")
+
+    fitted = grams.withColumn("r", residuals("sums")).withColumn("df2", F.col("n") - (2 * max_lag + 1))
+    rss_r, rss_f, least = F.col("r.rss_r"), F.col("r.rss_f"), F.lit(1e-12) * F.col("n")  # of standardised values
+    f = (F.when(F.col("df2") <= 0, F.lit(None))
+         .when(rss_f > least, F.greatest((rss_r - rss_f) / F.lit(max_lag), F.lit(0.0)) / (rss_f / F.col("df2")))
+         .when(rss_r > least, F.lit(float("inf"))))
+    nan = F.lit(float("nan"))
+    return (fitted.withColumn("f_stat", f).withColumn("df1", F.lit(max_lag).cast("long"))
+            .withColumn("p_value", test("f_stat", "df1", "df2"))
+            .select("x", "y", "n", F.coalesce("f_stat", nan).alias("f_stat"), "df1", "df2",
+                    F.coalesce("p_value", nan).alias("p_value"),
+                    F.coalesce(F.col("p_value") < alpha, F.lit(False)).alias("significant")))

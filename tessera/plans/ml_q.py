@@ -85,8 +85,34 @@ def granger_lag1(spark, sf_dir):
     return g.select("x", "y", "n", sig("f_stat", 8).alias("f_stat"), "df1", "df2")
 
 
+def granger_lag4(spark, sf_dir):
+    """The statistics of ``granger``; SQL takes them from a chain of orthogonal variables."""
+    return granger(spark, sf_dir).select("x", "y", "n", sig("f_stat", 6).alias("f_stat"), "df1", "df2")
+
+
+def _granger_sql(lags: int) -> str:
+    """Gram-Schmidt in SQL: v0 is y, then y's lags, then x's; every step takes one variable out of the later ones."""
+    names = [f"y{k}" for k in range(1, lags + 1)] + [f"x{k}" for k in range(1, lags + 1)]
+    lag = "".join(f" JOIN d {v} ON {v}.g = p.{v[0]} AND {v}.day = p.day - {v[1:]}" for v in names)
+    ctes = [f"""WITH d AS (SELECT event_type AS g, CAST(ts AS DATE) AS day, sum(value) AS v FROM events GROUP BY ALL),
+p AS (SELECT a.g AS x, b.g AS y, b.day, b.v FROM d a JOIN d b ON a.day = b.day AND a.g <> b.g),
+z AS (SELECT p.x, p.y, p.day, p.v AS v0, {', '.join(f'{v}.v AS {v}' for v in names)} FROM p{lag}),
+o0 AS (SELECT x, y, day, {', '.join(f'{v} - avg({v}) OVER w AS {v}' for v in ['v0', *names])} FROM z
+  WINDOW w AS (PARTITION BY x, y))"""]
+    left = list(names)
+    for i, v in enumerate(names):
+        left = [u for u in left if u != v]
+        out = ", ".join(f"{u} - {v} * (sum({u} * {v}) OVER w) / (sum({v} * {v}) OVER w) AS {u}" for u in ["v0", *left])
+        ctes.append(f"o{i + 1} AS (SELECT x, y, day, {out} FROM o{i} WINDOW w AS (PARTITION BY x, y))")
+    return ",\n".join(ctes) + f""",
+r AS (SELECT x, y, count(*) AS n, sum(v0 * v0) AS rss_r FROM o{lags} GROUP BY x, y),
+f AS (SELECT x, y, sum(v0 * v0) AS rss_f FROM o{2 * lags} GROUP BY x, y)
+SELECT r.x, r.y, n, {sql_sig(f'((rss_r - rss_f) / {lags}) / (rss_f / (n - {2 * lags + 1}))', 6)} AS f_stat,
+  CAST({lags} AS BIGINT) AS df1, CAST(n - {2 * lags + 1} AS BIGINT) AS df2 FROM r JOIN f ON r.x = f.x AND r.y = f.y"""
+
+
 QUERIES = {
-    "granger_lag1": granger_lag1,
+    "granger_lag1": granger_lag1, "granger_lag4": granger_lag4,
     "sample_hash": sample_hash, "causes_ranked": causes_ranked, "ensemble_train": ensemble_train,
     "rf_importance": rf_importance, "conformal": conformal, "granger": granger,
 }
@@ -102,6 +128,7 @@ r AS (SELECT *, n * (vy - b1 * b1 / v1) AS rss_r,
 ORACLE = {
     "granger_lag1": _GRANGER1 + f"""SELECT x, y, n, {sql_sig('(rss_r - rss_f) / (rss_f / (n - 3))', 8)} AS f_stat,
         CAST(1 AS BIGINT) AS df1, CAST(n - 3 AS BIGINT) AS df2 FROM r""",
+    "granger_lag4": _granger_sql(4),
     "sample_hash": """SELECT * FROM lineitem ORDER BY
         CAST('0x' || substr(md5('42|' || CAST(l_orderkey AS VARCHAR) || '|' || CAST(l_linenumber AS VARCHAR) || '|'
           || CAST(l_partkey AS VARCHAR)), 1, 15) AS BIGINT), l_orderkey, l_linenumber, l_partkey LIMIT 5000""",

@@ -12,8 +12,8 @@ a restarted driver or a lost executor resumes from the last committed batch.
   mode: every batch writes the windows it changed; late rows behind the
   watermark are dropped (ST9, documented per query).
 * ST3 EMA, ST4 breaker: ``foreachBatch`` with the chunked batch operators and a
-  state table per batch, so the Arrow batch size does not matter. A key's rows of
-  one day are one window task, whatever their number.
+  state table per batch, so the Arrow batch size does not matter; chunks have a
+  bounded number of rows. ``segments`` holds their forms in event order.
 * ST6 replica states: ``foreachBatch`` with the last events of every copy, merged
   with those of the batches before.
 * ST5 signal routing: stream-static join with the (small) handler table.
@@ -23,10 +23,8 @@ from __future__ import annotations
 
 import uuid
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 from tessera.session import checkpoint_dir
 
@@ -138,8 +136,9 @@ def ema_feed(spark: SparkSession, stream: DataFrame, key: str, value: str, alpha
     """ST3: EMA per key after every micro-batch; give both folders to resume.
 
     A batch of m events moves a key from ``ema`` to (1-a)^m * ema + the batch's
-    own EMA from 0 (chunked by key and day: a key's day is one task). Events count in
-    (ts, tie) order inside a batch and in arrival order across batches. Every
+    own EMA from 0 (in chunks of bounded rows). Events count in (ts, tie) order
+    inside a batch and in arrival order across batches; ``segments.ema_segments_feed``
+    keeps event order across batches too. Every
     batch writes the state of all keys to its own ``batch_id=`` folder with
     overwrite and reads its predecessor's only, so a replay gives the same rows.
     A NULL value adds nothing but ages the others; a NULL key is a key.
@@ -183,8 +182,9 @@ def breaker_feed(spark: SparkSession, stream: DataFrame, key: str, failed_col: s
     folders to resume.
 
     Every micro-batch runs the chunked batch operator on from the state table of
-    its predecessor, so the Arrow batch size does not matter; a key's rows of one day
-    are one window task. Events count in (ts, tie) order inside a batch and in arrival order across batches.
+    its predecessor, in chunks of bounded rows. Events count in (ts, tie) order inside a
+    batch and in arrival order across batches (``segments.breaker_segments_feed`` keeps
+    event order across batches too).
     Rows and states of a batch go to folders of their own with overwrite, so a
     replay gives the same rows. A NULL key is a key.
     """
@@ -300,62 +300,6 @@ def newest_copies(spark: SparkSession, path: str, block: str = "block", source:
     return state.copy_states(facts.filter(F.col("batch_id") == last).drop("batch_id"), block, source)
 
 
-def coherency_stream(stream: DataFrame, block: str = "block", source: str = "source",
-                     action: str = "action", ts: str = "ts", tie: str = "event_id") -> DataFrame:
-    """ST6: replica state machine per logical block kept in state (one small
-    JSON record per block: source -> [state, version, last_ts]). Right only while a
-    block's rows of a micro-batch fit one Arrow batch or arrive in order: the query
-    uses ``coherency_feed``, which has no such limit.
-
-    Same rules as the batch ``state.coherency_state``: register -> EXCLUSIVE
-    v1; read turns EXCLUSIVE into SHARED (misses change nothing); write ->
-    MODIFIED and other copies INVALID; update -> MODIFIED, version + 1, other
-    copies INVALID; sync -> SHARED. After each micro-batch the block's copies
-    are emitted with ``events_seen`` (the block's running event count, which
-    only grows); the row with the largest ``events_seen`` per copy is its
-    current state.
-    """
-    import json
-
-    out_schema = (f"{block} string, {source} string, state string, version long, last_ts timestamp, "
-                  "invalidated long, events_seen long")
-    state_schema = "copies string, seen long"
-
-    def fn(k, pdfs, st):
-        copies, seen = (json.loads(st.get[0]), st.get[1]) if st.exists else ({}, 0)
-        inval, n = 0, 0
-        for pdf in pdfs:
-            pdf = pdf.sort_values([ts, tie], kind="mergesort")
-            for src, act, t in zip(pdf[source].tolist(), pdf[action].tolist(), pdf[ts].tolist()):
-                n += 1
-                cur = copies.get(src)
-                iso = pd.Timestamp(t).isoformat()
-                if act == "read":
-                    if cur is not None and cur[0] == "EXCLUSIVE":
-                        cur[0] = "SHARED"
-                    continue
-                if act == "register":
-                    copies[src] = ["EXCLUSIVE", 1, iso]
-                elif act == "sync":
-                    copies[src] = ["SHARED", cur[1] if cur else 1, iso]
-                else:  # write / update
-                    ver = (cur[1] if cur else 1) + (1 if act == "update" else 0)
-                    copies[src] = ["MODIFIED", ver, iso]
-                    for other, c in copies.items():
-                        if other != src and c[0] != "INVALID":
-                            c[0] = "INVALID"
-                            inval += 1
-        st.update((json.dumps(copies), seen + n))
-        rows = [(k[0], s, c[0], int(c[1]), pd.Timestamp(c[2]), inval, seen + n)
-                for s, c in sorted(copies.items())]
-        yield pd.DataFrame(rows, columns=[block, source, "state", "version", "last_ts", "invalidated",
-                                          "events_seen"])
-
-    return (stream.select(block, source, action, ts, tie)
-                  .filter(F.col(block).isNotNull() & F.col(source).isNotNull()).groupBy(block)
-                  .applyInPandasWithState(fn, out_schema, state_schema, "append", GroupStateTimeout.NoTimeout))
-
-
 # ---------------------------------------------------------------- ST7 (reconcile)
 def reconcile_feed(spark: SparkSession, changes: DataFrame, master: DataFrame, key: str,
                    compare_cols: list[str], every: str | None = None) -> str:

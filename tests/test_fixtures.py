@@ -270,3 +270,52 @@ def test_scale_conf_sizes_partitions():
     assert big["spark.sql.adaptive.skewJoin.enabled"] == "true"
     small = scale_conf(10 * 2 ** 20, 8)
     assert int(small["spark.sql.shuffle.partitions"]) == 16  # at least 2 per core
+
+
+def plain_granger(series, max_lag):
+    """Least squares over the steps at which y and x have all their lags; values of a step are added."""
+    import numpy as np
+    val = {}
+    for g, t, v in series:
+        if t is not None and v is not None and v == v:
+            val.setdefault(g, {}).setdefault(t, 0.0)
+            val[g][t] += v
+    out = {}
+    for x in val:
+        for y in val:
+            if x == y:
+                continue
+            steps = [t for t in val[y] if all(t - k in val[y] and t - k in val[x] for k in range(max_lag + 1))]
+            if not steps:
+                continue
+            target = np.array([val[y][t] for t in steps])
+            own = np.array([[1.0] + [val[y][t - k] for k in range(1, max_lag + 1)] for t in steps])
+            full = np.array([[*o, *(val[x][t - k] for k in range(1, max_lag + 1))] for o, t in zip(own, steps)])
+            rss = [float(((target - m @ np.linalg.lstsq(m, target, rcond=None)[0]) ** 2).sum()) for m in (own, full)]
+            n, df2 = len(steps), len(steps) - 2 * max_lag - 1
+            out[x, y] = (n, ((rss[0] - rss[1]) / max_lag) / (rss[1] / df2) if df2 > 0 and rss[1] > 1e-9 else None)
+    return out
+
+
+@pytest.mark.parametrize("max_lag", [1, 4])
+def test_granger_equals_least_squares_with_gaps_and_nulls(spark, max_lag):
+    import random
+
+    from tessera.operators import ml
+    rnd = random.Random(6)
+    rows = [(g, t, rnd.gauss(1e6 if g == "big" else 0, 1)) for g in ("a", "big", "c", None) for t in range(90) if rnd.random() > 0.05]
+    rows += [("a", 17, None), ("c", 30, float("nan")), ("c", 31, 0.5), ("flat", 1, 2.0), ("short", 500, 1.0), ("a", None, 3.0)]
+    rows += [("flat", t, 2.0) for t in range(2, 60)]
+    got = {(r.x, r.y): r for r in ml.granger(spark.createDataFrame(rows, "g string, t long, v double"), "g", "t", "v", max_lag).collect()}
+    want = plain_granger(rows, max_lag)
+    assert got.keys() == want.keys() and len(got) >= 12
+    for pair, (n, f) in want.items():
+        assert got[pair].n == n
+        if "flat" in pair:
+            continue
+        if f is None:
+            assert got[pair].f_stat != got[pair].f_stat
+        else:
+            assert got[pair].f_stat == pytest.approx(f, rel=1e-6, abs=1e-9)
+            assert got[pair].p_value == pytest.approx(ml.f_sf(f, max_lag, n - 2 * max_lag - 1), rel=1e-5, abs=1e-12)
+    assert all(got[p].f_stat != got[p].f_stat for p in got if p[1] == "flat")

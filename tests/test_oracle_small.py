@@ -82,7 +82,7 @@ def test_entry(spark):
 
 def test_only_model_queries_lack_an_oracle():
     rows_only = set(QUERIES) - set(ORACLE)
-    assert rows_only == {"causes_ranked", "conformal", "ensemble_train", "granger", "rf_importance"}
+    assert rows_only == {"causes_ranked", "conformal", "ensemble_train", "granger", "rf_importance"}, rows_only
     assert set(ORACLE) <= set(QUERIES)
 
 

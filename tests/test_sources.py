@@ -217,11 +217,9 @@ def test_stream_arrivals_and_coherency_across_batches(spark):
     src = stream.select(F.get_json_object("props", "$.k").alias("block"),
                         F.concat(F.lit("site_"), (F.col("user_id") % 3).cast("string")).alias("source"),
                         "ts", "event_id", action.alias("action"))
-    _, out = ops.run_to_parquet(ops.coherency_stream(src), spark, "mb-coh")
-    res = spark.read.parquet(out)
-    assert res.select("events_seen").distinct().count() > 1
-    cur = {(r.block, r.source): (r.s.state, r.s.version) for r in res.groupBy("block", "source").agg(
-        F.max_by(F.struct("state", "version"), "events_seen").alias("s")).collect()}
+    out = ops.coherency_feed(spark, src)
+    assert spark.read.parquet(out).select("batch_id").distinct().count() > 1
+    cur = {(r.block, r.source): (r.state, r.version) for r in ops.newest_copies(spark, out).collect()}
     want_c = {(r.block, r.source): (r.state, r.version)
               for r in state_q.coherency_fold(spark, "/root/testdata/sf0.001").collect()}
     assert cur == want_c
