@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.operators import catalog
-from tessera.streaming import ops, segments
+from tessera.streaming import late, ops, segments
 from tessera.plans.common import sig, sql_sig
 
 
@@ -43,6 +43,13 @@ def stream_snapshots(spark, sf_dir):
         "total", sig("total"))
 
 
+def stream_late_windows(spark, sf_dir):
+    """Daily windows with the rows behind the watermark merged in."""
+    out = late.late_window_feed(spark, _events(spark, sf_dir), "event_type", size="1 day", delay="1 hour", value="value")
+    return late.corrected(spark, out, "event_type", "value").select(
+        F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", sig("total").alias("total"))
+
+
 def stream_ema(spark, sf_dir):
     ev = _events(spark, sf_dir)
     res = spark.read.parquet(ops.ema_feed(spark, ev, "event_type", "value"))
@@ -127,6 +134,7 @@ QUERIES = {
     "stream_sliding_counts": stream_sliding_counts, "stream_coherency": stream_coherency,
     "stream_arrivals": stream_arrivals, "stream_window_counts": stream_window_counts,
     "stream_snapshots": stream_snapshots, "stream_ema": stream_ema,
+    "stream_late_windows": stream_late_windows,
     "stream_ema_any_order": stream_ema_any_order, "stream_breaker_any_order": stream_breaker_any_order,
     "stream_breaker": stream_breaker, "stream_signals": stream_signals,
 }
@@ -145,6 +153,9 @@ ORACLE = {
     "stream_snapshots": f"""SELECT window_start, event_type, n, {sql_sig('total')} AS total FROM (
         SELECT time_bucket(INTERVAL 5 SECOND, ts) AS window_start, event_type, count(*) AS n, sum(value) AS total
         FROM events GROUP BY ALL)""",
+    "stream_late_windows": f"""SELECT window_start, event_type, n, {sql_sig('total')} AS total FROM (
+        SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start, event_type, count(*) AS n, sum(value) AS total
+        FROM events GROUP BY ALL)""",
     "stream_ema_any_order": __import__("tessera.plans.state_q", fromlist=["ORACLE"]).ORACLE["latency_ema"],
     "stream_breaker_any_order": __import__("tessera.plans.state_q", fromlist=["ORACLE"]).ORACLE["breaker_states"],
     "stream_ema": __import__("tessera.plans.state_q", fromlist=["ORACLE"]).ORACLE["latency_ema"],
