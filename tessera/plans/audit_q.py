@@ -9,8 +9,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.operators import audit
+from tessera.operators import audit, merkle
 from tessera.plans.common import table
+from tessera.session import scratch_path
 
 
 def _entries(spark, sf_dir):
@@ -46,6 +47,26 @@ def audit_verify(spark, sf_dir):
     return audit.first_breaks(audit.verify_chain(stored))
 
 
+def audit_merkle(spark, sf_dir):
+    """Merkle roots of the chains of entry types (few long chains)."""
+    e, _ = _entries(spark, sf_dir)
+    path = scratch_path(spark, "merkle")
+    levels = merkle.build_tree(e.withColumn("chain", F.col("event_type")), path)
+    return merkle.roots(spark, path, levels)
+
+
+def audit_merkle_differences(spark, sf_dir):
+    """Entries whose payload was altered (see above), found by descending two trees."""
+    e, ev = _entries(spark, sf_dir)
+    e = e.withColumn("chain", F.col("event_type"))
+    bad = e.join(ev.select(F.col("event_id").alias("_id"), "value"), F.col("entry_id") == F.col("_id")).withColumn(
+        "payload", F.when(F.col("value") > 49.5, F.concat("payload", F.lit("*"))).otherwise(F.col("payload")))
+    a, b = scratch_path(spark, "merkle"), scratch_path(spark, "merkle")
+    found = merkle.differing_leaves(spark, a, b, merkle.build_tree(e, a), merkle.build_tree(bad, b))
+    leaves = spark.read.parquet(f"{a}/level=0").select("chain", "idx", "entry_id")
+    return found.join(leaves, ["chain", "idx"]).select("chain", F.col("idx").alias("place"), "entry_id")
+
+
 def audit_counts(spark, sf_dir):
     e, _ = _entries(spark, sf_dir)
     return audit.event_counts(e)
@@ -60,6 +81,7 @@ def audit_recent(spark, sf_dir):
 QUERIES = {
     "audit_chain": audit_chain, "audit_chain_blocked": audit_chain_blocked,
     "audit_digest": audit_digest, "audit_verify": audit_verify,
+    "audit_merkle": audit_merkle, "audit_merkle_differences": audit_merkle_differences,
     "audit_counts": audit_counts, "audit_recent": audit_recent,
 }
 
@@ -80,7 +102,19 @@ c AS (SELECT chain, entry_id, ts, block, seq,
   FROM c JOIN e ON e.chain = c.chain AND e.block = c.block AND e.seq = c.seq + 1)
 """
 
+_LEAVES = """WITH e AS (SELECT event_type AS chain, event_id AS entry_id, value,
+  CAST(event_id AS VARCHAR) || ':' || event_type AS payload,
+  row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS idx FROM events),
+l0 AS (SELECT chain, idx, sha256('0' || payload) AS h FROM e)"""
+_TREE = _LEAVES + "".join(f""",
+l{k + 1} AS (SELECT chain, idx // 16 AS idx,
+  CASE WHEN count(*) = 1 THEN min(h) ELSE sha256('1' || string_agg(h, '' ORDER BY l{k}.idx)) END AS h
+  FROM l{k} GROUP BY chain, idx // 16)""" for k in range(8))  # 16^8 entries
+
 ORACLE = {
+    "audit_merkle": _TREE + """ SELECT l8.chain, entries, sha256(CAST(entries AS VARCHAR) || ':' || h) AS root
+        FROM l8 JOIN (SELECT chain, count(*) AS entries FROM e GROUP BY chain) c ON l8.chain = c.chain""",
+    "audit_merkle_differences": _LEAVES + " SELECT chain, idx AS place, entry_id FROM e WHERE value > 49.5",
     "audit_chain": _CHAIN + "SELECT chain, entry_id, ts, seq, entry_hash FROM c",
     "audit_chain_blocked": _BLOCKED + "SELECT chain, entry_id, ts, block, seq, entry_hash FROM c",
     "audit_digest": _BLOCKED + """, last AS (SELECT chain, block, arg_max(entry_hash, seq) AS h FROM c GROUP BY ALL)

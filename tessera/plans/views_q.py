@@ -72,6 +72,12 @@ def top10_daily(spark, sf_dir):
     return views.top_titles(lines, ["month", "region"], "title", 10)
 
 
+def top10_per_day(spark, sf_dir):
+    """W8 by day and region (``top10_daily`` ranks months)."""
+    lines = _lines(spark, sf_dir).withColumn("day", F.date_format("l_shipdate", "yyyy-MM-dd"))
+    return views.top_titles(lines, ["day", "region"], "title", 10)
+
+
 def _temporal(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
     od = table(spark, sf_dir, "orders")
@@ -184,7 +190,7 @@ QUERIES = {
     "wide_variance_topk": wide_variance_topk,
     "wide_correlation": wide_correlation,
     "views_long": views_long, "views_wide": views_wide, "views_parse": views_parse,
-    "views_rollup": views_rollup, "top10_daily": top10_daily,
+    "views_rollup": views_rollup, "top10_daily": top10_daily, "top10_per_day": top10_per_day,
     "temporal_violations": temporal_violations, "temporal_mask": temporal_mask,
     "future_zero": future_zero, "star_join": star_join, "lookup_weight": lookup_weight,
     "studio_roi": studio_roi,
@@ -270,6 +276,10 @@ ORACLE = {
         FROM lines GROUP BY ALL)
         SELECT * FROM (SELECT month, region, title, views,
           rank() OVER (PARTITION BY month, region ORDER BY views DESC) AS rank FROM per) WHERE rank <= 10""",
+    "top10_per_day": _LINES + """, per AS (SELECT strftime(l_shipdate, '%Y-%m-%d') AS day, region, title, sum(views) AS views
+        FROM lines GROUP BY ALL)
+        SELECT * FROM (SELECT day, region, title, views,
+          rank() OVER (PARTITION BY day, region ORDER BY views DESC) AS rank FROM per) WHERE rank <= 10""",
     "temporal_violations": _TEMPORAL + """SELECT start_year, count(*) AS checked,
         count(*) FILTER (WHERE year < start_year) AS violations FROM t GROUP BY start_year""",
     "temporal_mask": _TEMPORAL + """SELECT l_orderkey, l_linenumber, start_year, year,
