@@ -74,26 +74,30 @@ def shard_rows(df: DataFrame, key_cols: list[str], size_col: str, n_shards: int,
 
     ``df`` is evaluated twice (histogram, assignment): pass a narrow or written table.
     """
-    for c in ("shard", "slot", "_arc"):
-        if c in df.columns:
+    for c in ("shard", "slot"):
+        if c.lower() in (x.lower() for x in df.columns):
             raise ValueError(f"the input already has a column {c!r}")
     spark = df.sparkSession
+    tail = "_"  # working columns get names that the input has not got
+    while any(x.lower().endswith(tail) and x.lower().startswith(("arc", "row", "base")) for x in df.columns):
+        tail += "_"
+    arc_, row_, base_ = (name + tail for name in ("arc", "row", "base"))
     arc = F.pmod(F.xxhash64(*[F.col(c) for c in key_cols]), F.lit(n_buckets)).cast("int")
-    keyed = df.withColumn("_arc", arc)
+    keyed = df.withColumn(arc_, arc)
     size = F.greatest(F.coalesce(F.col(size_col).cast("long"), F.lit(1)), F.lit(1))
-    hist = keyed.groupBy("_arc").agg(F.count(F.lit(1)).alias("rows"), F.sum(size).alias("load")) \
-        .orderBy("_arc").toPandas()  # at most n_buckets rows
-    arcs, rows = hist["_arc"].to_numpy(dtype=np.int64), hist["rows"].to_numpy(dtype=np.int64)
+    hist = keyed.groupBy(arc_).agg(F.count(F.lit(1)).alias("rows"), F.sum(size).alias("load")) \
+        .orderBy(arc_).toPandas()  # at most n_buckets rows
+    arcs, rows = hist[arc_].to_numpy(dtype=np.int64), hist["rows"].to_numpy(dtype=np.int64)
     shard = place(arcs, hist["load"].to_numpy(dtype=np.float64), n_shards, n_buckets, virtual_nodes, slack)
     base = np.zeros(len(arcs), dtype=np.int64)
     for s in range(n_shards):
         own = shard == s
         base[own] = np.cumsum(rows[own]) - rows[own]
     table = spark.createDataFrame([(int(a), int(s), int(b)) for a, s, b in zip(arcs, shard, base)],
-                                  "_arc int, shard int, _base long")
-    in_arc = Window.partitionBy("_arc").orderBy(*[F.col(c).asc_nulls_first() for c in (order_cols or key_cols)])
+                                  f"{arc_} int, shard int, {base_} long")
+    in_arc = Window.partitionBy(arc_).orderBy(*[F.col(c).asc_nulls_first() for c in (order_cols or key_cols)])
     # bounded: at most n_buckets rows of 16 bytes
-    return (keyed.withColumn("_row", F.row_number().over(in_arc))
-            .join(F.broadcast(table), "_arc")
-            .withColumn("slot", F.col("_base") + F.col("_row") - 1)
-            .drop("_arc", "_row", "_base"))
+    return (keyed.withColumn(row_, F.row_number().over(in_arc))
+            .join(F.broadcast(table), arc_)
+            .withColumn("slot", F.col(base_) + F.col(row_) - 1)
+            .drop(arc_, row_, base_))

@@ -333,6 +333,44 @@ def test_sharding(found, docs, none):
     assert size[a != b].sum() / size.sum() < 0.35
 
 
+def plain_ring(load: dict, n_shards: int, n_buckets: int, nodes: int, slack: float) -> dict:
+    """Shard of every arc: heaviest arcs first, clockwise past shards without room, more slack when none has any."""
+    points = sorted((int(hashlib.sha256(f"{s}:{v}".encode()).hexdigest()[:16], 16) / 2 ** 64, s)
+                    for s in range(n_shards) for v in range(nodes))
+    mean = sum(load.values()) / n_shards
+    while True:
+        room, out = [mean * (1 + slack)] * n_shards, {}
+        for a in sorted(load, key=lambda a: (-load[a], a)):
+            turn = [s for p, s in points if p >= (a + 0.5) / n_buckets] + [s for _, s in points]
+            s = next((s for s in turn if room[s] >= load[a]), None)
+            if s is None:
+                break
+            out[a], room[s] = s, room[s] - load[a]
+        if len(out) == len(load):
+            return out
+        slack *= 2
+
+
+def test_ring_walk_equals_a_plain_one(spark):
+    r = random.Random(12)
+    rows = [(i, r.choice([1, 5, 90, 700]), i * 2, i * 3, i * 5) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, size long, _row long, _base long, _arc long")
+    got = shard.shard_rows(df, ["doc_id"], "size", 5, n_buckets=64, virtual_nodes=8, slack=0.02)
+    assert got.columns == [*df.columns, "shard", "slot"]
+    rows = got.withColumn("arc", F.pmod(F.xxhash64("doc_id"), F.lit(64))).collect()
+    load = collections.Counter()
+    for x in rows:
+        load[x.arc] += x.size
+        assert (x._row, x._base, x._arc) == (x.doc_id * 2, x.doc_id * 3, x.doc_id * 5)
+    want = plain_ring(load, 5, 64, 8, 0.02)
+    assert all(x.shard == want[x.arc] for x in rows)
+    odd = df.withColumnRenamed("_row", "row_").withColumnRenamed("_arc", "Arc__")
+    assert shard.shard_rows(odd, ["doc_id"], "size", 5).columns == [*odd.columns, "shard", "slot"]
+    for c in ("shard", "slot"):
+        with pytest.raises(ValueError, match=c):
+            shard.shard_rows(df.withColumn(c, F.lit(1)), ["doc_id"], "size", 5)
+
+
 def test_packing(found, con, docs, none):
     tok = Tokenizer.from_file(WORD)
     r = found("op10_packing")
