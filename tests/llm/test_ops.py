@@ -81,6 +81,8 @@ def test_sql_twins(found, con, name):
     a, b = found(name), con.execute(queries.ORACLE[name]).df()
     cols = sorted(a.columns)
     assert cols == sorted(b.columns)
+    whole = [c for c in cols if str(b[c].dtype) == "Int64"]  # Spark's integers with NULLs arrive as doubles
+    a = a.astype(dict.fromkeys(whole, "Int64"))
     assert sorted(map(repr, a[cols].values.tolist())) == sorted(map(repr, b[cols].values.tolist()))
 
 
