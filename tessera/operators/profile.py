@@ -12,8 +12,9 @@ Scale notes
 * Correlation never materialises row pairs. Each pair needs six moment sums
   over the rows where both values exist. For few features they are built-in
   aggregates; for many features each task builds its partial moment matrices
-  with NumPy (``mapInPandas``) and a ``groupBy(i, j).sum`` combines them: the
-  shuffle is k*(k+1)/2 rows per task, independent of the row count.
+  with NumPy (``mapInPandas``), one row per tile of 64 x 64 pairs, and a tree of
+  fixed fan-in merges the tiles: 630 rows per task at 2238 columns, and no task
+  reads more than 32 tiles at once, whatever the number of tasks.
 * One pass over the rows: the built-in path uses Spark's stable
   ``var_pop`` / ``covar_pop``; the NumPy path centres each task on its own
   first batch and merges per-task moments with the parallel update, so no
@@ -26,6 +27,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType, BooleanType
@@ -148,6 +150,9 @@ def _pairs(features):
 
 
 _MOMENT_SCHEMA = "i int, j int, n long, mx double, my double, m2x double, m2y double, cxy double"
+_TILE_SCHEMA = "a int, b int, part int, m array<double>"
+TILE = 64
+FAN_IN = 32
 
 
 def _moments_builtin(df, features, mode):
@@ -177,28 +182,37 @@ def _moments_builtin(df, features, mode):
     return row.select(F.explode(F.array(*structs)).alias("m")).select("m.*")
 
 
-def _moments_gram(df, features, mode):
-    """Per pair (i < j): n, means, centred second moments and co-moment.
+def _merged_moments(parts: np.ndarray) -> np.ndarray:
+    """Parallel update (Chan et al.) of moments (parts, 6, rows, columns): n, means, centred sums."""
+    n, mx, my = parts[:, 0], parts[:, 1], parts[:, 2]
+    total = n.sum(axis=0)
+    some = np.maximum(total, 1.0)
+    gx, gy = (n * mx).sum(axis=0) / some, (n * my).sum(axis=0) / some
+    dx, dy = mx - gx, my - gy
+    return np.stack([total, gx, gy, (parts[:, 3] + n * dx * dx).sum(axis=0),
+                     (parts[:, 4] + n * dy * dy).sum(axis=0), (parts[:, 5] + n * dx * dy).sum(axis=0)])
+
+
+def moment_tiles(df: DataFrame, features: list[str], mode: str, tile: int = TILE) -> DataFrame:
+    """(a, b, part, m): moments of every task, one row per tile of ``tile`` x ``tile`` pairs (a <= b).
 
     Each task centres its values on its own first batch's column means (no
-    separate pass for global means), builds the shifted moment matrices with
-    NumPy and emits one row per pair. Spark then merges the per-task moments
-    with the parallel update (Chan et al.): two small aggregates over
-    k*(k-1)/2 rows per task, whatever the row count.
+    separate pass for global means) and builds the shifted moment matrices with
+    NumPy; ``m`` holds n, both means, both centred sums and the co-moment of a tile.
     """
-    k = len(features)
-    iu, ju = np.triu_indices(k, 1)
-    names = list(features)
+    k, names = len(features), list(features)
 
     def partial(batches):
         acc, shift = None, None
         for pdf in batches:
             x = pdf[names].to_numpy(dtype="float64", na_value=np.nan)
+            if not len(x):
+                continue
             if mode == "zero":
                 x = np.where(np.isnan(x), 0.0, x)
             if shift is None:
-                with np.errstate(all="ignore"):
-                    shift = np.nan_to_num(np.nanmean(x, axis=0)) if len(x) else np.zeros(k)
+                seen = (~np.isnan(x)).sum(axis=0)
+                shift = np.nan_to_num(np.nansum(x, axis=0) / np.maximum(seen, 1))
             x = x - shift
             m = ~np.isnan(x)
             x0 = np.where(m, x, 0.0)
@@ -208,42 +222,70 @@ def _moments_gram(df, features, mode):
         if acc is None:
             return
         nn, s_m, ss_m, sab = acc
-        n = nn[iu, ju]
-        sx, sy = s_m[iu, ju], s_m[ju, iu]          # sums over rows where both exist
-        sxx, syy, sxy = ss_m[iu, ju], ss_m[ju, iu], sab[iu, ju]
-        with np.errstate(all="ignore"):
-            mx, my = np.where(n > 0, sx / n, 0.0), np.where(n > 0, sy / n, 0.0)
-            out = pd.DataFrame({
-                "i": iu.astype("int32"), "j": ju.astype("int32"), "n": n.astype("int64"),
-                "mx": mx + shift[iu], "my": my + shift[ju],
-                "m2x": np.maximum(sxx - n * mx * mx, 0.0), "m2y": np.maximum(syy - n * my * my, 0.0),
-                "cxy": sxy - n * mx * my})
-        yield out[out["n"] > 0]
+        part_id = TaskContext.get().partitionId()
+        for a in range(-(-k // tile)):
+            rows = slice(a * tile, min(k, (a + 1) * tile))
+            out = []
+            for b in range(a, -(-k // tile)):
+                cols = slice(b * tile, min(k, (b + 1) * tile))
+                n = nn[rows, cols]
+                some = np.maximum(n, 1.0)
+                mx, my = s_m[rows, cols] / some, s_m[cols, rows].T / some  # over rows where both exist
+                m = np.stack([n, mx + shift[rows, None], my + shift[None, cols],
+                              np.maximum(ss_m[rows, cols] - n * mx * mx, 0.0),
+                              np.maximum(ss_m[cols, rows].T - n * my * my, 0.0), sab[rows, cols] - n * mx * my])
+                out.append((a, b, part_id, m.ravel()))
+            yield pd.DataFrame(out, columns=["a", "b", "part", "m"])
 
     cast = df.select(*[F.col(c).cast("double").alias(c) for c in names])
-    # the partials (k*(k-1)/2 rows per task) feed two aggregates below; they
-    # are written once to the shared checkpoint folder so the data pass runs
-    # exactly once
+    return cast.mapInPandas(partial, _TILE_SCHEMA)
+
+
+def _moments_gram(df, features, mode, tile: int = TILE, fan_in: int = FAN_IN):
+    """Per pair (i < j): n, means, centred second moments and co-moment.
+
+    Tasks write one row per tile of pairs (``moment_tiles``); a tree merges ``fan_in``
+    rows of a tile at a time, so no task reads more than ``fan_in`` tiles whatever
+    the number of tasks, and the shuffles do not depend on the row count.
+    """
     from tessera.session import checkpoint_dir
 
-    checkpoint_dir(df.sparkSession)
-    parts = cast.mapInPandas(partial, _MOMENT_SCHEMA).checkpoint(eager=True)
-    # parallel merge of per-task moments: global means first, then centred sums
-    g = parts.groupBy("i", "j").agg(F.sum("n").alias("g_n"),
-                                    (F.sum(F.col("n") * F.col("mx")) / F.sum("n")).alias("g_mx"),
-                                    (F.sum(F.col("n") * F.col("my")) / F.sum("n")).alias("g_my"))
-    j = parts.join(g, ["i", "j"])
-    dx, dy = F.col("mx") - F.col("g_mx"), F.col("my") - F.col("g_my")
-    merged = j.groupBy("i", "j").agg(
-        F.first("g_n").alias("n"), F.first("g_mx").alias("mx"), F.first("g_my").alias("my"),
-        F.sum(F.col("m2x") + F.col("n") * dx * dx).alias("m2x"),
-        F.sum(F.col("m2y") + F.col("n") * dy * dy).alias("m2y"),
-        F.sum(F.col("cxy") + F.col("n") * dx * dy).alias("cxy"))
-    # pairs that never co-occur still get a row (n = 0)
-    all_pairs = df.sparkSession.createDataFrame(
-        [(int(a), int(b)) for a, b in zip(iu, ju)], "i int, j int")
-    return all_pairs.join(merged, ["i", "j"], "left").select(
-        "i", "j", F.coalesce("n", F.lit(0)).cast("long").alias("n"), "mx", "my", "m2x", "m2y", "cxy")
+    k = len(features)
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+
+    def shape(a, b):
+        return 6, min(tile, k - a * tile), min(tile, k - b * tile)
+
+    def merge(key, pdf):
+        a, b, group = (int(v) for v in key)
+        parts = np.stack([np.asarray(m, dtype="float64").reshape(shape(a, b)) for m in pdf["m"]])
+        return pd.DataFrame([(a, b, group, _merged_moments(parts).ravel())], columns=["a", "b", "part", "m"])
+
+    # the tiles of the tasks are written once to the shared checkpoint folder, so the data pass runs exactly once
+    tiles = moment_tiles(df, features, mode, tile).checkpoint(eager=True)
+    parts = (tiles.agg(F.max("part")).first()[0] or 0) + 1
+    while parts > 1:
+        tiles = tiles.groupBy("a", "b", F.floor(F.col("part") / fan_in).cast("int").alias("part")) \
+            .applyInPandas(merge, _TILE_SCHEMA)
+        parts = -(-parts // fan_in)
+    # every tile once, also those of an empty table
+    side = -(-k // tile)
+    grid = spark.range(side * side).select((F.col("id") / side).cast("int").alias("a"), (F.col("id") % side).cast("int").alias("b")) \
+        .where("a <= b").join(tiles.select("a", "b", "m"), ["a", "b"], "left")
+
+    def pairs(batches):
+        for pdf in batches:
+            for a, b, m in zip(pdf["a"], pdf["b"], pdf["m"]):
+                m = np.zeros(shape(a, b)) if m is None else np.asarray(m, dtype="float64").reshape(shape(a, b))
+                i, j = np.indices(m.shape[1:])
+                up = (i + a * tile) < (j + b * tile)
+                flat = m[:, up]
+                yield pd.DataFrame({"i": (i[up] + a * tile).astype("int32"), "j": (j[up] + b * tile).astype("int32"),
+                                    "n": flat[0].astype("int64"), "mx": flat[1], "my": flat[2], "m2x": flat[3],
+                                    "m2y": flat[4], "cxy": flat[5]})
+
+    return grid.mapInPandas(pairs, _MOMENT_SCHEMA)
 
 
 def correlation_long(df: DataFrame, features: list[str], mode: str = "pairwise",

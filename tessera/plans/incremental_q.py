@@ -10,8 +10,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.operators import incremental
+from tessera.operators import incremental, keystore
 from tessera.plans.common import table
+from tessera.session import checkpoint_dir, scratch_path
 
 KEY = "o_orderkey"
 
@@ -48,7 +49,20 @@ def processed_state(spark, sf_dir):
         F.element_at("sample_keys", 1).alias("first_key"))
 
 
+def arrivals_keystore(spark, sf_dir):
+    """Arrivals not processed before, by the key store; processed keys come in three batches."""
+    t, a, p = _sets(spark, sf_dir)
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias(KEY), F.year("l_shipdate").alias("y"))
+    checkpoint_dir(spark)
+    store = scratch_path(spark, "processed-keys")
+    for batch, years in enumerate(((0, 1993), (1994, 1995), (1996, 1998))):
+        keys = li.where(F.col("y").between(*years)).select(KEY).distinct()
+        keystore.add(spark, store, keystore.unseen(spark, store, keys, KEY).checkpoint(), KEY, batch)
+    return keystore.unseen(spark, store, a, KEY)
+
+
 QUERIES = {
+    "arrivals_keystore": arrivals_keystore,
     "arrivals_anti": arrivals_anti,
     "reprocess_semi": reprocess_semi,
     "processed_union": processed_union,
@@ -62,6 +76,8 @@ processed AS (SELECT DISTINCT l_orderkey AS o_orderkey FROM lineitem WHERE l_shi
 """
 
 ORACLE = {
+    "arrivals_keystore": _SETS + """SELECT * FROM arrivals a
+        WHERE NOT EXISTS (SELECT 1 FROM processed p WHERE p.o_orderkey = a.o_orderkey)""",
     "arrivals_anti": _SETS + """SELECT * FROM titles t WHERE o_orderkey IN (SELECT o_orderkey FROM arrivals)
         AND NOT EXISTS (SELECT 1 FROM processed p WHERE p.o_orderkey = t.o_orderkey)""",
     "reprocess_semi": _SETS + """SELECT * FROM titles t

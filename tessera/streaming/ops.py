@@ -4,10 +4,10 @@ Every stream reads files with an explicit schema and keeps its checkpoint
 and output under the shared checkpoint folder (``spark.checkpoint.dir``), so
 a restarted driver or a lost executor resumes from the last committed batch.
 
-* ST1 arrivals: ``foreachBatch`` anti-joins each micro-batch's keys against
-  the keys committed by *earlier* batches and writes its new keys to its own
-  ``batch_id=`` folder with overwrite, so a replayed batch rewrites the same
-  result (exactly-once output).
+* ST1 arrivals: ``foreachBatch`` checks each micro-batch's keys against the key
+  store of *earlier* batches (``operators.keystore``: only buckets whose Bloom filter
+  may hold a key are read) and writes its new keys to its own ``batch_id=`` folder
+  with overwrite, so a replayed batch rewrites the same result (exactly-once output).
 * ST2 / ST8 windowed counts: event-time windows with a watermark, update
   mode: every batch writes the windows it changed; late rows behind the
   watermark are dropped (ST9, documented per query).
@@ -26,6 +26,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.operators import keystore
 from tessera.session import checkpoint_dir
 
 EVENTS_SCHEMA = ("event_id long, ts timestamp_ntz, user_id long, event_type string, "
@@ -70,19 +71,23 @@ def arrivals(spark: SparkSession, stream: DataFrame, key: str, ts: str = "ts",
     """ST1: keys never seen before, with the batch that first saw them.
     Returns the key-table folder (partitioned by ``batch_id``). Give both
     folders to resume a stopped run: each key is then new once over all runs.
-    A NULL key is a key like any other."""
+    A NULL key is a key like any other. The key store lies beside the folder
+    (``<state>-keys``)."""
     state = state or scratch(spark, "arrivals")
     ck = checkpoint or scratch(spark, "arrivals-ck")
+    store = f"{state.rstrip('/')}-keys"
 
     def process(batch: DataFrame, batch_id: int):
-        keys = batch.groupBy(key).agg(F.min(ts).alias("first_ts"))
         s = batch.sparkSession
-        new = keys
-        if is_directory(s, state):
-            seen = (s.read.schema(keys.schema.add("batch_id", "long")).parquet(state)
-                    .filter(F.col("batch_id") < batch_id).select(F.col(key).alias("_seen")))
-            new = keys.join(seen, F.col(key).eqNullSafe(F.col("_seen")), "left_anti")
-        new.write.mode("overwrite").parquet(f"{state}/batch_id={batch_id}")
+        checkpoint_dir(s)
+        keys = batch.groupBy(key).agg(F.min(ts).alias("first_ts")).checkpoint()
+        if not keystore.runs(s, store) and is_directory(s, state):  # a folder from before the store
+            old = s.read.schema(keys.schema.add("batch_id", "long")).parquet(state)
+            earlier = old.where(F.col("batch_id") < batch_id).select(key).distinct()
+            keystore.add(s, store, earlier, key, batch_id - 1)
+        out = f"{state}/batch_id={batch_id}"
+        keystore.unseen(s, store, keys, key, before=batch_id).write.mode("overwrite").parquet(out)
+        keystore.add(s, store, s.read.schema(keys.schema).parquet(out), key, batch_id)
 
     q = (stream.writeStream.foreachBatch(process).option("checkpointLocation", ck)
                .trigger(availableNow=True).start())

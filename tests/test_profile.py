@@ -108,3 +108,38 @@ def test_wide_correlation_has_every_view_column(spark):
     assert len({c for p in pairs for c in p}) == 140
     assert ("views_q1_95_africa", "views_q4_01_asia") in pairs or ("views_q4_01_asia", "views_q1_95_africa") in pairs
     assert all(r.r is None or -1 <= r.r <= 1 for r in rows) and sum(r.r is not None for r in rows) > 8000
+
+
+@pytest.mark.parametrize("mode", ["pairwise", "zero_filled"])
+def test_tiles_merged_in_a_tree_equal_numpy(spark, mode):
+    """Tile and fan-in far below the number of columns and tasks; NULLs, a constant and an empty column."""
+    import numpy as np
+
+    k, n = 11, 400
+    x = np.random.default_rng(5).normal(1e6, 3.0, (n, k))
+    x[:, 3], x[:, 7] = 4.0, np.nan
+    x[np.random.default_rng(6).random((n, k)) < 0.2] = np.nan
+    feats = [f"x{i}" for i in range(k)]
+    rows = [tuple(None if np.isnan(v) else float(v) for v in r) for r in x]
+    df = spark.createDataFrame(rows, ", ".join(f"{f} double" for f in feats)).repartition(7)
+    moments = {(r.i, r.j): r for r in profile._moments_gram(
+        df, feats, "zero" if mode == "zero_filled" else "pairwise", tile=4, fan_in=2).collect()}
+    assert set(moments) == {(i, j) for i in range(k) for j in range(i + 1, k)}
+    y = np.nan_to_num(x) if mode == "zero_filled" else x
+    for (i, j), r in moments.items():
+        both = ~np.isnan(y[:, i]) & ~np.isnan(y[:, j])
+        a, b = y[both, i], y[both, j]
+        assert r.n == both.sum()
+        if r.n:
+            assert r.mx == pytest.approx(a.mean()) and r.my == pytest.approx(b.mean())
+            assert r.m2x == pytest.approx(((a - a.mean()) ** 2).sum(), rel=1e-9, abs=1e-3)
+            assert r.cxy == pytest.approx(((a - a.mean()) * (b - b.mean())).sum(), rel=1e-6, abs=1e-3)
+
+
+def test_tasks_write_one_row_per_tile(spark):
+    feats = [f"x{i}" for i in range(130)]
+    df = spark.range(50).select(*[(F.col("id") * (i + 1)).cast("double").alias(f) for i, f in enumerate(feats)]).repartition(5)
+    got = profile.moment_tiles(df, feats, "pairwise").groupBy("part").count().collect()
+    assert len(got) == 5 and {r["count"] for r in got} == {6}  # 3 x 3 tiles, upper half, in place of 8385 pairs
+    empty = profile.correlation_long(df.limit(0), feats[:6], method="gram").collect()
+    assert len(empty) == 15 and all(r.n == 0 and r.r is None for r in empty)
