@@ -73,22 +73,30 @@ def with_file_info(df: DataFrame) -> DataFrame:
 
 
 def read_sources(spark: SparkSession, specs: list[dict], fmt: str = "parquet",
-                 glob: str | None = None) -> DataFrame:
+                 glob: str | None = None, schema: StructType | None = None) -> DataFrame:
     """S4 + U4: master and contributors in one frame.
 
-    ``specs``: ``{"name", "path", "priority"}`` per source (master first). Each
-    is read with ``pathGlobFilter`` when given, tagged with ``source`` and
-    ``priority``, and stacked by column name (missing columns become NULL).
+    ``specs``: ``{"name", "path", "priority"}`` per source (master first), with an own
+    ``"format"`` and ``"glob"`` where they differ. Each is tagged with ``source`` and
+    ``priority`` and stacked by column name (missing columns become NULL). CSV columns
+    take the types of ``schema``, else of the first source that has the column typed, so
+    a CSV contributor equals a Parquet master; a value that does not fit its type fails.
     """
-    out = None
+    out, types = None, {f.name: f.dataType for f in schema} if schema else {}
     for s in specs:
-        r = spark.read.format(fmt)
-        if glob:
-            r = r.option("pathGlobFilter", glob)
-        if fmt == "csv":
+        kind, only = s.get("format", fmt), s.get("glob", glob)
+        r = spark.read.format(kind)
+        if only:
+            r = r.option("pathGlobFilter", only)
+        if kind == "csv":
             r = r.option("header", True)
-        df = r.load(s["path"]).withColumn("source", F.lit(s["name"])) \
-              .withColumn("priority", F.lit(int(s["priority"])))
+        df = r.load(s["path"])
+        if kind == "csv":
+            df = df.select(*[F.col(f"`{c}`").cast(types[c]).alias(c) if c in types else F.col(f"`{c}`")
+                             for c in df.columns])
+        else:
+            types = {f.name: f.dataType for f in df.schema} | types
+        df = df.withColumn("source", F.lit(s["name"])).withColumn("priority", F.lit(int(s["priority"])))
         out = df if out is None else out.unionByName(df, allowMissingColumns=True)
     return out
 

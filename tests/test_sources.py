@@ -4,6 +4,7 @@ import json
 import os
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import incremental
@@ -68,6 +69,30 @@ def test_json_sink_partitioned_and_single(spark):
     assert len(files) == 1
 
 
+def test_csv_contributor_equals_parquet_master(spark):
+    """CSV columns take the master's types; another order, a missing and an own column; bad values fail."""
+    from tessera.operators import catalog
+
+    base = scratch_path(spark, "typed")
+    master = spark.createDataFrame([(1, 1.5, True, "x"), (2, None, False, None)],
+                                   "k long, price double, flag boolean, name string")
+    master.write.parquet(f"{base}/m")
+    master.select("price", "k", "flag", F.lit("own").alias("note")).write.option("header", True).csv(f"{base}/c")
+    both = io.read_sources(spark, [{"name": "m", "path": f"{base}/m", "priority": 9},
+                                   {"name": "c", "path": f"{base}/c", "priority": 1, "format": "csv"}])
+    assert {f.name: f.dataType.simpleString() for f in both.schema}["price"] == "double"
+    c = both.where("source = 'c'")
+    assert {tuple(r) for r in c.select("k", "price", "flag", "name", "note").collect()} == {
+        (1, 1.5, True, None, "own"), (2, None, False, None, "own")}
+    states = catalog.reconcile(both.where("source = 'm'").select("k", "price"), c.select("k", "price", "source"), "k", ["price"])
+    assert states.count() == 2 and not set(states.select("status").distinct().toPandas()["status"]) - {"MATCH", "OK", "SYNCED"}
+    spark.createDataFrame([("abc",)], "k string").write.option("header", True).csv(f"{base}/bad")
+    bad = io.read_sources(spark, [{"name": "m", "path": f"{base}/m", "priority": 9},
+                                  {"name": "b", "path": f"{base}/bad", "priority": 1, "format": "csv"}])
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        bad.collect()
+
+
 def test_event_stream_from_dataset_folder(spark):
     from tessera.plans import stream_q
     base = scratch_path(spark, "sfdir")
