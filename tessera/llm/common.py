@@ -26,6 +26,18 @@ def text_or_empty(col="text"):
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 
 
+def one_per_key(df: DataFrame, key: str, same: list[str]) -> DataFrame:
+    """One row of every ``key``, with all columns; the columns of ``same`` are equal within a key.
+
+    Of rows that differ in other columns the one whose other columns come first as JSON
+    text stays, whatever the partitioning.
+    """
+    cols = [F.col(f"`{c}`") for c in df.columns]
+    rest = [F.col(f"`{c}`") for c in df.columns if c not in {key, *same}]
+    order = F.to_json(F.struct(*rest), {"ignoreNullFields": "false"}) if rest else F.lit("")
+    return df.groupBy(key).agg(F.min_by(F.struct(*cols), order).alias("_one")).select("_one.*")
+
+
 def text_slices(batch: pa.RecordBatch, col: str, max_bytes: int = 8 << 20):
     """Cut a batch into runs of rows with at most ``max_bytes`` of text (one row at least)."""
     if batch.num_rows == 0:

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialise
+from tessera.llm.common import materialise, one_per_key
 from tessera.session import scratch_path
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -138,7 +138,8 @@ def _row_key(id_col: str, digest_col: str) -> Column:
 
 
 def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that stay, with the input's columns; of rows repeated whole one stays."""
+    """The rows that stay, with the input's columns. Of rows equal in identifier and text one
+    stays: the first by its other columns as JSON text."""
     groups = exact_groups(df, id_col, text_col)
     key = "_row_key"
     while key in df.columns:
@@ -147,7 +148,7 @@ def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     keyed = df.withColumn(key, F.concat_ws(
         "|", F.coalesce(F.col(id_col).cast("string"), F.lit("null")), sha256_text(text)))
-    return keyed.join(stay, key, "left_semi").dropDuplicates([key]).drop(key)
+    return one_per_key(keyed.join(stay, key, "left_semi"), key, [id_col, text_col]).drop(key)
 
 
 ORACLE = """

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bounds, gather_ranges, materialise, strings, text_slices
+from tessera.llm.common import bounds, gather_ranges, materialise, one_per_key, strings, text_slices
 from tessera.llm.graph import components
 
 WORDS = 5
@@ -321,10 +321,11 @@ def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of every class (the largest identifier), with the input's columns."""
+    """One document of every class (the largest identifier), with the input's columns. Of rows equal
+    in identifier and text one stays: the first by its other columns as JSON text."""
     key = "_row_key"
     while key in df.columns:
         key += "_"
     stay = near_classes(df, id_col, text_col).where("kept").select(F.col("key").alias(key))
-    return df.withColumn(key, _row_key(df, id_col, text_col)).join(stay, key, "left_semi") \
-        .dropDuplicates([key]).drop(key)
+    keyed = df.withColumn(key, _row_key(df, id_col, text_col)).join(stay, key, "left_semi")
+    return one_per_key(keyed, key, [id_col, text_col]).drop(key)

@@ -320,6 +320,27 @@ def test_randomness_battery(spark):
         assert (x.bin > 3 * secrets.PER_DECADE) == x.want, x
 
 
+def test_normal_tail(spark):
+    """Relative error of the distribution function down to z = -37."""
+    import math
+
+    zs = [-37.0, -20.0, -9.0, -6.0, -4.0, -3.0, -1.0, -0.1, 0.0, 0.5, 2.0, 6.0]
+    rows = spark.createDataFrame([(z,) for z in zs], "z double").select("z", secrets._phi(F.col("z")).alias("p")).collect()
+    for r in rows:
+        assert r.p == pytest.approx(math.erfc(-r.z / math.sqrt(2)) / 2, rel=2e-7), r
+
+
+def test_ties_in_stages_do_not_depend_on_order(spark):
+    """Rows equal in identifier and text: the first by the other columns as JSON stays, NULLs included."""
+    rows = [(1, "same text", "b", 2), (1, "same text", "a", 9), (1, "same text", None, 1), (2, None, "x", None),
+            (2, None, "x", 5)]
+    want = {(1, "same text", "a", 9), (2, None, "x", 5)}
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "doc_id long, text string, source string, n long").repartition(4)
+        for stage in (dedup.drop_copies, jaccard.keep_one):
+            assert {tuple(r) for r in stage(df).collect()} == want
+
+
 def test_sharding(found, docs, none):
     r = found("op8_sharding")
     load = r.groupby("shard")["size"].sum()
