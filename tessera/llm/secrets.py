@@ -9,14 +9,21 @@ characters) is inferred and three statistics are taken:
 * Wald-Wolfowitz runs around the middle of the alphabet,
 * lag-1 serial correlation of the character indices.
 
-A token must pass all three as "random" (|z| below ``BATTERY_Z``), and the
-hypothesis "letters of prose, written in this alphabet" must be rejected: the
-chi-squared statistic is compared with its non-central distribution under the
-letter frequencies of prose, and the number of character-class changes with the
-rate of prose; both z are combined (Stouffer). Rejection is decided over the
-whole corpus by a weighted Benjamini-Hochberg procedure whose weights grow with
-the token length (longer tokens carry more evidence), on a histogram of
-log p-values with a fixed number of bins.
+A token must pass all three as "random" (|z| below ``BATTERY_Z``), and two
+hypotheses must be rejected, so its p-value is the larger of theirs:
+
+* "letters of prose, written in this alphabet": the chi-squared statistic is
+  compared with its non-central distribution under the letter frequencies of
+  prose, and the number of character-class changes with the rate of prose; both
+  z are combined (Stouffer);
+* "an identifier of joined words" (camel case, paths, trailing numbers): the
+  likelihood ratio of uniform characters against word letters, alternating vowels
+  and consonants, and word boundaries. One over the ratio is a p-value at any length (Markov's
+  inequality), so no normal tail is needed. Alphabets without letters skip it.
+
+Rejection is decided over the whole corpus by a weighted Benjamini-Hochberg
+procedure whose weights grow with the token length (longer tokens carry more
+evidence), on a histogram of log p-values with a fixed number of bins.
 
 Only DataFrame / SQL functions run. Two scans of the text: the histogram, then
 the spans; nothing is shuffled but the histogram (at most ``BINS`` rows).
@@ -29,6 +36,8 @@ Input columns are kept; the result lives in one struct (default ``secrets``).
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,6 +70,12 @@ MIN_TOKEN = 20
 CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{%d,}" % MIN_TOKEN
 BATTERY_Z = 3.7          # two-sided 2e-4 per test
 CLASS_CHANGE = 0.05      # prose: character-class changes per character
+WORD_BREAK = 0.25        # identifiers: word boundaries per character
+PATH_BREAK = 0.35        # the same where the alphabet has separators (both sides of one count)
+ABBREVIATED = 0.15       # share of identifier letters that follow no prose frequency
+VOWELS, VOWEL_PAIR = "aeiou", 0.15  # identifiers: share of vowels that follow a vowel
+BOUNDARY = (r"(?<=[a-z])(?![a-z])(?=.)|(?<=[0-9])(?![0-9])(?=.)|(?<=[A-Z])(?![A-Za-z])(?=.)"
+            r"|(?<=[A-Z])(?=[A-Z][a-z])|(?<=[+/_-])(?=[A-Za-z0-9])")
 FDR = 0.01
 BINS, PER_DECADE = 400, 10
 MASK = "[SECRET]"
@@ -80,6 +95,35 @@ def _prose_divergence(alphabet: str) -> float:
     return len(alphabet) * sum((x / total) ** 2 for x in single) - 1.0
 
 
+def _letter_evidence(alphabet: str) -> list[float]:
+    """log10 of uniform over identifier frequency, per character; 0 for digits and separators."""
+    distinct = len({c.lower() for c in alphabet if c.isalpha()})
+    total = sum(LETTERS)
+    return [math.log10(1 / distinct / ((1 - ABBREVIATED) * LETTERS[ord(c.lower()) - 97] / total + ABBREVIATED / 26))
+            if c.isalpha() else 0.0 for c in alphabet]
+
+
+def _break_evidence(alphabet: str) -> tuple[float, float]:
+    """log10 of uniform over identifier odds of a word boundary, and of none, between two characters."""
+    k = len(alphabet)
+    digit, upper, lower = (sum(map(f, alphabet)) / k for f in (str.isdigit, str.isupper, str.islower))
+    other = max(0.0, 1 - digit - upper - lower)
+    seen = (lower * (1 - lower) + digit * (1 - digit) + upper * (digit + other) + upper * upper * lower
+            + other * (1 - other))
+    if seen < 1e-9:
+        return 0.0, 0.0
+    word = PATH_BREAK if other > 1e-9 else WORD_BREAK
+    return math.log10(seen / word), math.log10((1 - seen) / (1 - word))
+
+
+def _pair_evidence() -> tuple[float, ...]:
+    """log10 of independent over alternating, per pair of neighbours (consonant, vowel, no letter): 3 x 3."""
+    vowel = sum(LETTERS[ord(c) - 97] for c in VOWELS) / sum(LETTERS)
+    after_consonant = vowel * (1 - VOWEL_PAIR) / (1 - vowel)  # the share that keeps the vowel frequency
+    return (math.log10((1 - vowel) / (1 - after_consonant)), math.log10(vowel / after_consonant), 0.0,
+            math.log10((1 - vowel) / (1 - VOWEL_PAIR)), math.log10(vowel / VOWEL_PAIR), 0.0, 0.0, 0.0, 0.0)
+
+
 def _starts(lens: Column) -> Column:
     """Exclusive prefix sums of an int array, two levels so long arrays stay near-linear."""
     block = 256
@@ -154,8 +198,15 @@ def token_tests(token: Column) -> Column:
     enc = F.coalesce(*[F.when(token.rlike(p), F.lit(i)) for i, (_, p, _) in enumerate(ENCODINGS)])
     table = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(a).alias("alphabet"),
                                F.lit(float(len(a))).alias("k"), F.lit(_prose_divergence(a)).alias("d"),
-                               F.lit(len({c.isdigit() + 2 * c.isupper() for c in a}) > 1).alias("classes"))
+                               F.lit(len({c.isdigit() + 2 * c.isupper() for c in a}) > 1).alias("classes"),
+                               F.lit(any(map(str.isalpha, a))).alias("letters"),
+                               F.array(*map(F.lit, _letter_evidence(a))).alias("letter"),
+                               F.array(*[F.lit(int(c.lower() in VOWELS) if c.isalpha() else 2) for c in a])
+                               .alias("sound"),
+                               F.lit(_break_evidence(a)[0]).alias("broken"),
+                               F.lit(_break_evidence(a)[1]).alias("joined"))
                       for n, _, a in ENCODINGS])
+    pairs = F.array(*map(F.lit, _pair_evidence()))
 
     def tests(e):
         n = F.length(token).cast("double")
@@ -171,11 +222,15 @@ def token_tests(token: Column) -> Column:
                 (x[i] * 2 >= e["k"] - 1) != (x[i + 1] * 2 >= e["k"] - 1), 1.0).otherwise(0.0))
             return _let(mean, lambda m: F.struct(
                 up.alias("up"), runs.alias("runs"),
+                F.aggregate(x, F.lit(0.0), lambda s, v: s + e["letter"][v.cast("int")]).alias("letters"),
+                F.aggregate(at, F.lit(0.0), lambda s, i: s + pairs[
+                    e["sound"][x[i].cast("int")] * 3 + e["sound"][x[i + 1].cast("int")]]).alias("pairs"),
                 F.aggregate(at, F.lit(0.0), lambda s, i: s + (x[i] - m) * (x[i + 1] - m)).alias("lag"),
                 F.aggregate(x, F.lit(0.0), lambda s, v: s + (v - m) * (v - m)).alias("var")))
 
         changes = (F.size(F.split(token, r"(?<=[a-z])(?![a-z])|(?<=[A-Z])(?![A-Z])|(?<=[0-9])(?![0-9])"))
                    - 2).cast("double")
+        breaks = (F.size(F.split(token, BOUNDARY)) - 1).cast("double")
         chi = squares * e["k"] / n - n
 
         def verdict(r):
@@ -189,10 +244,13 @@ def token_tests(token: Column) -> Column:
             prose_chi = (r["chi"] - df - n * e["d"]) / F.sqrt(2 * df + 4 * n * e["d"])
             prose_runs = ((n - 1) * CLASS_CHANGE - r["changes"]) / F.sqrt((n - 1) * CLASS_CHANGE * (1 - CLASS_CHANGE))
             z = F.when(e["classes"], (prose_chi + prose_runs) / F.sqrt(F.lit(2.0))).otherwise(prose_chi)
+            ratio = r["x"]["letters"] + r["x"]["pairs"] + r["breaks"] * e["broken"] + (n - 1 - r["breaks"]) * e["joined"]
+            prose = F.log10(F.greatest(_phi(F.greatest(z, F.lit(-9.0))), F.lit(1e-38)))
+            identifier = F.when(e["letters"], F.least(-ratio, F.lit(0.0))).otherwise(F.lit(-99.0))
             return F.struct(e["name"].alias("encoding"), n.cast("int").alias("n"), z_chi.alias("z_chi"),
                             z_runs.alias("z_runs"), z_lag.alias("z_lag"),
-                            F.log10(F.greatest(_phi(F.greatest(z, F.lit(-9.0))), F.lit(1e-38))).alias("log_p"))
-        return _let(F.struct(chi.alias("chi"), changes.alias("changes"), _let(idx, with_index).alias("x")), verdict)
+                            F.greatest(prose, identifier).alias("log_p"))
+        return _let(F.struct(chi.alias("chi"), changes.alias("changes"), breaks.alias("breaks"), _let(idx, with_index).alias("x")), verdict)
 
     return _let(table[enc], tests)
 
@@ -227,7 +285,6 @@ def fdr_threshold(df: DataFrame, text_col: str = "text", fdr: float = FDR) -> tu
         return BINS, 1.0
     scale = total / sum(r["c"] * r["n"] / 64.0 for r in rows)
     hist = [0] * BINS
-    import math
     for r in rows:
         if r["raw"] > 0:
             value = r["p"] / PER_DECADE + math.log10(r["n"] / 64.0 * scale)

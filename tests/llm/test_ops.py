@@ -320,6 +320,60 @@ def test_randomness_battery(spark):
         assert (x.bin > 3 * secrets.PER_DECADE) == x.want, x
 
 
+WORDS = ("get set element by class name tag index buffer parser request response handler http json xml config value user "
+         "account list map tree node edge graph query result table column row key cache store file path reader writer stream "
+         "event message queue worker thread lock state machine factory builder manager service client server session cookie "
+         "header body content type length encoding decoder validator exception timeout retry policy default internal abstract "
+         "window layout view model controller adapter listener callback observer temporary previous maximum average").split()
+
+
+def identifier(g):
+    """A made-up identifier of joined words, 20 characters or more."""
+    style, out = g.randrange(8), []
+    while sum(map(len, out)) < g.randint(20, 40):
+        out.append(g.choice(WORDS))
+    camel = out[0] + "".join(w.capitalize() for w in out[1:])
+    return (camel, camel[0].upper() + camel[1:], camel + str(g.randint(1980, 2030)), "_".join(out), "/".join(out),
+            "-".join(out) + "-" + str(g.randint(1, 99)), "_".join(out).upper(), "".join(out) + str(g.randint(0, 999)))[style]
+
+
+@pytest.mark.parametrize("secret_count", [0, 60])
+def test_false_discoveries_among_identifiers(spark, secret_count):
+    """Of the random spans at most 1 % are identifiers of joined words; none where no secret is planted."""
+    g = random.Random(11)
+    names = [identifier(g) for _ in range(6000)] + ["getElementsByClassNameAndTag2024"]
+    pools = [secrets.ENCODINGS[i][2] for i in (5, 6, 7, 7, 7, 8)]
+    planted = ["".join(g.choice(pools[i % 6]) for _ in range(g.randint(32, 64))) for i in range(secret_count)]
+    df = spark.createDataFrame([(t, t in set(planted)) for t in names + planted], "text string, planted boolean")
+    got = secrets.find_secrets(df).select("text", "planted", F.exists(F.col("secrets")["all"], lambda x: x["kind"] == "random")
+                                          .alias("found")).collect()
+    false = [x.text for x in got if x.found and not x.planted]
+    true = [x.text for x in got if x.found and x.planted]
+    assert len(false) * 100 <= len(false) + len(true), false
+    assert len(true) >= 0.9 * secret_count
+
+
+def test_identifier_evidence(spark):
+    """The larger of the two log p-values, the identifier's from plain Python."""
+    g = random.Random(3)
+    tokens = [identifier(g) for _ in range(40)] + ["".join(g.choice(pool) for _ in range(n)) for n in (20, 33, 64)
+                                                   for _, _, pool in secrets.ENCODINGS[1:]]
+    rows = spark.createDataFrame([(t,) for t in tokens], "t string").select(
+        "t", secrets.token_tests(F.col("t")).alias("r")).collect()
+    for x in rows:
+        pool = next(a for _, p, a in secrets.ENCODINGS if re.match(p, x.t))
+        weight, (broken, joined) = dict(zip(pool, secrets._letter_evidence(pool))), secrets._break_evidence(pool)
+        kind = ["u" if c.isupper() else "l" if c.islower() else "d" if c.isdigit() else "s" for c in x.t] + [""]
+        cuts = sum((a != b and a + b != "ul") or a + b == "ss" or (a + b == "uu" and c == "l") for a, b, c in zip(
+            kind, kind[1:-1], kind[2:]) if a + b != "ss")
+        sound = [None if k in "ds" else c.lower() in "aeiou" for c, k in zip(x.t, kind)]
+        pairs = sum(secrets._pair_evidence()[3 * a + b] for a, b in zip(sound, sound[1:]) if None not in (a, b))
+        ratio = sum(weight[c] for c in x.t) + pairs + cuts * broken + (len(x.t) - 1 - cuts) * joined
+        assert x.r.log_p >= min(-ratio, 0.0) - 1e-9
+        if ratio < 0:
+            assert x.r.log_p == 0.0
+
+
 def test_normal_tail(spark):
     """Relative error of the distribution function down to z = -37."""
     import math
