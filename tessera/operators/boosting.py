@@ -209,7 +209,9 @@ def write_blocks(rows: DataFrame, edges: list[list[float]], s: Settings, path: s
                      "y": [y.tobytes()], "key": [key.tobytes()], "valid": [valid.tobytes()],
                      "score": [np.zeros(n).tobytes()]})
 
-    rows.select("key", "label", "features").mapInArrow(pack, SCHEMA).write.parquet(path)
+    # small row groups, so that readers can share out the blocks of a large file
+    (rows.select("key", "label", "features").mapInArrow(pack, SCHEMA).write.option("parquet.block.size", 4 << 20)
+     .option("parquet.block.size.row.check.min", 4).option("parquet.block.size.row.check.max", 4).parquet(path))
 
 
 def _unpack(row: dict, n_features: int):

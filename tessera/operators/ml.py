@@ -2,8 +2,8 @@
 
 * Three regressors stand in for the original ensemble: boosted trees with leaf
   penalties, boosted symmetric trees with Bayesian bootstrap (both in
-  ``boosting``), and a Spark ML random forest (depth 12, sqrt features, leaf 5,
-  128 bins; a leaf of 5 means that no node below 10 rows is split, the
+  ``boosting``), and a random forest by Spark ML's rules (``forest``; depth 12, sqrt
+  features, leaf 5, 128 bins; a leaf of 5 means that no node below 10 rows is split, the
   original's other limit).
 * Tree counts are the original's, 1350 per model, as an upper limit: boosting
   stops when the error on its validation rows has not fallen for ``patience``
@@ -31,12 +31,12 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressionModel, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.nulls import zero_fill
-from tessera.operators import boosting, metrics
+from tessera.operators import boosting, forest, metrics
 from tessera.session import checkpoint_dir, path_exists, remove_path, scratch_path
 
 # Model settings of the original, target candidates order,
@@ -142,14 +142,14 @@ class Forest:
     @property
     def feature_importances(self) -> list[float]:
         """Mean over the trees of their importances, scaled to sum 1."""
-        total = sum(n * m.featureImportances.toArray() for _, m, n in self.tranches)
+        total = sum(n * m.feature_importances for _, m, n in self.tranches)
         return (total / total.sum() if total.sum() else total).tolist()
 
     def transform(self, df: DataFrame) -> DataFrame:
         out, parts = df, []
         for i, (_, model, n) in enumerate(self.tranches):
             part = f"_{self.name}_{i}"
-            out = model.setPredictionCol(part).transform(out)
+            out = model.transform(out, part)
             parts.append(F.col(part) * n)
         return out.withColumn(self.name, sum(parts[1:], parts[0]) / F.lit(float(self.trees_trained))).drop(
             *[f"_{self.name}_{i}" for i in range(len(self.tranches))])
@@ -162,19 +162,18 @@ def train_forest(rows: DataFrame, name: str, trees: int, path: str, seed: int =
     lowered the squared error on the validation rows by ``tol`` of it."""
     spark = rows.sparkSession
     side = F.pmod(F.xxhash64("row_key", F.lit(seed)), F.lit(1_000_000)) < F.lit(int(VALID_SHARE * 1_000_000))
-    learn = rows.where(~side).persist()
     valid = rows.where(side).select("features", "label", F.lit(0.0).alias("total"))
     held, done, history, found, kept, calm = None, 0, [], [], None, 0
+    trainer = forest.Trainer(rows.where(~side), **params)
     try:
         while done < trees and calm < 2:
             n = min(tranche, trees - done)
             at = f"{path}/{name}-{done:05}"
-            model = RandomForestRegressor(numTrees=n, seed=seed + done, featuresCol="features", labelCol="label",
-                                          predictionCol=name, maxMemoryInMB=1024, **params).fit(learn)
-            model.write().overwrite().save(at)
+            model = trainer.grow(n, seed + done)
+            model.save(spark, at)
             found.append((at, model, n))
             done += n
-            scored = model.setPredictionCol("_p").transform(valid).select(
+            scored = model.transform(valid, "_p").select(
                 "features", "label", (F.col("total") + F.col("_p") * n).alias("total"))
             held, older = scratch_path(spark, "forest-valid"), held
             scored.write.parquet(held)
@@ -186,7 +185,7 @@ def train_forest(rows: DataFrame, name: str, trees: int, path: str, seed: int =
             kept = error if kept is None or error is None or not calm else kept
             history.append([done, error])
     finally:
-        learn.unpersist()
+        trainer.close()
         if held:
             remove_path(spark, held)
     return Forest(name, found, history)
@@ -229,7 +228,7 @@ def fit_model(train: DataFrame, name: str, trees: int, seed: int, path: str):
         return model
     if path_exists(spark, done):
         tranches, history = json.loads(spark.read.parquet(done).first()[0])
-        return Forest(name, [(at, RandomForestRegressionModel.load(at), n) for at, n in tranches], history)
+        return Forest(name, [(at, forest.ForestModel.load(spark, at), n) for at, n in tranches], history)
     model = train_forest(train, name, trees, path, seed, **p)
     text = json.dumps([[(at, n) for at, _, n in model.tranches], model.history])
     spark.createDataFrame([(text,)], "model string").coalesce(1).write.mode("overwrite").parquet(done)

@@ -9,7 +9,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.sql import functions as F
 
-from tessera.operators import boosting, ml
+from tessera.operators import boosting, forest, ml
 
 N = 500
 
@@ -221,3 +221,68 @@ def test_one_failed_model_leaves_the_others(spark, train_rows, monkeypatch):
     assert f.models_ok == 1 and f["m1"] is None and "no boosting today" in f.errors["m1"]
     got = ml.score(f, train_rows).first()
     assert got.m1 is None and got.ensemble == pytest.approx(got.m3)
+
+
+# ---------------------------------------------------------------- forests on histograms
+def plain_forest_tree(key, y, x, seed, k, depth, least):
+    """Splits as {heap place: (feature, threshold)} and a value per row, by trying every cut."""
+    w = forest.draws(key, seed).astype(int)
+    splits, value = {}, np.zeros(len(y))
+
+    def error(rows):
+        m = sum(w[rows] * y[rows]) / sum(w[rows])
+        return sum(w[rows] * (y[rows] - m) ** 2)
+
+    def grow(place, level, rows, everyone):
+        drawn = rows[w[rows] > 0]
+        best = None
+        if level < depth and len(drawn):
+            for f in np.flatnonzero(forest.node_features(seed, np.array([place]), x.shape[1], k)[0]):
+                for c in sorted(set(x[drawn, f]))[:-1]:
+                    left, right = drawn[x[drawn, f] <= c], drawn[x[drawn, f] > c]
+                    if min(w[left].sum(), w[right].sum()) >= least:
+                        gain = error(drawn) - error(left) - error(right)
+                        if gain > 1e-9 and (best is None or gain > best[0] + 1e-9):
+                            best = (gain, f, c)
+        if best is None:
+            value[everyone] = sum(w[drawn] * y[drawn]) / sum(w[drawn])
+            return
+        _, f, c = best
+        splits[place] = (f, c)
+        on = x[:, f] <= c
+        grow(2 * place + 1, level + 1, rows[on[rows]], everyone & on)
+        grow(2 * place + 2, level + 1, rows[~on[rows]], everyone & ~on)
+
+    grow(0, 0, np.arange(len(y)), np.ones(len(y), bool))
+    return splits, value
+
+
+def test_forest_equals_plain_trees_and_ignores_partitions(spark, monkeypatch):
+    """A forest grows on histograms, all trees of a tranche per job: same trees as trying every cut, however
+    the rows are dealt out and counted."""
+    key, y, x = small_rows(6)
+    monkeypatch.setattr(boosting, "BLOCK", 64)
+    models = []
+    for parts, chunk in ((1, 256), (5, 2)):
+        monkeypatch.setattr(forest, "NODE_CHUNK", chunk)
+        trainer = forest.Trainer(frame(spark, key, y, x, parts), maxDepth=4, maxBins=64, minInstancesPerNode=5,
+                                 featureSubsetStrategy="sqrt")
+        models.append(trainer.grow(5, 42))
+        trainer.close()
+    for a, b in zip(*(m.grown for m in models)):
+        assert all(np.array_equal(p, q) for p, q in zip(a, b))
+    for i, tree in enumerate(models[0].trees):
+        splits, value = plain_forest_tree(key, y, x, 42 + i, 2, 4, 5)
+        got = {p: (f, tree.edges[f][c]) for p, (f, c) in enumerate(zip(tree.features, tree.bins)) if c < 255}
+        assert got == splits
+        assert np.allclose([tree.predict(r) for r in x], value, atol=1e-6)
+    back = {r.row_key: r.p for r in models[0].transform(frame(spark, key, y, x), "p").collect()}
+    want = np.mean([[t.predict(r) for r in x] for t in models[0].trees], axis=0)
+    assert np.allclose([back[int(k)] for k in key], want, atol=1e-9)
+    assert models[0].feature_importances.sum() == pytest.approx(1) and models[0].feature_importances[3] == 0
+
+
+def test_forest_draws_are_a_bootstrap():
+    w = forest.draws(np.arange(200_000, dtype=np.int64), 7)
+    assert abs((w == 0).mean() - math.exp(-1)) < 0.005 and abs(w.mean() - 1) < 0.01 and abs(w.var() - 1) < 0.02
+    assert abs(np.corrcoef(w, forest.draws(np.arange(200_000, dtype=np.int64), 6))[0, 1]) < 0.01
