@@ -19,6 +19,8 @@ VIEW_COLUMN = r"^views_(h1|h2|q1|q2|q3|q4)_(\d{2})_([a-z_]+)$"
 # Two-digit years: 00-68 are 2000-2068, 69-99 are 1969-1999 (POSIX %y).
 YY_PIVOT = 69
 PERIODS = ["h1", "h2", "q1", "q2", "q3", "q4"]
+#: rows of the long form in one task of the pivot
+PIVOT_ROWS = 200_000
 
 
 def view_column_name(period: str, year: int, region: str) -> str:
@@ -52,12 +54,15 @@ def unpivot_views(wide: DataFrame, id_cols: list[str]) -> DataFrame:
 
 
 def pivot_views(long: DataFrame, id_col: str, periods: list[str], years: list[int],
-                regions: list[str]) -> DataFrame:
+                regions: list[str], rows: int | None = None) -> DataFrame:
     """Long -> wide ``views_{period}_{yy}_{region}`` with a fixed column list.
 
     Spark's pivot with the value list given up front: no distinct job, a
-    fixed output schema, and a hash lookup of the cell per row (partial
-    aggregation per (title, cell) before the shuffle). Cells a title never
+    fixed output schema, and a hash lookup of the cell per row. The rows are dealt
+    out by title first, so that a title's wide row is built in one task only; with
+    a shuffle by (title, cell) every task would hold a wide row of nearly every title. A
+    task gets about ``PIVOT_ROWS`` of the ``rows`` (an upper bound of the rows
+    of ``long``; counted when not given). Cells a title never
     measured stay NULL. Cells match on the whole year; a row outside the lists
     fails the query, as do two listed years with the same two digits.
     """
@@ -68,7 +73,9 @@ def pivot_views(long: DataFrame, id_col: str, periods: list[str], years: list[in
                        F.coalesce("region", F.lit("null")))
     known = F.when(cell.isin(list(cells)), cell).otherwise(
         F.raise_error(F.concat(F.lit("cell outside the pivot lists: "), cell)).cast("string"))
-    wide = long.select(id_col, known.alias("cell"), "views").groupBy(id_col).pivot("cell", list(cells)).agg(F.sum("views"))
+    rows = long.count() if rows is None else rows
+    dealt = long.select(id_col, known.alias("cell"), "views").repartition(max(1, -(-rows // PIVOT_ROWS)), id_col)
+    wide = dealt.groupBy(id_col).pivot("cell", list(cells)).agg(F.sum("views"))
     return wide.withColumnsRenamed(cells)
 
 
