@@ -17,7 +17,10 @@ Spark's part: the training rows are cut into bins once and written as blocks of
 brings the parts of a feature together, and the best split per node or level
 comes back. Only splits and sums of nodes reach the driver: at most features x
 2^(depth-1) small rows, never rows of the data. Scores of the finished trees are
-written back with the blocks every ``KEEP`` rounds and the older copy is removed.
+written back with the blocks every ``KEEP`` rounds and the older copy is removed, so a level
+walks its own tree and at most ``KEEP`` - 1 others. The levels are many small jobs: they
+run in a session of their own, without adaptive replanning and with one shuffle
+partition for each group.
 
 Gradients and weights are whole numbers of a fixed step, chosen so that no sum can
 overflow. Sums are therefore exact and do not depend on the order of tasks or on
@@ -49,7 +52,7 @@ from pyspark.sql import functions as F
 from tessera.session import remove_path, scratch_path
 
 BLOCK = 16_384
-KEEP = 25
+KEEP = 4
 NODE_CHUNK = 32
 WEIGHT_STEP = 1 << 16
 MAX_DRAW = 64  # an exponential draw of 64-bit hashes stays below
@@ -121,11 +124,13 @@ class Tree:
 
 def descend(tree: Tree, x: np.ndarray, levels: int) -> np.ndarray:
     """Node of every column of ``x`` (features x rows, in bins or raw with bins as thresholds)."""
-    feature, cut = np.asarray(tree.features, dtype=np.int64), np.asarray(tree.bins)
-    at, rows = np.zeros(x.shape[1], dtype=np.int64), np.arange(x.shape[1])
+    rows, at, x = np.arange(x.shape[1]), np.zeros(x.shape[1], dtype=np.int64), np.ascontiguousarray(x)
+    start, cut, flat = np.asarray(tree.features, dtype=np.int64) * x.shape[1], np.asarray(tree.bins), x.ravel()
     for d in range(levels):
-        heap = (1 << d) - 1 + at
-        at = 2 * at + (x[feature[heap], rows] > cut[heap])
+        heap = at + ((1 << d) - 1)
+        right = flat.take(start.take(heap) + rows) > cut.take(heap)
+        at += at
+        at += right
     return at
 
 
@@ -209,9 +214,13 @@ def write_blocks(rows: DataFrame, edges: list[list[float]], s: Settings, path: s
                      "y": [y.tobytes()], "key": [key.tobytes()], "valid": [valid.tobytes()],
                      "score": [np.zeros(n).tobytes()]})
 
-    # small row groups, so that readers can share out the blocks of a large file
-    (rows.select("key", "label", "features").mapInArrow(pack, SCHEMA).write.option("parquet.block.size", 4 << 20)
-     .option("parquet.block.size.row.check.min", 4).option("parquet.block.size.row.check.max", 4).parquet(path))
+    _written(rows.select("key", "label", "features").mapInArrow(pack, SCHEMA), path)
+
+
+def _written(blocks: DataFrame, path: str) -> None:
+    """Small row groups, so that readers can share out the blocks of a large file."""
+    (blocks.write.option("parquet.block.size", 4 << 20).option("parquet.block.size.row.check.min", 4)
+     .option("parquet.block.size.row.check.max", 4).parquet(path))
 
 
 def _unpack(row: dict, n_features: int):
@@ -384,6 +393,17 @@ def step(n: int, spread: float, s: Settings) -> float:
     return 2.0 ** (math.ceil(math.log2(reach)) - bits)
 
 
+def _session(spark, n_features: int, s: Settings):
+    """For the jobs of the levels; settings of the given session that matter to them are taken over."""
+    jobs = spark.newSession()
+    for name in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes", "spark.sql.session.timeZone"):
+        jobs.conf.set(name, spark.conf.get(name))
+    groups = n_features * (1 if s.symmetric else max(1, (1 << (s.depth - 1)) // NODE_CHUNK))
+    jobs.conf.set("spark.sql.adaptive.enabled", "false")
+    jobs.conf.set("spark.sql.shuffle.partitions", str(min(groups, 2 * spark.sparkContext.defaultParallelism)))
+    return jobs
+
+
 def train(df: DataFrame, name: str, s: Settings, key: str = "row_key", label: str = "label",
           features: str = "features") -> BoostedModel:
     """Fit on (key, label, features); ``key`` is a long that tells rows apart, ``features`` a vector or array."""
@@ -401,7 +421,8 @@ def train(df: DataFrame, name: str, s: Settings, key: str = "row_key", label: st
     edges = bin_edges(rows, width, s.bins)
     path = scratch_path(spark, f"boost-{name}")
     write_blocks(rows, edges, s, path)
-    blocks = spark.read.schema(SCHEMA).parquet(path)
+    jobs = _session(spark, width, s)
+    blocks = jobs.read.schema(SCHEMA).parquet(path)
     trees, kept, history = [], 0, []
     importance = np.zeros(width)
     gains = [importance.copy()]
@@ -424,8 +445,8 @@ def train(df: DataFrame, name: str, s: Settings, key: str = "row_key", label: st
         gains.append(importance.copy())
         if len(trees) - kept >= KEEP:
             older, path = path, scratch_path(spark, f"boost-{name}")
-            _add_scores(blocks, trees[kept:], width).write.parquet(path)
-            blocks, kept = spark.read.schema(SCHEMA).parquet(path), len(trees)
+            _written(_add_scores(blocks, trees[kept:], width), path)
+            blocks, kept = jobs.read.schema(SCHEMA).parquet(path), len(trees)
             remove_path(spark, older)
     remove_path(spark, path)
     return BoostedModel(name, s, base, edges, trees[:best], gains[best].tolist(), history)

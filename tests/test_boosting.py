@@ -286,3 +286,19 @@ def test_forest_draws_are_a_bootstrap():
     w = forest.draws(np.arange(200_000, dtype=np.int64), 7)
     assert abs((w == 0).mean() - math.exp(-1)) < 0.005 and abs(w.mean() - 1) < 0.01 and abs(w.var() - 1) < 0.02
     assert abs(np.corrcoef(w, forest.draws(np.arange(200_000, dtype=np.int64), 6))[0, 1]) < 0.01
+
+
+def test_a_level_walks_few_older_trees(spark, monkeypatch):
+    """Scores of finished trees are stored soon, so the work of a level does not grow with the rounds."""
+    key, y, x = small_rows(8)
+    walked, level = [], boosting._level
+
+    def seen(blocks, recent, *rest):
+        walked.append(len(recent))
+        return level(blocks, recent, *rest)
+    monkeypatch.setattr(boosting, "_level", seen)
+    s = boosting.Settings(rounds=9, depth=1, eta=0.3, patience=50)
+    model = boosting.train(frame(spark, key, y, x, 2), "m", s)
+    assert model.trees_trained >= 8 and max(walked) < 4
+    wanted = plain_boosting(key, y, x, s)[model.trees_trained - 1][1]
+    assert np.allclose(model.predict(x), wanted, atol=1e-6)
