@@ -94,7 +94,8 @@ def training_frame(df: DataFrame, features: list[str], target: str, min_rows: in
         # tree learners make many passes over the rows: every core gets some, and no
         # partition more than a bounded number (AQE may have merged a small join result)
         cores = clean.sparkSession.sparkContext.defaultParallelism
-        clean = clean.repartition(max(cores, -(-n // PART_ROWS)), "row_key")
+        # a multiple of the cores, so that none is idle in the last wave
+        clean = clean.repartition(cores * max(1, -(-n // (PART_ROWS * cores))), "row_key")
     return VectorAssembler(inputCols=features, outputCol="features").transform(clean)
 
 

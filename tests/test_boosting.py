@@ -302,3 +302,12 @@ def test_a_level_walks_few_older_trees(spark, monkeypatch):
     assert model.trees_trained >= 8 and max(walked) < 4
     wanted = plain_boosting(key, y, x, s)[model.trees_trained - 1][1]
     assert np.allclose(model.predict(x), wanted, atol=1e-6)
+
+
+def test_training_rows_fill_every_core(spark, monkeypatch):
+    monkeypatch.setattr(ml, "PART_ROWS", 100)
+    cores = spark.sparkContext.defaultParallelism
+    df = spark.range(150 * cores).select("id", F.col("id").cast("double").alias("a"), F.lit(1.0).alias("y"))
+    rows = ml.training_frame(df, ["a"], "y", min_rows=10, key_cols=["id"])
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert f", {2 * cores})" in plan and rows.count() == 150 * cores  # 1.5 x the cores left half of them idle
