@@ -5,10 +5,12 @@ Poisson(1) weights (bootstrap), every node tries ``subset`` features of its own,
 lowers the sum of squared errors and leaves ``min_rows`` weighted rows on both sides, a
 leaf is the weighted mean, importances are the gains per tree, scaled to sum 1.
 
-Spark's part: the rows are cut into bins once for all trees (``boosting.write_blocks``).
+Spark's part: the rows are cut into bins once for all trees (``boosting.write_blocks``),
+neighbours of equal bins being one run: a tree adds up its draws per run and goes on with runs.
 One job per level grows all trees of a tranche: each task counts (weight, weighted label)
 per (tree, open node, feature of the node, bin) over its rows, tree by tree, so that it
-holds the counts of one tree only; one shuffle by tree and ``NODE_CHUNK`` nodes
+holds the counts of one tree only (where runs are so long that they take no more room with
+their draws than the rows do, the draws are added up once for all levels and persisted); one shuffle by tree and ``NODE_CHUNK`` nodes
 adds up the parts, and the best splits come back. A task holds at most about
 ``TASK_ROWS`` rows as bytes. Only splits and node sums reach the driver.
 
@@ -41,6 +43,8 @@ NODE_CHUNK = 256
 #: rows that a task counts at a time, and rows of a task
 COUNT_ROWS = 1 << 18
 TASK_ROWS = 4_000_000
+#: label, key and bins of a row; a tree's draws of a run
+ROW_BYTES, DRAWN_BYTES = 22, 12
 _CDF = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(20)])
 #: Poisson(1) by 16 random bits
 DRAWS = np.searchsorted(_CDF, (np.arange(1 << 16) + 0.5) / (1 << 16)).astype(np.uint8)
@@ -104,23 +108,57 @@ class Growing:
     min_rows: float = 1
 
 
+def _pieces(rows: list, n_features: int, base: float, unit: float):
+    """(runs, their bins, labels and keys of the rows, first row of each run or None) of about COUNT_ROWS rows at a time."""
+    while rows:
+        take, n = [], 0
+        while rows and n < COUNT_ROWS:
+            take.append(rows.pop())
+            n += take[-1]["n"]
+        x, size, y, key = (np.concatenate(c, axis=-1) for c in zip(*(boosting.unpack(r, n_features) for r in take)))
+        starts = np.cumsum(size) - size if len(size) < n else None
+        yield len(size), x.ravel(), np.rint((y - base) / unit), key, starts
+
+
+def _weighted(q: np.ndarray, key: np.ndarray, starts, seed: int, bits: dict, piece: int):
+    """Draws of a tree and draws times label, per run; the latter None where every row is a run."""
+    if bits.get(piece, (None,))[0] != seed // 4:
+        bits[piece] = (seed // 4, draw_bits(key, seed // 4))
+    w = draws(key, seed, bits[piece][1])
+    if starts is None:
+        return w, None
+    w = w.astype(np.float64)
+    return np.add.reduceat(w, starts), np.add.reduceat(q * w, starts)
+
+
+def _draw(blocks: DataFrame, seeds, n_features: int, base: float, unit: float) -> DataFrame:
+    """Runs with the draws of all trees, so that the levels do not read the rows."""
+    def run(batches):
+        rows, bits = [r for b in batches for r in b.to_pylist()], {}
+        for p, (n, x, q, key, starts) in enumerate(_pieces(rows, n_features, base, unit)):
+            starts = np.arange(n) if starts is None else starts
+            w, wq = np.empty((len(seeds), n), np.int32), np.empty((len(seeds), n))
+            for i, seed in enumerate(seeds):
+                w[i], wq[i] = _weighted(q, key, starts, seed, bits, p)
+            bits.clear()
+            yield pa.RecordBatch.from_pydict({"runs": pa.array([n], pa.int64()), "bins": [x.tobytes()], "w": [w.tobytes()], "wq": [wq.tobytes()]})
+
+    return blocks.mapInArrow(run, "runs long, bins binary, w binary, wq binary")
+
+
 def _count(blocks: DataFrame, trees: list, level: int, widths: list[int], k: int, base: float, unit: float) -> list:
-    """Best splits of the open nodes of all trees."""
+    """Best splits of the open nodes of all trees; ``blocks`` of rows or of ``_draw``."""
+    drawn = "wq" in blocks.columns
     n_features, nodes = len(widths), 1 << level
     sent = [(i, t.seed, t.features, t.cuts, t.open_) for i, t in enumerate(trees) if t.open_.any()]
 
     def add_up(batches):
         rows = [r for b in batches for r in b.to_pylist()]
-        parts = []
-        while rows:  # pieces of about COUNT_ROWS rows
-            take, n = [], 0
-            while rows and n < COUNT_ROWS:
-                take.append(rows.pop())
-                n += take[-1]["n"]
-            x = np.concatenate([np.frombuffer(r["bins"], np.uint8).reshape(n_features, r["n"]) for r in take], axis=1)
-            y = np.concatenate([np.frombuffer(r["y"]) for r in take])
-            key = np.concatenate([np.frombuffer(r["key"], np.int64) for r in take])
-            parts.append((n, x.ravel(), np.rint((y - base) / unit), key))
+        if drawn:
+            parts = [(r["runs"], np.frombuffer(r["bins"], np.uint8), np.frombuffer(r["w"], np.int32).reshape(-1, r["runs"]),
+                      np.frombuffer(r["wq"]).reshape(-1, r["runs"])) for r in rows]
+        else:
+            parts = list(_pieces(rows, n_features, base, unit))
         bits = {}
         for i, seed, features, cuts, open_ in sent:
             live = np.flatnonzero(open_)
@@ -129,17 +167,15 @@ def _count(blocks: DataFrame, trees: list, level: int, widths: list[int], k: int
             tried = node_features(seed, live + nodes - 1, n_features, k)
             g = [np.zeros(len(live) * w, np.int64) for w in widths]
             h = [np.zeros(len(live) * w, np.int64) for w in widths]
-            for p, (n, x, q, key) in enumerate(parts):
-                if bits.get(p, (None,))[0] != seed // 4:
-                    bits[p] = (seed // 4, draw_bits(key, seed // 4))
-                w = draws(key, seed, bits[p][1])
+            for p, (n, x, *part) in enumerate(parts):
+                w, wq = (a[i] for a in part) if drawn else _weighted(*part, seed, bits, p)
                 rows = np.flatnonzero(w != 0)
                 at = slot.take(walk(features, cuts, x, n, rows, level))
                 if len(live) < nodes:
                     keep = at >= 0
                     rows, at = rows[keep], at[keep]
                 w = w.take(rows).astype(np.float64)
-                wq = q.take(rows) * w
+                wq = part[0].take(rows) * w if wq is None else wq.take(rows)
                 for j, width in enumerate(widths):
                     if not tried[:, j].any():
                         continue
@@ -250,12 +286,12 @@ class ForestTree:
 
 def _means(edges, trees, x: np.ndarray) -> np.ndarray:
     """Mean over the trees for raw rows (features x rows)."""
-    n = x.shape[1]
-    bins = np.concatenate([np.searchsorted(np.asarray(e), x[j], side="left") for j, e in enumerate(edges)]).astype(np.uint8)
-    rows, total = np.arange(n), np.zeros(n)
-    for features, cuts, values in trees:
-        total += values.take(walk(features, cuts, bins, n, rows, int(math.log2(len(features) + 1))))
-    return total / len(trees)
+    bins = np.stack([np.searchsorted(np.asarray(e), x[j], side="left") for j, e in enumerate(edges)]).astype(np.uint8)
+    return boosting.per_run(bins, lambda b: boosting.scores(_stacked(trees), b) / len(trees))
+
+
+def _stacked(trees: list) -> list:
+    return boosting.stacked([boosting.Tree(*t) for t in trees])
 
 
 class ForestModel:
@@ -270,11 +306,13 @@ class ForestModel:
 
     def transform(self, df: DataFrame, to: str, features: str = "features") -> DataFrame:
         array = vector_to_array(F.col(features)) if dict(df.dtypes)[features] == "vector" else F.col(features)
-        edges, grown = self.edges, self.grown
+        edges, trees, stacks = [np.asarray(e) for e in self.edges], len(self.grown), _stacked(self.grown)
 
-        @F.pandas_udf("double")
-        def apply(x: pd.Series) -> pd.Series:
-            return pd.Series(_means(edges, grown, np.ascontiguousarray(np.stack(x.to_numpy()).T)) if len(x) else [], dtype="float64")
+        @F.arrow_udf("double")
+        def apply(x: pa.Array) -> pa.Array:
+            x = boosting.matrix(x, len(edges))
+            bins = np.stack([np.searchsorted(e, x[:, j], side="left") for j, e in enumerate(edges)]).astype(np.uint8)
+            return pa.array(boosting.per_run(bins, lambda b: boosting.scores(stacks, b) / trees), pa.float64())
 
         return df.withColumn(to, apply(array))
 
@@ -310,14 +348,20 @@ class Trainer:
         self.k = subset_size(width, featureSubsetStrategy)
         self.path = scratch_path(self.spark, "forest")
         boosting.write_blocks(data, self.edges, boosting.Settings(valid_share=0.0), self.path)
+        self.rows, self.runs = self.spark.read.schema(boosting.SCHEMA).parquet(self.path).agg(F.sum("n"), F.sum("runs")).first()
         cores = self.spark.sparkContext.defaultParallelism
         self.tasks = max(cores, -(-n // TASK_ROWS))
 
     def grow(self, trees: int, seed: int) -> ForestModel:
-        blocks = (self.spark.read.schema(boosting.SCHEMA).parquet(self.path).select("n", "bins", "y", "key")
+        blocks = (self.spark.read.schema(boosting.SCHEMA).parquet(self.path).select("n", "runs", "bins", "size", "y", "key")
                   .coalesce(self.tasks))
         widths = [len(e) + 1 for e in self.edges]
-        grown, gains = _grow(blocks, range(seed, seed + trees), widths, self.k, self.depth, self.least, self.base, self.unit)
+        seeds, drawn = range(seed, seed + trees), None
+        if self.runs * trees * DRAWN_BYTES <= self.rows * ROW_BYTES:
+            blocks = drawn = _draw(blocks, seeds, len(widths), self.base, self.unit).persist()
+        grown, gains = _grow(blocks, seeds, widths, self.k, self.depth, self.least, self.base, self.unit)
+        if drawn is not None:
+            drawn.unpersist()
         sums = gains.sum(axis=1, keepdims=True)
         total = np.divide(gains, sums, out=np.zeros_like(gains), where=sums > 0).sum(axis=0)
         return ForestModel(self.edges, grown, total / total.sum() if total.sum() else total)

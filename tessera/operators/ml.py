@@ -80,10 +80,12 @@ def resolve_target(df: DataFrame, candidates: list[str]) -> str:
 
 
 def training_frame(df: DataFrame, features: list[str], target: str, min_rows: int = MIN_ROWS,
-                   check_rows: bool = True, key_cols: list[str] | None = None) -> DataFrame:
+                   check_rows: bool = True, key_cols: list[str] | None = None, together: bool = False) -> DataFrame:
     """P3 + P4 + P9: rows with a target, features zero-filled into one vector
     column ``features``, the label as ``label`` and ``row_key``, a hash of ``key_cols``
-    (of features and label where none are named) that every draw of the training uses."""
+    (of features and label where none are named) that every draw of the training uses. With
+    ``together`` the partitions are ranges of the features, sorted (rows of equal features may span
+    some): learners and models look at neighbours of equal bins once."""
     key = F.xxhash64(*[F.col(c) for c in key_cols or [*features, target]])
     clean = df.na.drop(subset=[target]).select(
         *[zero_fill(c).alias(c) for c in features], F.col(target).cast("double").alias("label"), key.alias("row_key"))
@@ -95,7 +97,11 @@ def training_frame(df: DataFrame, features: list[str], target: str, min_rows: in
         # partition more than a bounded number (AQE may have merged a small join result)
         cores = clean.sparkSession.sparkContext.defaultParallelism
         # a multiple of the cores, so that none is idle in the last wave
-        clean = clean.repartition(cores * max(1, -(-n // (PART_ROWS * cores))), "row_key")
+        parts = cores * max(1, -(-n // (PART_ROWS * cores)))
+        if together:
+            clean = clean.repartitionByRange(parts, *features, "row_key").sortWithinPartitions(*features)
+        else:
+            clean = clean.repartition(parts, "row_key")
     return VectorAssembler(inputCols=features, outputCol="features").transform(clean)
 
 

@@ -33,8 +33,9 @@ def _split(spark, sf_dir):
     target = ml.resolve_target(rows, TARGETS)
     # by the row's keys: a recomputed partition puts every row on the same side again
     side = F.pmod(F.xxhash64(*KEYS, F.lit(ml.SEED)), F.lit(100))
-    train = ml.training_frame(rows.where(side < 80), FEATURES, target, key_cols=KEYS)
-    return train.cache(), ml.training_frame(rows.where(side >= 80), FEATURES, target, key_cols=KEYS)
+    train, hold = (ml.training_frame(rows.where(part), FEATURES, target, key_cols=KEYS, together=True)
+                   for part in (side < 80, side >= 80))
+    return train.cache(), hold
 
 
 def sample_hash(spark, sf_dir):

@@ -311,3 +311,123 @@ def test_training_rows_fill_every_core(spark, monkeypatch):
     rows = ml.training_frame(df, ["a"], "y", min_rows=10, key_cols=["id"])
     plan = rows._jdf.queryExecution().executedPlan().toString()
     assert f", {2 * cores})" in plan and rows.count() == 150 * cores  # 1.5 x the cores left half of them idle
+
+
+# ---------------------------------------------------------------- rows of equal bins
+def repeated(seed=9, copies=6, n=60):
+    """Rows of which many share all features, with keys and labels of their own."""
+    r = np.random.default_rng(seed)
+    x = np.repeat(np.column_stack([r.integers(0, 6, n), r.integers(0, 4, n), r.integers(0, 3, n)]).astype(float), copies, axis=0)
+    y = 3 * x[:, 0] + 5 * (x[:, 1] > 1) * x[:, 2] + r.normal(size=len(x))
+    at = r.permutation(len(x))
+    return np.arange(len(x), dtype=np.int64) * 7919, y[at], x[at]
+
+
+def jobs_of(spark, group, work):
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        return work(), len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_a_round_is_one_job_and_reads_its_rows_seldom(spark, monkeypatch):
+    """A job per level, and all rows in each of them, made rounds of large tables take minutes."""
+    key, y, x = repeated(copies=20, n=30)
+    df, drawn, draw = frame(spark, key, y, x, 2), [], getattr(boosting, "_draw", None)
+    s = boosting.Settings(rounds=12, depth=5, eta=0.3, patience=50)
+    if draw:
+        monkeypatch.setattr(boosting, "_draw", lambda *a: (drawn.append(a), draw(*a))[1])
+    model, many = jobs_of(spark, "rounds-12", lambda: boosting.train(df, "m", s))
+    draws = len(drawn)
+    few = jobs_of(spark, "rounds-2", lambda: boosting.train(df, "m", boosting.dataclasses.replace(s, rounds=2)))[1]
+    assert model.trees_trained == 12 and many - few <= 10 * 2  # a tree of 5 levels, seldom draws or stored scores
+    assert 1 <= draws <= 4
+    assert np.allclose(model.predict(x), plain_boosting(key, y, x, s)[11][1], atol=1e-6)
+
+
+@pytest.mark.parametrize("s", [M1, M2], ids=["penalties", "symmetric"])
+def test_one_task_levels_and_shared_draws_grow_the_same_trees(spark, s, monkeypatch):
+    key, y, x = repeated(10)
+    s = boosting.dataclasses.replace(s, rounds=7)
+    want = plain_boosting(key, y, x, s)
+    found = []
+    for local, draws, block, parts in ((1 << 25, 16, 1 << 14, 1), (0, 16, 1 << 14, 2), (0, 1, 16, 5), (1 << 25, 2, 16, 3)):
+        monkeypatch.setattr(boosting, "LOCAL_BYTES", local)
+        monkeypatch.setattr(boosting, "MOST_DRAWN", draws)
+        monkeypatch.setattr(boosting, "COUNT_RUNS", 1 << 17 if local else 7)
+        model = boosting.train(frame(spark, key, y, x, parts), "m", s)
+        assert np.allclose(model.predict(x), want[model.trees_trained - 1][1], atol=1e-6)
+        found.append([(t.features, t.bins, t.values) for t in model.trees])
+        assert [h[1] for h in model.history] == pytest.approx(
+            [np.mean((p - y)[boosting.uniform(key, s.seed, -1) < s.valid_share] ** 2)
+             for p in [np.full(len(y), model.base), *(w[1] for w in want)]][:len(model.history)])
+    assert all(f == found[0] for f in found)
+
+
+def test_sums_beyond_doubles_stay_exact():
+    r = np.random.default_rng(3)
+    x, at = r.integers(0, 4, (1, 3000)).astype(np.uint8), r.integers(0, 2, 3000)
+    g, h = r.integers(-(1 << 60), 1 << 60, 3000), r.integers(1, 1 << 20, 3000)
+    sums = boosting._empty([0], 2, 4)
+    boosting.add_histograms(sums, x, g, h, at, 4)
+    for cell in range(8):
+        on = at * 4 + x[0] == cell
+        high, low, weight = (int(a[cell]) for a in sums[0])
+        assert (high << boosting.LOW_BITS) + low == sum(map(int, g[on])) and weight == h[on].sum()
+
+
+def test_forest_counts_rows_of_equal_bins_together(spark, monkeypatch):
+    key, y, x = repeated(11)
+    monkeypatch.setattr(boosting, "BLOCK", 50)
+    trainer = forest.Trainer(frame(spark, key, y, x, 3), maxDepth=4, maxBins=64, minInstancesPerNode=5, featureSubsetStrategy="sqrt")
+    blocks = spark.read.parquet(trainer.path).agg(F.sum("n"), F.sum("runs")).first()
+    model = trainer.grow(3, 42)
+    counted, count = [], forest._count
+    monkeypatch.setattr(forest, "_count", lambda b, *a: (counted.append("wq" in b.columns), count(b, *a))[1])
+    monkeypatch.setattr(forest, "ROW_BYTES", 10_000)  # levels read the sums of draws
+    again = trainer.grow(3, 42)
+    monkeypatch.setattr(forest, "ROW_BYTES", 0)  # levels read the rows
+    third = trainer.grow(3, 42)
+    assert counted[0] and not counted[-1]
+    assert all(np.array_equal(p, q) for m in (again, third) for a, b in zip(model.grown, m.grown) for p, q in zip(a, b))
+    trainer.close()
+    assert blocks[0] == len(y) and blocks[1] < 0.6 * len(y)
+    for i, tree in enumerate(model.trees):
+        splits, value = plain_forest_tree(key, y, x, 42 + i, 2, 4, 5)
+        assert {p: (f, tree.edges[f][c]) for p, (f, c) in enumerate(zip(tree.features, tree.bins)) if c < 255} == splits
+        assert np.allclose([tree.predict(row) for row in x], value, atol=1e-6)
+
+
+def test_models_score_neighbours_of_equal_bins_once(spark, monkeypatch):
+    key, y, x = repeated(12)
+    df = frame(spark, key, y, x, 2)
+    model = boosting.train(df, "m", boosting.dataclasses.replace(M1, rounds=3))
+    bins = boosting.to_bins(x[np.lexsort(x.T)], [np.asarray(e) for e in model.edges])
+    seen = []
+    got = boosting.per_run(bins, lambda b: (seen.append(b.shape[1]), boosting.scores(boosting.stacked(model.trees), b, model.base))[1])
+    assert seen[0] < 0.6 * len(y) and np.allclose(got, model.predict(x[np.lexsort(x.T)]), atol=1e-9)
+    back = {r.row_key: r.m for r in model.transform(df.orderBy("features")).collect()}
+    assert np.allclose([back[int(k)] for k in key], model.predict(x), atol=1e-9)
+    few = boosting.scores(boosting.stacked(model.trees), bins)
+    monkeypatch.setattr(boosting, "STACK_CELLS", 1)
+    assert np.allclose(boosting.scores(boosting.stacked(model.trees), bins), few, atol=1e-9)
+
+
+def test_together_sorts_the_rows_and_keeps_them(spark):
+    df = spark.range(3000).select("id", (F.col("id") % 7).cast("double").alias("a"), F.lit(2.0).alias("b"), F.col("id").cast("double").alias("y"))
+    rows = ml.training_frame(df, ["a", "b"], "y", min_rows=10, key_cols=["id"], together=True)
+    parts = [[r.a for r in p] for p in rows.select("a").rdd.glom().collect()]
+    assert sum(map(len, parts)) == 3000 and all(p == sorted(p) for p in parts)
+    assert max(map(len, parts)) < 3000 / 2 or len(parts) == 1  # one value of the features is no bound of a partition
+    plain = ml.training_frame(df, ["a", "b"], "y", min_rows=10, key_cols=["id"])
+    assert sorted(r.row_key for r in rows.collect()) == sorted(r.row_key for r in plain.collect())
+
+
+def test_edges_are_exact_up_to_the_last_bin(spark):
+    """A feature of just as many values as bins keeps them all, wherever they are."""
+    r = np.random.default_rng(4)
+    x = np.column_stack([r.permutation(3000) % 256, r.permutation(3000) % 257, np.sort(np.arange(3000) % 40)]).astype(float)
+    df = frame(spark, np.arange(3000, dtype=np.int64), x[:, 0], x, 4)
+    edges = boosting.bin_edges(df, 3, 256)
+    assert edges[0] == list(range(255)) and len(edges[1]) <= 255 and edges[2] == list(range(39))
